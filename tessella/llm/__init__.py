@@ -1,0 +1,8 @@
+"""Operators for building training corpora from web-scale text."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Python functions travel to the executors by value, so nothing needs to be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
