@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from tessella.llm import decontaminate, line_dedup, mixing, url_filter
+from tessella.llm import decontaminate, line_dedup, mixing, secrets, simhash, url_filter, warc
 from tessella.llm.common import table
 
 QUERIES = {
     "op1_url_filters": lambda spark, d: url_filter.url_digest(table(spark, d, "pages")),
+    "op2_warc": lambda spark, d: warc.warc_digest(table(spark, d, "pages")),
+    "op5_secret_scans": lambda spark, d: secrets.secrets_digest(table(spark, d, "documents")),
+    "op6_simhash": lambda spark, d: simhash.simhash_digest(table(spark, d, "documents")),
     "op8_benchmark_decontamination": lambda spark, d: decontaminate.decontamination_digest(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op9_line_dedup": lambda spark, d: line_dedup.line_dedup_digest(table(spark, d, "documents")),
     "op10_mixing": lambda spark, d: mixing.mixing_digest(table(spark, d, "documents")),
@@ -14,6 +17,10 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_url_filters": url_filter.SQL,
+    "op2_warc": lambda spark, d: warc.warc_digest(table(spark, d, "pages")),
+    "op5_secret_scans": lambda spark, d: secrets.secrets_digest(table(spark, d, "documents")),
+    "op6_simhash": lambda spark, d: simhash.simhash_digest(table(spark, d, "documents")),
+    "op2_warc": warc.SQL,
     "op8_benchmark_decontamination": decontaminate.SQL,
     "op9_line_dedup": line_dedup.SQL,
 }
