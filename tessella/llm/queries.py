@@ -17,9 +17,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_url_filters": url_filter.SQL,
-    "op2_warc": lambda spark, d: warc.warc_digest(table(spark, d, "pages")),
-    "op5_secret_scans": lambda spark, d: secrets.secrets_digest(table(spark, d, "documents")),
-    "op6_simhash": lambda spark, d: simhash.simhash_digest(table(spark, d, "documents")),
     "op2_warc": warc.SQL,
     "op8_benchmark_decontamination": decontaminate.SQL,
     "op9_line_dedup": line_dedup.SQL,
