@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from tessella.llm import decontaminate, line_dedup, mixing, secrets, simhash, substring_dedup, url_filter, warc
+from tessella.llm import decontaminate, fingerprint, line_dedup, mixing, secrets, simhash, substring_dedup, toxicity, url_filter, warc
 from tessella.llm.common import table
 
 QUERIES = {
     "op1_url_filters": lambda spark, d: url_filter.url_digest(table(spark, d, "pages")),
     "op2_warc": lambda spark, d: warc.warc_digest(table(spark, d, "pages")),
+    "op3_toxicity": lambda spark, d: toxicity.toxicity_digest(table(spark, d, "documents"), table(spark, d, "labels")),
     "op4_substring_dedup": lambda spark, d: substring_dedup.substring_dedup_digest(table(spark, d, "documents")),
     "op5_secret_scans": lambda spark, d: secrets.secrets_digest(table(spark, d, "documents")),
     "op6_simhash": lambda spark, d: simhash.simhash_digest(table(spark, d, "documents")),
+    "op7_fingerprint": lambda spark, d: fingerprint.fingerprint_digest(table(spark, d, "documents")),
     "op8_benchmark_decontamination": lambda spark, d: decontaminate.decontamination_digest(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op9_line_dedup": lambda spark, d: line_dedup.line_dedup_digest(table(spark, d, "documents")),
     "op10_mixing": lambda spark, d: mixing.mixing_digest(table(spark, d, "documents")),
