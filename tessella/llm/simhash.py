@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -233,3 +234,104 @@ def simhash_digest(docs: DataFrame) -> DataFrame:
     found = components_of(docs)
     fingerprint = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return found.select(key_id("d").alias("doc_id"), fingerprint.alias("fingerprint"), key_id("c").alias("component_id"))
+
+
+def _signer(shingle: int, bands: int, rows: int):
+    """``d, h1, h2, fp, bands``: a digest of the word sequence, the fingerprint, and one hash
+    for each band of ``rows`` minima of differently mixed shingle hashes."""
+    odd = np.arange(1, 2 * bands * rows, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
+
+    def minima(hashes: np.ndarray) -> np.ndarray:
+        least = np.full(len(odd), np.uint64(2**64 - 1))
+        for i in range(0, len(hashes), 1 << 12):
+            h = hashes[i : i + (1 << 12), None] * odd
+            least = np.minimum(least, (h ^ (h >> np.uint64(32))).min(axis=0))
+        return least.reshape(bands, rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h1, h2, prints, keys = [], [], [], []
+            for text in batch.column("text"):
+                text = text.as_py()
+                hashes = shingle_hashes(text, shingle)
+                words = b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())
+                h1.append(xxhash.xxh64_intdigest(words, 1) - 2**63)
+                h2.append(xxhash.xxh64_intdigest(words, 2) - 2**63)
+                prints.append(majority_bits(hashes))
+                least = minima(np.unique(hashes)) if len(hashes) else np.empty((0, rows), np.uint64)
+                keys.append([xxhash.xxh64_intdigest(b.tobytes(), i) - 2**63 for i, b in enumerate(least)])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("d"), pa.array(h1), pa.array(h2), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))],
+                ["d", "h1", "h2", "fp", "bands"],
+            )
+
+    return run
+
+
+def _packer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        packed = [squeeze((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array(packed, pa.binary())], ["d", "packed"])
+
+
+def _verifier(shingle: int, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        grams = lambda x: np.unique(shingle_hashes(unpack(x.as_py()).decode("utf-8", "surrogatepass"), shingle))
+        for batch in batches:
+            near, last, a = [], None, None
+            for u, left, right in zip(batch.column("u"), batch.column("left"), batch.column("right")):
+                if u.as_py() != last:  # rows come sorted by their first document
+                    last, a = u.as_py(), grams(left)
+                b = grams(right)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                near.append(both >= similarity * (len(a) + len(b) - both))
+            keep = pa.array(near, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("u").filter(keep), batch.column("v").filter(keep)], ["u", "v"])
+
+    return run
+
+
+def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 20, rows: int = 4, most_bits: int = 24) -> DataFrame:
+    """``node, component`` of the documents (id keys) that others of a smaller id repeat or
+    nearly repeat: a Jaccard similarity of word shingles of ``similarity`` or more.
+
+    At such a similarity 64-bit SimHashes differ in ten bits and more, where the bounds of a
+    vantage-point tree prune nothing. So texts that share a band of shingle minima are
+    candidates, as links to two members of the band, never as all pairs; those whose
+    SimHashes differ by more than ``most_bits`` go, and the exact similarity decides. Equal
+    word sequences are one class and compared once. Texts without words are one class.
+    """
+    spark = docs.sparkSession
+    base = docs.select(id_key("doc_id").alias("d"), "text")
+    signed = materialise(base.mapInArrow(_signer(shingle, bands, rows), "d long, h1 long, h2 long, fp long, bands array<long>"), "signatures")
+    classes = materialise(signed.groupBy("h1", "h2").agg(F.min("d").alias("head"), F.count("*").alias("n")), "classes")
+    copies = signed.join(classes.where("n > 1"), ["h1", "h2"]).where("d != head").select(F.col("d").alias("u"), F.col("head").alias("v"))
+    heads = signed.select("d", "fp", "bands").join(classes.select(F.col("head").alias("d")), "d")
+    keyed = materialise(heads.select("d", "fp", F.explode("bands").alias("key")).distinct(), "bands")
+    first = F.min(F.struct("d", "fp")).alias("a")
+    other = F.min(F.struct(F.xxhash64("d", "key").alias("h"), "d", "fp")).alias("b")
+    stars = materialise(keyed.groupBy("key").agg(first, other, F.count("*").alias("n")).where("n > 1").select("key", "a", F.struct("b.d", "b.fp").alias("b")), "stars")
+    links = keyed.join(stars, "key").select("d", "fp", F.explode(F.array("a", "b")).alias("s")).where("d != s.d")
+    links = links.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("s.fp"))) <= most_bits)
+    links = materialise(links.select(F.least("d", "s.d").alias("u"), F.greatest("d", "s.d").alias("v")).distinct(), "candidates")
+    packed = base.mapInArrow(_packer, "d long, packed binary")
+    ends = links.select("u", "v", F.explode(F.array("u", "v")).alias("d"))
+    # Both sides come from files, so adaptive execution can split the links of a popular text.
+    texts = ends.join(packed, "d").groupBy("u", "v").agg(F.max_by("packed", -F.col("d")).alias("left"), F.max_by("packed", F.col("d")).alias("right"))
+    near = texts.sortWithinPartitions("u", "v").mapInArrow(_verifier(shingle, similarity), "u long, v long")
+    return connected_components(materialise(near.unionByName(copies), "near"))
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` without those that belong to a group of near duplicates, but for the one of
+    the smallest doc_id.
+
+    Groups are closed under similarity. Rows that share a doc_id share its fate, as those
+    with a null one do; texts without words are copies of each other; an empty table gives
+    an empty result; other columns pass through.
+    """
+    groups = near_duplicate_groups(docs, shingle, similarity)
+    lost = groups.where("node != component").select(F.col("node").alias("__d"))
+    return docs.withColumn("__d", id_key("doc_id")).join(materialise(lost, "lost"), "__d", "left_anti").select(*docs.columns)
