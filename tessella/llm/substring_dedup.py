@@ -7,10 +7,11 @@ sorted around anchors only; an anchor stands for the run of strings that chose i
 1. Runs are range-partitioned by the hash of their anchor's leading bytes and sorted. Of
    runs with equal bytes all but the earliest are repeats as a whole. Of the rest, those
    whose anchor occurs once are unique and need no more work.
-2. The bytes of the remaining runs are range-partitioned by the leading bytes at the anchor
-   with sampled splitters. A bucket sorts all its strings by multikey quicksort, eight bytes
-   a character; equal neighbours are repeats but for the earliest.
-3. An anchor that may go on in the next bucket, as a hot one does, has its earliest strings
+2. The remaining runs are cut into pieces of ``PIECE`` strings at most, which have most of
+   their bytes in common. Those common bytes lead: sampled splitters range-partition the
+   pieces by them, and a bucket sorts the strings of pieces that share them by multikey
+   quicksort, eight bytes a character; equal neighbours are repeats but for the earliest.
+3. A lead that may go on in the next bucket, as a hot one does, has its earliest strings
    compared across boundaries: a second aggregate over their digests.
 
 What returns to a document are start, length pairs of its repeated strings.
@@ -32,6 +33,8 @@ from tessella.llm.common import id_key, materialise, partitions, replacing
 
 #: Bytes of an anchor; at most the length of the strings.
 GRAM = 32
+#: Strings of a piece, at most; never more than half their length.
+PIECE = 12
 #: Bytes of text hashed at once, so that memory does not grow with a batch or a text.
 BLOCK_BYTES = 1 << 20
 #: Texts of rows that repeat a doc_id count as parts of one document, this far apart.
@@ -107,41 +110,42 @@ def merged(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _anchorer(length: int):
-    """Runs of each text; those that repeat an earlier run of the same text are settled."""
+    """Runs of each text; those that repeat an earlier run of the same text are settled, which
+    an anchor's offset ``off`` of -1 tells."""
 
     def of_text(data: np.ndarray):
         parts = []
         for at in range(0, max(1, len(data) - length + 1), BLOCK_BYTES):
-            start, count, _, gram, run = runs_of(data[at : at + BLOCK_BYTES + length - 1], length)
-            parts.append((start + at, count, gram, run))
-        start, count, gram, run = (np.concatenate(x) for x in zip(*parts))
+            start, count, anchor, gram, run = runs_of(data[at : at + BLOCK_BYTES + length - 1], length)
+            parts.append((start + at, count, anchor - start, gram, run))
+        start, count, offset, gram, run = (np.concatenate(x) for x in zip(*parts))
         order = np.lexsort((start, run, gram))
         again = np.zeros(len(order), bool)
         again[order[1:]] = (run[order[1:]] == run[order[:-1]]) & (gram[order[1:]] == gram[order[:-1]])
         if not again.any():
-            return start, count, gram, run, np.zeros(len(start), bool)
+            return start, count, offset, gram, run
         s, c = merged(start[again], count[again])
         # A settled range goes anywhere in the partitioning; its hash deals it out.
         spread = mixed(s.astype(np.uint64) + gram[0])
         fresh = ~again
-        join = lambda a, b: np.concatenate([a[fresh], b])
-        return join(start, s), join(count, c), join(gram, spread), join(run, np.zeros(len(s), np.uint64)), np.concatenate([np.zeros(fresh.sum(), bool), np.ones(len(s), bool)])
+        none = np.zeros(len(s), np.int64)
+        settled = (s, c, none - 1, spread, none.view(np.uint64))
+        return tuple(np.concatenate([x[fresh], y]) for x, y in zip((start, count, offset, gram, run), settled))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held, size = [], 0
             for d, part, text in zip(*(batch.column(i) for i in range(3))):
                 data = np.frombuffer(text.as_buffer() or b"", np.uint8) if text.is_valid else np.empty(0, np.uint8)
-                start, count, gram, digest, settled = of_text(data)
+                start, count, offset, gram, digest = of_text(data)
                 if len(start):
-                    count = np.where(settled, -count, count)
-                    held.append((gram.view(np.int64), digest.view(np.int64), np.full(len(start), d.as_py()), start + part.as_py() * PART, count))
+                    held.append((gram.view(np.int64), digest.view(np.int64), np.full(len(start), d.as_py()), start + part.as_py() * PART, count, offset))
                     size += len(start)
                 if size > 1 << 16:
-                    yield _batch(held, ["g", "f", "d", "at", "n"])
+                    yield _batch(held, ["g", "f", "d", "at", "n", "off"])
                     held, size = [], 0
             if held:
-                yield _batch(held, ["g", "f", "d", "at", "n"])
+                yield _batch(held, ["g", "f", "d", "at", "n", "off"])
 
     return run
 
@@ -189,15 +193,15 @@ def _ints(columns: list) -> list[np.ndarray]:
 def _sifter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted runs to ``d, at, n, open``: whole repeats, and runs to compare byte by byte."""
     for columns, first, last in _by_key(batches):
-        g, f, d, at, n = _ints(columns)
-        settled = n < 0
+        g, f, d, at, n, off = _ints(columns)
+        settled = off < 0
         group, fresh = np.cumsum(_changes(g)) - 1, _changes(g, f)
         variants = np.bincount(group, weights=fresh)
         undecided = variants > 1
         undecided[0] |= first
         undecided[-1] |= last
         keep = settled | ~fresh | undecided[group]
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (d, at, np.abs(n), fresh & ~settled)], ["d", "at", "n", "open"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (d, at, n, off, fresh & ~settled)], ["d", "at", "n", "off", "open"])
 
 
 def _packer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,26 +213,34 @@ def _packer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _extractor(length: int):
-    """``d, part, packed, starts, counts`` to the bytes of the runs, keyed by their anchors."""
+    """``d, part, __packed, at, n, off`` to the pieces of the runs: the bytes that all strings
+    of a full piece have, and those to the left and right."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        names = ["lead", "d", "at", "n", "bytes"]
-        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        cell = min(PIECE, length // 2)
+        names = ["lead", "d", "at", "n", "left", "right"]
+        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
         for batch in batches:
             rows, size = [], 0
-            for d, part, packed, starts, counts in zip(*(batch.column(i) for i in range(5))):
+            for d, part, packed, *runs in zip(*(batch.column(i) for i in range(6))):
                 data, base, d = unpack(packed.as_py()), part.as_py() * PART, d.as_py()
-                for at, n in zip(starts.values.to_pylist(), counts.values.to_pylist()):
-                    piece = data[at - base : at - base + n + length - 1]
-                    _, _, anchor, _, _ = runs_of(np.frombuffer(piece, np.uint8), length)
-                    rows.append((piece[anchor[0] : anchor[0] + min(GRAM, length)], d, at, n, piece))
-                    size += len(piece) + 64
+                for at, n, off in zip(*(x.values.to_pylist() for x in runs)):
+                    # Strings with anchors at offsets of the same cell make a piece.
+                    while n:
+                        k = min(n, off % cell + 1)
+                        first = at - base
+                        a = first + off % cell
+                        b = a + length - cell + 1
+                        rows.append((data[a:b], d, at, k, data[first:a], data[b : first + k - 1 + length]))
+                        at, n, off = at + k, n - k, off - k
+                    size += 2 * length
                 if size > BLOCK_BYTES:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+                    yield pack(rows)
                     rows, size = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+                yield pack(rows)
 
     return run
 
@@ -262,11 +274,18 @@ def multikey_quicksort(data: np.ndarray, suffix: np.ndarray, length: int) -> tup
 def _bucket_sorter(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns, first, last in _by_bytes(batches):
-            lead, d, at, n, _ = columns
-            d, at, n = _ints([d, at, n])
-            blob = columns[4]
-            offsets = np.frombuffer(blob.buffers()[1], np.int32)[blob.offset : blob.offset + len(blob) + 1].astype(np.int64)
-            data = np.frombuffer(blob.buffers()[2], np.uint8)
+            keys = columns[0].to_pylist()
+            edge = [first and k == keys[0] or last and k == keys[-1] for k in keys]
+            again = [a == b for a, b in zip(keys[1:], keys)]
+            keep = np.nonzero(np.array(edge) | np.array([*again, False]) | np.array([False, *again]))[0]
+            if not len(keep):
+                continue
+            keys, edge = [keys[i] for i in keep], np.array(edge)[keep]
+            d, at, n = (c.to_numpy()[keep] for c in columns[1:4])
+            left, right = (c.take(pa.array(keep)).to_pylist() for c in columns[4:])
+            data = np.frombuffer(b"".join([x for row in zip(left, keys, right) for x in row]), np.uint8)
+            sizes = n + length - 1
+            offsets = np.cumsum(sizes) - sizes
             # One suffix for each string of each run.
             row = np.repeat(np.arange(len(n)), n)
             inside = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
@@ -276,8 +295,7 @@ def _bucket_sorter(length: int):
             by = np.lexsort((sorted_at, sorted_d, rank))
             order, sorted_d, sorted_at = order[by], sorted_d[by], sorted_at[by]
             fresh = _changes(rank)
-            keys = lead.to_pylist()
-            edge = np.array([first and k == keys[0] or last and k == keys[-1] for k in keys])[row[order]]
+            edge = edge[row[order]]
             # Repeats, as ranges of starts.
             rd, ra = sorted_d[~fresh], sorted_at[~fresh]
             by = np.lexsort((ra, rd))
@@ -337,14 +355,15 @@ def repeated_ranges(texts: DataFrame, length: int) -> DataFrame:
     spark = texts.sparkSession
     deal = partitions(spark)
     texts = texts.toDF("d", "part", "text")
-    runs = texts.mapInArrow(_anchorer(length), "g long, f long, d long, at long, n long")
+    # What is range-partitioned comes from files, as its keys are sampled first.
+    runs = materialise(texts.mapInArrow(_anchorer(length), "g long, f long, d long, at long, n long, off long"), "runs")
     runs = runs.repartitionByRange(deal, "g", "f", "d", "at").sortWithinPartitions("g", "f", "d", "at")
-    sifted = materialise(runs.mapInArrow(_sifter, "d long, at long, n long, open boolean"), "sifted")
+    sifted = materialise(runs.mapInArrow(_sifter, "d long, at long, n long, off long, open boolean"), "sifted")
     asked = sifted.where("open").withColumn("part", F.floor(F.col("at") / F.lit(PART)))
-    asked = asked.groupBy("d", "part").agg(F.collect_list("at").alias("starts"), F.collect_list("n").alias("counts"))
+    asked = asked.groupBy("d", "part").agg(*[F.collect_list(c).alias(c) for c in ("at", "n", "off")])
     packed = texts.mapInArrow(_packer, "d long, part long, __packed binary")
-    pieces = packed.join(asked, ["d", "part"]).select("d", "part", "__packed", "starts", "counts")
-    pieces = pieces.mapInArrow(_extractor(length), "lead binary, d long, at long, n long, bytes binary")
+    pieces = packed.join(asked, ["d", "part"]).select("d", "part", "__packed", "at", "n", "off")
+    pieces = materialise(pieces.mapInArrow(_extractor(length), "lead binary, d long, at long, n long, left binary, right binary"), "pieces")
     buckets = pieces.repartitionByRange(deal, "lead", "d", "at").sortWithinPartitions("lead", "d", "at")
     compared = materialise(buckets.mapInArrow(_bucket_sorter(length), "d long, at long, n long, h1 long, h2 long"), "buckets")
     edges = compared.where("n = 0").select("h1", "h2", "d", "at")
