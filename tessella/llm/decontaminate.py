@@ -145,7 +145,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     return out.withColumn("n_hit", n_hit).withColumn("contaminated", F.col("n_hit") > 0)
 
 
-@F.pandas_udf("array<long>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def _merge_spans(a, b):
     import pandas as pd
 
