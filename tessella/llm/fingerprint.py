@@ -8,6 +8,7 @@ of up to ``k`` shingles are held whole, so their estimates are exact.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -97,9 +98,10 @@ def _bucket(key: str, splitters: list[int]) -> Column:
     return begin + at_most(F.slice(F.array(*[F.lit(x) for x in splitters]).cast("array<bigint>"), begin + 1, step))
 
 
-def with_next(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+def with_next(rows: DataFrame, key: str, columns: list[str], prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """``rows`` with ``next_<column>`` of the row that follows by descending ``key`` (a long
-    without nulls); after the last comes the first. Ties follow a hash of the columns.
+    without nulls); after the last comes the first. Ties follow a hash of all columns.
+    ``prepare`` adds columns to the rows before they are dealt out.
 
     Sampled splitters cut the keys into buckets, which windows work on; each bucket also
     gets the first row of the bucket after it.
@@ -112,14 +114,14 @@ def with_next(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     heads = {r.b: r.k for r in keys.groupBy(bucket.alias("b")).agg(F.max(key).alias("k")).collect()}
     down = sorted(heads, reverse=True)
     follows = [(before, heads[after]) for before, after in zip(down, down[1:] + down[:1])]
-    tie = F.xxhash64(*columns)
+    tie = F.xxhash64(*rows.columns)
     base = rows.withColumn("__b", bucket.cast("int")).withColumn("__tie", tie)
     links = rows.sparkSession.createDataFrame(follows, "__at int, __key long")
     # One first row for each bucket; where keys repeat, that with the largest hash.
     first = base.join(F.broadcast(links), base[key] == F.col("__key"))
     rank = F.row_number().over(Window.partitionBy("__at").orderBy(F.desc("__tie")))
     first = first.withColumn("__r", rank).where("__r = 1").withColumn("__b", F.col("__at")).select(*base.columns)
-    both = base.withColumn("__end", F.lit(0)).unionByName(first.withColumn("__end", F.lit(1)))
+    both = prepare(base.withColumn("__end", F.lit(0)).unionByName(first.withColumn("__end", F.lit(1))))
     w = Window.partitionBy("__b").orderBy("__end", F.desc(key), F.desc("__tie"))
     for c in columns:
         both = both.withColumn(f"next_{c}", F.lead(c).over(w))
@@ -136,7 +138,7 @@ def compare_with_edited(docs: DataFrame, k: int = K, shingle: int = SHINGLE) ->
     each other by a hash; an empty table gives an empty result.
     """
     base = docs.select(id_key("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(with_sketch(base, "sketch", k=k, shingle=shingle), "key", ["text", "sketch"])
+    rows = with_next(base, "key", ["text", "sketch"], lambda df: with_sketch(df, "sketch", k=k, shingle=shingle))
     n = F.char_length("text")
     cut = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut))
