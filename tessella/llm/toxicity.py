@@ -163,9 +163,11 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     if not names:
         return Model({}, math.log((toxic + 0.5) / (n - toxic + 1.5)), settings.prefix)
     listed = F.array(*[F.lit(f) for f in names])
-    ours = rows.select("toxic", F.array_sort(F.array_intersect("plain", listed)).alias("p"), F.array_sort(F.array_intersect("swapped", listed)).alias("s")).orderBy("toxic", "p", "s")
+    ours = rows.select("toxic", F.array_sort(F.array_intersect("plain", listed)).alias("p"), F.array_sort(F.array_intersect("swapped", listed)).alias("s"))
     pick = lambda fs: None if fs is None else [index[f] for f in fs]
-    w, intercept = fit_weights([(r.toxic, pick(r.p), pick(r.s)) for r in ours.collect()], len(names), settings)
+    # The bounded sample is put in order here, so that reruns add in one order.
+    examples = sorted((r.toxic, r.p, r.s is not None, r.s or []) for r in ours.collect())
+    w, intercept = fit_weights([(toxic, pick(p), pick(s) if has else None) for toxic, p, has, s in examples], len(names), settings)
     return Model({f: float(x) for f, x in zip(names, w)}, intercept, settings.prefix)
 
 
