@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import NULL_ID, id_key, key_id, materialise, partitions, replacing
@@ -293,14 +293,36 @@ def _verifier(shingle: int, similarity: float):
     return run
 
 
+def band_centres(keyed: DataFrame, stars: DataFrame) -> DataFrame:
+    """``key, c``: the member ``(d, fp)`` of each band of over three members whose SimHash is
+    nearest to the majority of the band's bits. Texts that gather around one text, near it
+    but not near each other, meet there; smaller bands need none, as two members meet all.
+    """
+    large = materialise(keyed.join(stars.where("n > 3").select("key", "n"), "key"), "large")
+    bits = [F.sum(F.shiftrightunsigned("fp", i).bitwiseAND(F.lit(1))) for i in range(64)]
+    counts = large.groupBy("key").agg(F.first("n").alias("n"), *[b.alias(f"b{i}") for i, b in enumerate(bits)])
+    majority = sum_of_bits([F.when(F.col(f"b{i}") * 2 > F.col("n"), F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0)) for i in range(64)])
+    middles = materialise(counts.select("key", majority.alias("middle")), "middles")
+    centre = F.min(F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("middle"))).alias("off"), "d", "fp")).alias("c")
+    found = large.join(middles, "key").groupBy("key").agg(centre)
+    return materialise(found.select("key", F.struct("c.d", "c.fp").alias("c")), "centres")
+
+
+def sum_of_bits(parts: list[Column]) -> Column:
+    while len(parts) > 1:
+        parts = [a.bitwiseOR(b) for a, b in zip(parts[::2], parts[1::2])]
+    return parts[0]
+
+
 def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 20, rows: int = 4, most_bits: int = 24) -> DataFrame:
     """``node, component`` of the documents (id keys) that others of a smaller id repeat or
     nearly repeat: a Jaccard similarity of word shingles of ``similarity`` or more.
 
     At such a similarity 64-bit SimHashes differ in ten bits and more, where the bounds of a
     vantage-point tree prune nothing. So texts that share a band of shingle minima are
-    candidates, as links to two members of the band, never as all pairs; those whose
-    SimHashes differ by more than ``most_bits`` go, and the exact similarity decides. Equal
+    candidates, as links to three members of the band (the first, one by hash and the most
+    central one), never as all pairs; those whose SimHashes differ by more than
+    ``most_bits`` go, and the exact similarity decides. Equal
     word sequences are one class and compared once. Texts without words are one class.
     """
     spark = docs.sparkSession
@@ -312,8 +334,9 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float =
     keyed = materialise(heads.select("d", "fp", F.explode("bands").alias("key")).distinct(), "bands")
     first = F.min(F.struct("d", "fp")).alias("a")
     other = F.min(F.struct(F.xxhash64("d", "key").alias("h"), "d", "fp")).alias("b")
-    stars = materialise(keyed.groupBy("key").agg(first, other, F.count("*").alias("n")).where("n > 1").select("key", "a", F.struct("b.d", "b.fp").alias("b")), "stars")
-    links = keyed.join(stars, "key").select("d", "fp", F.explode(F.array("a", "b")).alias("s")).where("d != s.d")
+    stars = materialise(keyed.groupBy("key").agg(first, other, F.count("*").alias("n")).where("n > 1").select("key", "n", "a", F.struct("b.d", "b.fp").alias("b")), "stars")
+    stars = materialise(stars.join(band_centres(keyed, stars), "key", "left").select("key", F.array_compact(F.array("a", "b", "c")).alias("s")), "centred")
+    links = keyed.join(stars, "key").select("d", "fp", F.explode("s").alias("s")).where("d != s.d")
     links = links.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("s.fp"))) <= most_bits)
     links = materialise(links.select(F.least("d", "s.d").alias("u"), F.greatest("d", "s.d").alias("v")).distinct(), "candidates")
     packed = base.mapInArrow(_packer, "d long, packed binary")

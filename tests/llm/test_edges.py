@@ -115,6 +115,14 @@ def test_guess_cost_orders_values():
     assert secrets.find_secrets("pwd: zX8$kq!Lw92&Tt") != [] and secrets.find_secrets("pwd: changeme") == []
 
 
+def test_near_copies_around_the_last_text(spark):
+    """Copies near one text, but not each other, whose id is the largest."""
+    base = [f"w{i}" for i in range(300)]
+    copies = [(i, " ".join(base[:a] + [f"c{i}x{j}" for j in range(26)] + base[a + 26 :])) for i, a in enumerate(range(4, 270, 4))]
+    docs = spark.createDataFrame([*copies, (1000, " ".join(base))], "doc_id long, text string")
+    assert [r.doc_id for r in simhash.drop_near_duplicates(docs).collect()] == [0]
+
+
 def test_components(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(7, 7), (100, 90), (None, 3)], "u long, v long")
     found = {r.node: r.component for r in components.connected_components(chain).collect()}
