@@ -238,14 +238,18 @@ def simhash_digest(docs: DataFrame) -> DataFrame:
 
 def _signer(shingle: int, bands: int, rows: int):
     """``d, h1, h2, fp, bands``: a digest of the word sequence, the fingerprint, and one hash
-    for each band of ``rows`` minima of differently mixed shingle hashes."""
-    odd = np.arange(1, 2 * bands * rows, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
+    for each band of ``rows`` minima of independently mixed shingle hashes."""
+    seeds = np.array([xxhash.xxh64_intdigest(b"row", i) for i in range(bands * rows)], np.uint64)
 
     def minima(hashes: np.ndarray) -> np.ndarray:
-        least = np.full(len(odd), np.uint64(2**64 - 1))
-        for i in range(0, len(hashes), 1 << 12):
-            h = hashes[i : i + (1 << 12), None] * odd
-            least = np.minimum(least, (h ^ (h >> np.uint64(32))).min(axis=0))
+        least = np.full(len(seeds), np.uint64(2**64 - 1))
+        for i in range(0, len(hashes), 1 << 10):
+            h = hashes[i : i + (1 << 10), None] ^ seeds
+            # The finaliser of XXH64, without the last shift, which leaves the high bits as they are.
+            h *= np.uint64(0xC2B2AE3D27D4EB4F)
+            h ^= h >> np.uint64(29)
+            h *= np.uint64(0x165667B19E3779F9)
+            least = np.minimum(least, h.min(axis=0))
         return least.reshape(bands, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
