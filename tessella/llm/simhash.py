@@ -237,8 +237,8 @@ def simhash_digest(docs: DataFrame) -> DataFrame:
 
 
 def _signer(shingle: int, bands: int, rows: int):
-    """``d, h1, h2, fp, bands``: a digest of the word sequence, the fingerprint, and one hash
-    for each band of ``rows`` minima of independently mixed shingle hashes."""
+    """``d, h1, h2, size, fp, bands``: a digest of the word sequence, the number of distinct
+    shingles, their fingerprint, and one hash for each band of ``rows`` minima of independently mixed shingle hashes."""
     seeds = np.array([xxhash.xxh64_intdigest(b"row", i) for i in range(bands * rows)], np.uint64)
 
     def minima(hashes: np.ndarray) -> np.ndarray:
@@ -254,19 +254,21 @@ def _signer(shingle: int, bands: int, rows: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h1, h2, prints, keys = [], [], [], []
+            h1, h2, counts, prints, keys = [], [], [], [], []
             for text in batch.column("text"):
                 text = text.as_py()
                 hashes = shingle_hashes(text, shingle)
                 words = b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())
                 h1.append(xxhash.xxh64_intdigest(words, 1) - 2**63)
                 h2.append(xxhash.xxh64_intdigest(words, 2) - 2**63)
+                hashes = np.unique(hashes)
+                counts.append(len(hashes))
                 prints.append(majority_bits(hashes))
-                least = minima(np.unique(hashes)) if len(hashes) else np.empty((0, rows), np.uint64)
+                least = minima(hashes) if len(hashes) else np.empty((0, rows), np.uint64)
                 keys.append([xxhash.xxh64_intdigest(b.tobytes(), i) - 2**63 for i, b in enumerate(least)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("d"), pa.array(h1), pa.array(h2), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))],
-                ["d", "h1", "h2", "fp", "bands"],
+                [batch.column("d"), pa.array(h1), pa.array(h2), pa.array(counts, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))],
+                ["d", "h1", "h2", "size", "fp", "bands"],
             )
 
     return run
@@ -298,7 +300,7 @@ def _verifier(shingle: int, similarity: float):
 
 
 def band_centres(keyed: DataFrame, stars: DataFrame) -> DataFrame:
-    """``key, c``: the member ``(d, fp)`` of each band of over three members whose SimHash is
+    """``key, c``: the member ``(d, size)`` of each band of over three members whose SimHash is
     nearest to the majority of the band's bits. Texts that gather around one text, near it
     but not near each other, meet there; smaller bands need none, as two members meet all.
     """
@@ -307,9 +309,9 @@ def band_centres(keyed: DataFrame, stars: DataFrame) -> DataFrame:
     counts = large.groupBy("key").agg(F.first("n").alias("n"), *[b.alias(f"b{i}") for i, b in enumerate(bits)])
     majority = sum_of_bits([F.when(F.col(f"b{i}") * 2 > F.col("n"), F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0)) for i in range(64)])
     middles = materialise(counts.select("key", majority.alias("middle")), "middles")
-    centre = F.min(F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("middle"))).alias("off"), "d", "fp")).alias("c")
+    centre = F.min(F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("middle"))).alias("off"), "d", "size")).alias("c")
     found = large.join(middles, "key").groupBy("key").agg(centre)
-    return materialise(found.select("key", F.struct("c.d", "c.fp").alias("c")), "centres")
+    return materialise(found.select("key", F.struct("c.d", "c.size").alias("c")), "centres")
 
 
 def sum_of_bits(parts: list[Column]) -> Column:
@@ -318,30 +320,30 @@ def sum_of_bits(parts: list[Column]) -> Column:
     return parts[0]
 
 
-def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 20, rows: int = 4, most_bits: int = 24) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 20, rows: int = 4) -> DataFrame:
     """``node, component`` of the documents (id keys) that others of a smaller id repeat or
     nearly repeat: a Jaccard similarity of word shingles of ``similarity`` or more.
 
     At such a similarity 64-bit SimHashes differ in ten bits and more, where the bounds of a
     vantage-point tree prune nothing. So texts that share a band of shingle minima are
     candidates, as links to three members of the band (the first, one by hash and the most
-    central one), never as all pairs; those whose SimHashes differ by more than
-    ``most_bits`` go, and the exact similarity decides. Equal
+    central one), never as all pairs; those whose numbers of distinct shingles alone exclude
+    the similarity go, and the exact similarity decides. Equal
     word sequences are one class and compared once. Texts without words are one class.
     """
     spark = docs.sparkSession
     base = docs.select(id_key("doc_id").alias("d"), "text")
-    signed = materialise(base.mapInArrow(_signer(shingle, bands, rows), "d long, h1 long, h2 long, fp long, bands array<long>"), "signatures")
+    signed = materialise(base.mapInArrow(_signer(shingle, bands, rows), "d long, h1 long, h2 long, size long, fp long, bands array<long>"), "signatures")
     classes = materialise(signed.groupBy("h1", "h2").agg(F.min("d").alias("head"), F.count("*").alias("n")), "classes")
     copies = signed.join(classes.where("n > 1"), ["h1", "h2"]).where("d != head").select(F.col("d").alias("u"), F.col("head").alias("v"))
-    heads = signed.select("d", "fp", "bands").join(classes.select(F.col("head").alias("d")), "d")
-    keyed = materialise(heads.select("d", "fp", F.explode("bands").alias("key")).distinct(), "bands")
-    first = F.min(F.struct("d", "fp")).alias("a")
-    other = F.min(F.struct(F.xxhash64("d", "key").alias("h"), "d", "fp")).alias("b")
-    stars = materialise(keyed.groupBy("key").agg(first, other, F.count("*").alias("n")).where("n > 1").select("key", "n", "a", F.struct("b.d", "b.fp").alias("b")), "stars")
+    heads = signed.select("d", "size", "fp", "bands").join(classes.select(F.col("head").alias("d")), "d")
+    keyed = materialise(heads.select("d", "size", "fp", F.explode("bands").alias("key")).distinct(), "bands")
+    first = F.min(F.struct("d", "size")).alias("a")
+    other = F.min(F.struct(F.xxhash64("d", "key").alias("h"), "d", "size")).alias("b")
+    stars = materialise(keyed.groupBy("key").agg(first, other, F.count("*").alias("n")).where("n > 1").select("key", "n", "a", F.struct("b.d", "b.size").alias("b")), "stars")
     stars = materialise(stars.join(band_centres(keyed, stars), "key", "left").select("key", F.array_compact(F.array("a", "b", "c")).alias("s")), "centred")
-    links = keyed.join(stars, "key").select("d", "fp", F.explode("s").alias("s")).where("d != s.d")
-    links = links.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("s.fp"))) <= most_bits)
+    links = keyed.join(stars, "key").select("d", "size", F.explode("s").alias("s")).where("d != s.d")
+    links = links.where(F.least("size", "s.size") >= F.lit(similarity) * F.greatest("size", "s.size"))
     links = materialise(links.select(F.least("d", "s.d").alias("u"), F.greatest("d", "s.d").alias("v")).distinct(), "candidates")
     packed = base.mapInArrow(_packer, "d long, packed binary")
     ends = links.select("u", "v", F.explode(F.array("u", "v")).alias("d"))

@@ -19,3 +19,15 @@ def test_pairs_share_a_band():
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["d", "text"])
     bands = [set(x) for out in simhash._signer(5, 20, 4)(iter([batch])) for x in out.column("bands").to_pylist()]
     assert sum(not (a & b) for a, b in zip(bands[::2], bands[1::2])) == 0
+
+
+def test_a_phrase_repeated_at_the_end(spark):
+    """A repeated phrase adds few distinct shingles, however often it comes."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(30):
+        text = " ".join(f"w{rng.getrandbits(40)}" for _ in range(120))
+        phrase = " ".join(f"w{rng.getrandbits(40)}" for _ in range(9))
+        rows += [(2 * i, f"{text} {phrase}"), (2 * i + 1, f"{text} {' '.join([phrase] * (20, 100, 400)[i % 3])}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).select("doc_id").collect()) == list(range(0, 60, 2))
