@@ -12,6 +12,7 @@ compares in numpy and returns a spanning forest of the links, never all pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,8 @@ from tessella.llm.components import connected_components
 
 #: Fingerprints, at most, on which vantage points are chosen.
 SAMPLE = 4096
+#: Texts, at most, that hold a shingle all whose pairs are compared in a crowd.
+RARE = 32
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -328,8 +331,9 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float =
     vantage-point tree prune nothing. So texts that share a band of shingle minima are
     candidates, as links to three members of the band (the first, one by hash and the most
     central one), never as all pairs; those whose numbers of distinct shingles alone exclude
-    the similarity go, and the exact similarity decides. Equal
-    word sequences are one class and compared once. Texts without words are one class.
+    the similarity go, and the exact similarity decides. Texts of bands of over three members
+    that are of several groups after that are compared by ``crowd_candidates``. Equal word
+    sequences are one class and compared once. Texts without words are one class.
     """
     spark = docs.sparkSession
     base = docs.select(id_key("doc_id").alias("d"), "text")
@@ -340,17 +344,100 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float =
     keyed = materialise(heads.select("d", "size", "fp", F.explode("bands").alias("key")).distinct(), "bands")
     first = F.min(F.struct("d", "size")).alias("a")
     other = F.min(F.struct(F.xxhash64("d", "key").alias("h"), "d", "size")).alias("b")
-    stars = materialise(keyed.groupBy("key").agg(first, other, F.count("*").alias("n")).where("n > 1").select("key", "n", "a", F.struct("b.d", "b.size").alias("b")), "stars")
-    stars = materialise(stars.join(band_centres(keyed, stars), "key", "left").select("key", F.array_compact(F.array("a", "b", "c")).alias("s")), "centred")
+    pairs = materialise(keyed.groupBy("key").agg(first, other, F.count("*").alias("n")).where("n > 1").select("key", "n", "a", F.struct("b.d", "b.size").alias("b")), "stars")
+    stars = materialise(pairs.join(band_centres(keyed, pairs), "key", "left").select("key", F.array_compact(F.array("a", "b", "c")).alias("s")), "centred")
     links = keyed.join(stars, "key").select("d", "size", F.explode("s").alias("s")).where("d != s.d")
     links = links.where(F.least("size", "s.size") >= F.lit(similarity) * F.greatest("size", "s.size"))
     links = materialise(links.select(F.least("d", "s.d").alias("u"), F.greatest("d", "s.d").alias("v")).distinct(), "candidates")
+    near = materialise(verified(base, links, shingle, similarity).unionByName(copies), "near")
+    groups = connected_components(near)
+    # Bands whose members are one group by now hold no more links between groups.
+    large = keyed.join(pairs.where("n > 3").select("key"), "key").join(groups.withColumnsRenamed({"node": "d", "component": "c"}), "d", "left")
+    large = materialise(large.select("key", "d", F.coalesce("c", "d").alias("c")), "large")
+    apart = large.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+    crowd = materialise(large.join(apart, "key").select("d", "c").distinct(), "crowd")
+    if crowd.isEmpty():
+        return groups
+    links = materialise(crowd_candidates(base.join(crowd, "d"), shingle, similarity), "candidates")
+    more = verified(base, links, shingle, similarity)
+    return connected_components(materialise(near.unionByName(more), "near"))
+
+
+def verified(base: DataFrame, links: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of the links ``u, v`` (u < v) whose texts are similar enough."""
     packed = base.mapInArrow(_packer, "d long, packed binary")
     ends = links.select("u", "v", F.explode(F.array("u", "v")).alias("d"))
     # Both sides come from files, so adaptive execution can split the links of a popular text.
     texts = ends.join(packed, "d").groupBy("u", "v").agg(F.max_by("packed", -F.col("d")).alias("left"), F.max_by("packed", F.col("d")).alias("right"))
-    near = texts.sortWithinPartitions("u", "v").mapInArrow(_verifier(shingle, similarity), "u long, v long")
-    return connected_components(materialise(near.unionByName(copies), "near"))
+    return texts.sortWithinPartitions("u", "v").mapInArrow(_verifier(shingle, similarity), "u long, v long")
+
+
+def _grams(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["d", "t", "c", "size", "g"]
+        for batch in batches:
+            for d, t, c, text in zip(*(batch.column(k).to_pylist() for k in ("d", "t", "c", "text"))):
+                g = np.unique(shingle_hashes(text, shingle)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(g), x, np.int64)) for x in (d, t, c, len(g))), pa.array(g)], names)
+
+    return run
+
+
+def _prefixer(similarity: float):
+    """The first of the sorted shingles ``s`` of each text, so many that a text of the
+    similarity shares one; the number ``hot`` of frequent shingles and their digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for d, c, size, found in zip(*(batch.column(k).to_pylist() for k in ("d", "c", "size", "s"))):
+                found = sorted((x["f"], x["g"]) for x in found)
+                often = np.array([g for f, g in found if f > RARE], np.int64)
+                digest = xxhash.xxh64_intdigest(often.tobytes()) - 2**63
+                # Shingles that no other group holds come first and need no rows.
+                first = found[: max(0, size - math.ceil(similarity * size - 1e-9) + 1 - (size - len(found)))]
+                columns = [*(np.full(len(first), x, np.int64) for x in (d, c, size, len(often), digest)), np.array(first, np.int64).reshape(-1, 2)[:, 0], np.array(first, np.int64).reshape(-1, 2)[:, 1]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["d", "c", "size", "hot", "h", "f", "g"])
+
+    return run
+
+
+def crowd_candidates(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``u, v``: candidates that connect all similar texts of different groups ``c`` in
+    ``docs`` (``d, text, c``).
+
+    Sorted by frequency, similar texts share one of their first shingles. Where one is held
+    by ``RARE`` texts or fewer, all pairs that hold it are candidates. Other similar pairs
+    share frequent shingles only, so nearly all of the smaller text (2s / (1 + s)) and most
+    of the larger one (s) are frequent. Of the texts of the former kind with the same
+    frequent shingles, the one with the fewest others is similar to all and to whatever one
+    of them is similar to: it stands for them. What is left are pairs of different groups
+    that share a frequent shingle among their first; one text of each is outside of the
+    shingle's largest group.
+    """
+    grams = materialise(docs.select("d", F.xxhash64("text").alias("t"), "c", "text").distinct().mapInArrow(_grams(shingle), "d long, t long, c long, size long, g long"), "grams")
+    held = grams.groupBy("g").agg(F.count("*").alias("f"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("g", "f")
+    shared = grams.join(materialise(held, "held"), "g").groupBy("d", "t").agg(F.first("c").alias("c"), F.first("size").alias("size"), F.collect_list(F.struct("f", "g")).alias("s"))
+    first = materialise(shared.mapInArrow(_prefixer(similarity), "d long, c long, size long, hot long, h long, f long, g long"), "prefixes")
+    s, slack = similarity, 1e-6
+    rare = first.where(F.col("f") <= RARE).select("d", "c", "size", "g")
+    some = rare.select("g", *[F.col(x).alias(f"{x}2") for x in ("d", "c", "size")])
+    alike = rare.join(some, "g").where("c < c2").where(F.least("size", "size2") >= s * F.greatest("size", "size2") - slack)
+    links = alike.select(F.least("d", "d2").alias("u"), F.greatest("d", "d2").alias("v")).distinct()
+
+    most = first.where((F.col("f") > RARE) & (F.col("hot") >= s * F.col("size") - slack))
+    most = most.withColumn("dense", F.col("hot") >= 2 * s / (1 + s) * F.col("size") - slack)
+    dense = most.where("dense").select("d", "c", "size", "h").distinct()
+    least = materialise(dense.groupBy("h").agg(F.min(F.struct("size", "d", "c")).alias("x")).select("h", F.col("x.d").alias("d2"), F.col("x.c").alias("c2")), "least")
+    named = dense.join(least, "h").where("c != c2").select(F.least("d", "d2").alias("u"), F.greatest("d", "d2").alias("v"))
+    most = materialise(most.join(least.select(F.col("d2").alias("d"), F.lit(True).alias("stands")).distinct(), "d", "left").where("not dense or stands").select("g", "d", "c", "size", "hot", "dense"), "most")
+    groups = most.groupBy("g", "c").agg(F.count("*").alias("n")).groupBy("g").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count("*").alias("n"))
+    outside = materialise(most.join(groups.where("n > 1").select("g", "main"), "g").where("c != main").drop("main"), "outside")
+    outside = outside.select("g", *[F.col(x).alias(f"{x}2") for x in ("d", "c", "size", "hot", "dense")])
+    small = F.when(F.col("size") < F.col("size2"), F.col("dense")).when(F.col("size") > F.col("size2"), F.col("dense2")).otherwise(F.col("dense") | F.col("dense2"))
+    enough = F.least("hot", "hot2") >= s / (1 + s) * (F.col("size") + F.col("size2")) - slack
+    rest = most.join(outside, "g").where("c != c2").where(small & enough)
+    rest = rest.select(F.least("d", "d2").alias("u"), F.greatest("d", "d2").alias("v")).distinct()
+    return links.unionByName(named).unionByName(rest).distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -31,3 +31,18 @@ def test_a_phrase_repeated_at_the_end(spark):
         rows += [(2 * i, f"{text} {phrase}"), (2 * i + 1, f"{text} {' '.join([phrase] * (20, 100, 400)[i % 3])}")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).select("doc_id").collect()) == list(range(0, 60, 2))
+
+
+def test_pairs_in_a_crowd(spark):
+    """Pairs at 0.84 among 800 texts that are mostly one boilerplate, all below 0.8 to the crowd."""
+    rng = random.Random(5)
+    common = [f"c{i}" for i in range(300)]
+    rows = []
+    for i in range(400):
+        own = [f"w{rng.getrandbits(40)}" for _ in range(45)]
+        rows += [(2 * i, " ".join(common + own)), (2 * i + 1, " ".join(common + own[:20] + [f"w{rng.getrandbits(40)}" for _ in range(25)]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for _, t in rows[:20]]
+    alike = [(a, b) for a in range(20) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert alike == [(a, a - 1) for a in range(1, 20, 2)]
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).select("doc_id").collect()) == list(range(0, 800, 2))
