@@ -1,6 +1,6 @@
 """Secret scans: base patterns and a password guess-cost dynamic program.
 
-Values in a credential context (after words like ``pwd`` or ``passphrase``) are segmented
+Values in a credential context (``pwd=``, ``passphrase is``, ``auth: bearer``) are segmented
 at minimum cost into words, dates, repeats, keyboard walks and brute-force spans; the cost
 is the decimal logarithm of the guesses an informed attacker needs. Values that cost enough
 are secrets, placeholders like ``changeme`` are not.
@@ -24,11 +24,12 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: Runs shorter than 32 would be dropped, so they need not match.
 HEX = re.compile(r"[0-9a-f]{32,}")
-#: Credential contexts that the base patterns do not know; the value is the last group.
+#: What comes before a value in a credential context; the group is a blank and no more.
 CONTEXT = re.compile(
-    r"""(?:\b(?:pwd|passphrase|passcode|credentials?|auth|bearer|private_?key|access_?key|login)\b["']?\x20*(?:[:=]|\x20is\x20|\x20)\x20*|(?:password|passwd|secret|token|api_?key)["']?\x20+is\x20+)["']?([^\s"'<>,;]{6,})""",
+    r"""(?:(?:password|passwd|secret|token|api_?key)["']?(?:\x20*[:=]+>?\x20*|\x20+is\x20+)|(?<![^\W_])(?:pwd|passphrase|passcode|credentials?|auth|bearer|private_?key|access_?key|login)["']?(?:\x20*[:=]+>?\x20*|\x20+is\x20+|(\x20+)))(?:["']?(?:basic|digest|token)\x20+(?!is\x20|[:=]))?""",
     re.I | re.A,
 )
+VALUE = re.compile(r"""["']?([^\s"'<>,;]{6,})""")
 #: One of these is in every match of ``ASSIGN`` or ``CONTEXT``, in lower case.
 _HINTS = ("passw", "secret", "token", "apikey", "api_key", "pwd", "passphrase", "passcode", "credential", "auth", "bearer", "privatekey", "private_key", "accesskey", "access_key", "login")
 KINDS = ("assign", "access", "hex", "guess")
@@ -116,10 +117,17 @@ def find_secrets(text: str | None, min_cost: float = MIN_COST) -> list[tuple[int
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     if hinted:
         base = sorted((s, e) for s, _, e in spans)
-        for m in CONTEXT.finditer(text):
+        contexts = list(CONTEXT.finditer(text))
+        starts, last = {m.start() for m in contexts}, 0
+        for context in contexts:
+            m = VALUE.match(text, context.end())
+            # In "auth: bearer x" the value starts a context of its own.
+            if not m or m.start(1) in starts or m.start(1) < last:
+                continue
             start, end = m.span(1)
             if not any(s < end and start < e for s, e in base) and guess_cost(m[1]) >= min_cost and not m[1].isalpha():
                 spans.append((start, 3, end))
+                last = end
     return sorted(spans)
 
 
