@@ -35,13 +35,17 @@ _HINTS = ("passw", "secret", "token", "apikey", "api_key", "pwd", "passphrase",
 KINDS = ("assign", "access", "hex", "guess")
 #: Values that cost this many decimal digits of guesses or more are secrets.
 MIN_COST = 8.0
+#: The same for values of letters only after a blank, as in "login information": most are prose.
+BARE_COST = 25.0
 
 #: Common passwords and words, most common first.
 WORDS = """password 123456 qwerty admin welcome letmein login secret dragon monkey football baseball master
 shadow sunshine princess iloveyou trustno1 superman batman hello freedom whatever charlie jordan michael
 changeme default example test testing user guest root token key pass word demo sample placeholder
 summer winter spring autumn love money house computer internet server database access system company
-your my the api insert here value string none null true false""".split()
+your my the api insert here value string none null true false
+please enter required invalid incorrect expired missing optional protected encrypted stored correct
+change changed needed disabled enabled unknown hidden bearer undefined information""".split()
 _RANK = {w: i + 1 for i, w in enumerate(dict.fromkeys(WORDS))}
 _LONGEST = max(map(len, _RANK))
 _LEET = str.maketrans("013457$@", "oieastsa")
@@ -125,7 +129,8 @@ def find_secrets(text: str | None, min_cost: float = MIN_COST) -> list[tuple[int
             if not m or m.start(1) in starts or m.start(1) < last:
                 continue
             start, end = m.span(1)
-            if not any(s < end and start < e for s, e in base) and guess_cost(m[1]) >= min_cost and not m[1].isalpha():
+            least = max(min_cost, BARE_COST) if context[1] and m[1].isalpha() else min_cost
+            if not any(s < end and start < e for s, e in base) and guess_cost(m[1]) >= least:
                 spans.append((start, 3, end))
                 last = end
     return sorted(spans)
@@ -160,8 +165,8 @@ def scan_secrets(docs: DataFrame, min_cost: float = MIN_COST) -> DataFrame:
 
     ``spans`` lists ``kind:start:end`` of every finding in ``text``, in code points, by
     start and then kind; ``base_sha256`` digests those of the base patterns alone. Guess
-    spans hold the value only, never overlap a base span and have a character that is no
-    letter. Null and empty texts have none; repeated rows are scanned alike; other columns
+    spans hold the value only and never overlap a base span; values of letters only after a
+    blank, without : or = or "is", must cost ``BARE_COST``. Null and empty texts have none; repeated rows are scanned alike; other columns
     pass through, those named like the new ones are replaced. Nothing is shuffled.
     """
     docs = replacing(docs, *_NEW)

@@ -32,3 +32,17 @@ def test_value_is_found(text, value):
 @pytest.mark.parametrize("text", ["passcode: changeme", "pwd=qwerty", "auth: bearer", "password is 123456"])
 def test_cheap_values_are_not(text):
     assert secrets.find_secrets(text) == []
+
+
+@pytest.mark.parametrize("text", ["pwd: {}", "password is {}", "secret={}", "passphrase = '{}'"])
+def test_letters_only(text):
+    """Cost alone decides; base patterns take what they know."""
+    at = text.index("{}")
+    found = secrets.find_secrets(text.format("xkqjzvwpmbtrhg"))
+    assert found == [(0, 0, at + 14)] if text.startswith("secret") else found == [(at, 3, at + 14)]
+
+
+def test_letters_after_a_blank():
+    assert secrets.find_secrets("login information") == secrets.find_secrets("the login procedure") == []
+    assert secrets.find_secrets("bearer xkQjzvWpmBtrhgLs") == [(7, 3, 23)]
+    assert secrets.find_secrets("password is incorrect") == secrets.find_secrets("login: please enter") == []
