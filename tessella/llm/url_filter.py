@@ -11,12 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import ascii_lower, materialise, replacing
+from tessella.llm.common import ascii_lower, materialise, replacing, unused
 
-#: Rules up to this number are sent to all tasks; longer lists are joined by shuffle.
+#: Rules, and judged pairs of host and path, up to this number are sent to all tasks; longer tables are joined by shuffle.
 BROADCAST_RULES = 200_000
 #: The filter never gets more 256-bit blocks than this; beyond, it passes more.
-MAX_BLOCKS = 1 << 21
+MAX_BLOCKS = 1 << 18
 #: Parts that the rows of a popular rule are dealt to in the shuffled join.
 SALTS = 64
 
@@ -86,9 +86,12 @@ def judge_urls(urls: DataFrame, rules: DataFrame, default: str = "allow", url: s
         hits = passed.withColumn("salt", salt).join(copies, ["rule", "h", "p", "salt"])
     best = hits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "v"), F.struct(F.length("rule"), F.length("h"))).alias("best"))
     # Read from files, so that adaptive execution can split the rows of one very common URL.
-    best = materialise(best.select(F.col("host").alias("__h"), F.col("path").alias("__p"), "best"), "urls")
-    out = base.join(best, (F.col("host") == F.col("__h")) & (F.col("path") == F.col("__p")), "left")
-    return out.select(*base.columns, F.col("best.rule").alias("rule"), F.coalesce("best.v", F.lit(default)).alias("verdict"))
+    h, p, won = unused(base, "__h", "__p", "__best")
+    best = materialise(best.toDF(h, p, won), "urls")
+    # Sent to all tasks only if proven small; Spark's own bound is on the size of files.
+    best = F.broadcast(best) if best.count() <= BROADCAST_RULES else best.hint("merge")
+    out = base.join(best, (F.col("host") == F.col(h)) & (F.col("path") == F.col(p)), "left")
+    return out.select(*base.columns, F.col(won)["rule"].alias("rule"), F.coalesce(F.col(won)["v"], F.lit(default)).alias("verdict"))
 
 
 #: The rules of the registered query.
