@@ -1,8 +1,7 @@
 """Deterministic sharded WARC writer and a reader that checks what was written.
 
-Rows are dealt to shards by ranges of page id, cut where the payload bytes of a fixed
-histogram of the ids reach the shard size, so the shards follow from the data alone and not
-from the cluster. A shard is sorted by id and streamed into gzip members, one for each
+Rows are dealt to shards by ranges of (page id, digest), cut where the running payload bytes
+pass the shard size, so the shards follow from the data alone and not from the cluster. A shard is sorted by id and streamed into gzip members, one for each
 record; a file rolls when its compressed size is reached. Headers, record ids and digests
 are made anew from the row. Tasks write under temporary names and report them in a
 manifest; only what the manifest lists is renamed, so retried and speculative attempts
@@ -27,9 +26,9 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import id_key, key_id, materialise, partitions, scratch_dir
+from tessella.llm.common import NULL_ID, id_key, key_id, materialise, open_fs, partitions, running_totals, scratch_dir
 
-#: Cells of the histogram of page ids on which shards are cut.
+#: Equal ranges of page ids in which the starts of shards are looked up.
 CELLS = 1 << 16
 #: Fixed value: the date of all records, as nothing in a row tells it.
 DATE = "2024-01-01T00:00:00Z"
@@ -37,36 +36,40 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _MANIFEST = "shard long, seq long, temporary string, file string, records long, bytes long, sha256 string"
 
 
-def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a path or URI, and the path inside it."""
-    return pafs.FileSystem.from_uri(uri) if ":/" in uri else (pafs.LocalFileSystem(), uri)
-
-
 def revisits(meta: DataFrame, min_bytes: int) -> DataFrame:
     """``page, digest, head``: records whose payload a record with a smaller id holds."""
     heads = meta.where(F.col("n") >= min_bytes).groupBy("digest").agg(F.min("page").alias("head"), F.count("*").alias("c")).where("c > 1").drop("c")
     return meta.join(materialise(heads, "heads"), "digest").where("page != head").select("page", "digest", "head").distinct()
 
 
-def shard_cells(meta: DataFrame, shard_bytes: int) -> tuple[DataFrame, Column]:
-    """``cell, shard`` of the histogram, at most ``CELLS`` rows, and the cell of a ``page``."""
-    ids = meta.where(id_is_set())
-    low, high = ids.agg(F.min("page"), F.max("page")).first()
+def shard_ranges(meta: DataFrame, shard_bytes: int) -> tuple[DataFrame, Column, Column, int]:
+    """How to find the shard of a record: a table ``cell, base, starts``, the cell of a
+    ``page``, the shard of a row joined with the table, and the number of shards.
+
+    Records in the order of (page, digest) are cut where their running bytes pass a multiple
+    of ``shard_bytes``: no shard has more, but for its last record, whatever the ids are. The
+    first record of each shard, a few dozen bytes, comes to the driver; ``CELLS`` equal
+    ranges of ids tell which of these a row has to be compared with.
+    """
+    sized = meta.groupBy("page", "digest").agg(F.sum(F.col("n") + 400).alias("w"))
+    placed = running_totals(sized, [F.col("page"), F.col("digest")], {"end": F.col("w")}, "placed")
+    first = placed.groupBy(F.floor((F.col("end") - F.col("w")) / shard_bytes).alias("at")).agg(F.min(F.struct("page", "digest")).alias("s"))
+    starts = sorted(tuple(r.s) for r in first.collect())
+    low, high = meta.where(F.col("page") != NULL_ID).agg(F.min("page"), F.max("page")).first()
     low, high = (0, 0) if low is None else (low, high)
     width = (high - low) // CELLS + 1
-    cell = F.when(id_is_set(), F.floor((F.col("page") - F.lit(low)) / F.lit(width))).otherwise(CELLS).cast("long")
-    weights = meta.groupBy(cell.alias("cell")).agg(F.sum(F.col("n") + 400).alias("w")).collect()
-    found, shard, filled = [], 0, 0
-    for row in sorted(weights):
-        if filled and filled + row.w > shard_bytes:
-            shard, filled = shard + 1, 0
-        filled += row.w
-        found.append((row.cell, shard))
-    return meta.sparkSession.createDataFrame(found, "cell long, shard long"), cell
-
-
-def id_is_set() -> Column:
-    return F.col("page") != F.lit(2**63 - 1)
+    of = lambda page: CELLS if page == NULL_ID else (page - low) // width
+    inside: dict[int, list] = {}
+    for start in starts:
+        inside.setdefault(of(start[0]), []).append(start)
+    table, base = [], 0
+    for k in range(CELLS + 1):
+        table.append((k, base, inside.get(k, [])))
+        base += len(inside.get(k, []))
+    cells = meta.sparkSession.createDataFrame(table, "cell long, base int, starts array<struct<page:bigint,digest:string>>")
+    cell = F.when(F.col("page") == NULL_ID, F.lit(CELLS)).otherwise(F.expr(f"(page - {low}L) div {width}L")).cast("long")
+    passed = F.size(F.filter("starts", lambda s: s <= F.struct("page", "digest")))
+    return cells, cell, (F.col("base") + passed - 1).cast("int"), len(starts)
 
 
 def _headers(fields: list[tuple[str, str | None]]) -> bytes:
@@ -181,21 +184,22 @@ def write_warc(pages: DataFrame, root: str, shard_bytes: int = 32 << 20, roll_by
     sorts last; of rows that repeat a page_id and a payload the first is the response.
     Other columns are ignored. No rows give an empty manifest and no files.
 
-    Shards hold ``shard_bytes`` of payload, or one cell of the id histogram where that
-    alone has more; the files of a shard roll at ``roll_bytes``. Equal rows and parameters
-    give equal files under equal names.
+    Shards hold ``shard_bytes`` of payload and headers, or one record where that alone has
+    more; the files of a shard roll at ``roll_bytes``. Equal rows and parameters give equal
+    files under equal names.
     """
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     base = pages.select(id_key("page_id").alias("page"), "url", payload.alias("payload"))
     base = base.withColumn("digest", F.sha2("payload", 256)).withColumn("n", F.octet_length("payload").cast("long"))
     meta = materialise(base.select("page", "digest", "n"), "digests")
-    cells, cell = shard_cells(meta, shard_bytes)
+    cells, cell, shard, n_shards = shard_ranges(meta, shard_bytes)
     none = F.lit(None)
     decided = revisits(meta, min_bytes).select("page", none.cast("string").alias("url"), none.cast("binary").alias("payload"), "digest", none.cast("long").alias("n"), "head")
     rows = base.withColumn("head", none.cast("long")).unionByName(decided)
-    dealt = rows.withColumn("cell", cell).join(F.broadcast(cells), "cell").select("shard", "page", "url", "payload", "digest", "n", "head")
+    dealt = rows.withColumn("cell", cell).join(F.broadcast(cells), "cell").select(shard.alias("shard"), "page", "url", "payload", "digest", "n", "head")
     order = ["shard", "page", F.col("payload").isNotNull(), "digest", "url"]
-    dealt = dealt.repartition(partitions(pages.sparkSession), "shard").sortWithinPartitions(*order)
+    # A task for each shard.
+    dealt = dealt.repartitionById(max(1, n_shards), "shard").sortWithinPartitions(*order)
     written = materialise(dealt.mapInArrow(_writer(root, roll_bytes, min_bytes), _MANIFEST), "manifest")
     manifest = materialise(written.mapInArrow(_committer(root), _MANIFEST), "committed")
     fs, path = open_fs(root)
