@@ -1,10 +1,11 @@
 """A toxicity classifier with counterfactual regularisation.
 
 A logistic model over the words and word beginnings of a text. Features are chosen by how
-far their share of toxic documents lies from the overall share. For each labelled text that
-mentions identity groups, a counterfactual text swaps each mention for another group of the
-same list; the fit penalises the squared change of the log odds, so that naming a group
-neither raises nor lowers a score by itself.
+far their share of toxic documents lies from the overall share; identity terms are features
+always. Each sentence of a labelled text that mentions identity groups has counterfactual
+sentences: every mention swapped for another group of the same list, and for a word that
+names no group. The fit penalises the squared change of the log odds, so that naming a
+group neither raises nor lowers a score by itself, and neutral mentions aren't rejected.
 
 The fit sees a sample of labelled rows of bounded size (``Settings.sample``); scoring reads
 every text in place and shuffles nothing.
@@ -14,11 +15,13 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +29,7 @@ from pyspark.sql import types as T
 from tessella.llm.common import materialise, replacing
 
 _WORD = re.compile(r"[^\W\d_]+")
+_SENTENCE = re.compile(r"[.!?\n]+")
 
 #: Terms that name groups, by language; a term is swapped inside its list.
 IDENTITIES = (
@@ -42,6 +46,8 @@ IDENTITIES = (
     "cristianos musulmanes judíos hindúes budistas ateos".split(),
     "mujeres hombres niñas niños extranjeros refugiados negros blancos árabes".split(),
 )
+#: Fixed value: stands for a group that isn't named; never a feature.
+NOBODY = "_"
 _SWAP: dict[str, str] = {}
 for _group in IDENTITIES:
     for _term, _other in zip(_group, _group[1:] + _group[:1]):
@@ -75,23 +81,35 @@ def features_of(words: set[str], prefix: int) -> set[str]:
     return words | {w[:prefix] + "*" for w in words if len(w) > prefix}
 
 
-def swapped(words: set[str]) -> set[str] | None:
-    """The words with each identity term swapped for the next of its list; None without any."""
-    terms = words & _SWAP.keys()
-    return (words - terms) | {_SWAP[t] for t in terms} if terms else None
+def swaps_of(text: str | None, prefix: int) -> Counter:
+    """(features that go, features that come) of the counterfactuals of each sentence that
+    names groups, and the number of sentences with this change."""
+    found: Counter = Counter()
+    low = (text or "").lower()
+    if _SWAP.keys().isdisjoint(_WORD.findall(low)):
+        return found
+    for sentence in _SENTENCE.split(low):
+        words = words_in(sentence)
+        terms = words & _SWAP.keys()
+        if not terms:
+            continue
+        before = features_of(words, prefix)
+        for other in (lambda t: _SWAP[t], lambda t: NOBODY):
+            after = features_of((words - terms) | {other(t) for t in terms} - {NOBODY}, prefix)
+            found[tuple(sorted(before - after)), tuple(sorted(after - before))] += 1
+    return found
 
 
 def _extractor(prefix: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            plain, other = [], []
+            plain, swaps = [], []
             for text in batch.column("text"):
-                words = words_in(text.as_py())
-                swap = swapped(words)
-                plain.append(sorted(features_of(words, prefix)))
-                other.append(None if swap is None else sorted(features_of(swap, prefix)))
-            kind = pa.list_(pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(plain, kind), pa.array(other, kind)], ["toxic", "plain", "swapped"])
+                plain.append(sorted(features_of(words_in(text.as_py()), prefix)))
+                swaps.append([{"gone": list(g), "come": list(c), "n": n} for (g, c), n in sorted(swaps_of(text.as_py(), prefix).items())])
+            words = pa.list_(pa.string())
+            change = pa.list_(pa.struct([("gone", words), ("come", words), ("n", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(plain, words), pa.array(swaps, change)], ["toxic", "plain", "swaps"])
 
     return run
 
@@ -100,8 +118,9 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
-def fit_weights(rows: list[tuple[int, list[int], list[int] | None]], size: int, settings: Settings) -> tuple[np.ndarray, float]:
-    """Weights and intercept for (label, features, features after the swap or None) rows."""
+def fit_weights(rows: list[tuple[int, list[int]]], swaps: list[tuple[list[int], list[int], int]], size: int, settings: Settings) -> tuple[np.ndarray, float]:
+    """Weights and intercept for (label, features) rows and (features that go, features that
+    come, sentences) swaps."""
     y = np.array([r[0] for r in rows], float)
     intercept = math.log((y.sum() + 0.5) / (len(y) - y.sum() + 1.5))
     w = np.zeros(size)
@@ -110,15 +129,17 @@ def fit_weights(rows: list[tuple[int, list[int], list[int] | None]], size: int,
     doc = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
     at = np.fromiter((i for r in rows for i in r[1]), np.int64, len(doc))
     # The change of the log odds under a swap: features that come, less those that go.
-    moves = [(k, i, s) for k, r in enumerate(x for x in rows if x[2] is not None) for i, s in [*((i, 1.0) for i in set(r[2]) - set(r[1])), *((i, -1.0) for i in set(r[1]) - set(r[2]))]]
+    moves = [(k, i, s) for k, (gone, come, _) in enumerate(swaps) for i, s in [*((i, 1.0) for i in come), *((i, -1.0) for i in gone)]]
     pair, term, sign = (np.array(c) for c in zip(*moves)) if moves else (np.empty(0, int), np.empty(0, int), np.empty(0))
-    pairs = int(pair.max()) + 1 if len(pair) else 0
+    pairs = len(swaps) if moves else 0
+    often = np.array([n for *_, n in swaps], float)
+    often = often / often.sum() if pairs else often
     m, v = np.zeros(size + 1), np.zeros(size + 1)
     for step in range(1, settings.steps + 1):
         error = (_sigmoid(np.bincount(doc, weights=w[at], minlength=len(y)) + intercept) - y) / len(y)
         g = np.bincount(at, weights=error[doc], minlength=size) + settings.l2 * w
         if pairs:
-            change = np.bincount(pair, weights=w[term] * sign, minlength=pairs) / pairs
+            change = np.bincount(pair, weights=w[term] * sign, minlength=pairs) * often
             g += settings.swap_penalty * np.bincount(term, weights=2 * change[pair] * sign, minlength=size)
         g = np.append(g, error.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -144,13 +165,17 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     """A model of ``labels`` (``doc_id, toxic``) on the texts of ``docs``.
 
     Labels whose id or value is null, or whose document is missing, are ignored; a doc_id
-    labelled twice is toxic if any label says so. Without labels all texts get one low score.
+    labelled twice is toxic if any label says so, and of texts that share a doc_id the least
+    one teaches (a null text is the least). With labels of one class, or none, all texts get
+    one score, which leans to that class, or is low.
     """
     named = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     named = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.sample)
-    # At most ``settings.sample`` labels are sent to all tasks.
-    labelled = docs.select("doc_id", "text").join(F.broadcast(named), "doc_id").select("toxic", "text")
-    rows = materialise(labelled.mapInArrow(_extractor(settings.prefix), "toxic int, plain array<string>, swapped array<string>"), "labelled")
+    # At most ``settings.sample`` labels are sent to all tasks, and as many texts are read.
+    labelled = docs.select("doc_id", "text").join(F.broadcast(named), "doc_id")
+    labelled = labelled.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min(F.struct("text")).alias("t")).select("toxic", "t.text")
+    change = "array<struct<gone:array<string>,come:array<string>,n:bigint>>"
+    rows = materialise(labelled.mapInArrow(_extractor(settings.prefix), f"toxic int, plain array<string>, swaps {change}"), "labelled")
     n, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     share = toxic / n if n else 0.0
     if not 0 < share < 1:
@@ -159,21 +184,25 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     z = F.abs((F.col("t") - F.col("c") * share) / F.sqrt(F.col("c") * (share * (1 - share))))
     chosen = counted.where(F.col("c") >= settings.least_docs).withColumn("z", z).where(F.col("z") >= settings.least_z)
     names = [r.f for r in chosen.orderBy(F.desc("z"), "f").limit(settings.features).collect()]
+    # Changes are made of the listed terms and their beginnings: few distinct ones.
+    changes = rows.select(F.explode("swaps").alias("s")).groupBy("s.gone", "s.come").agg(F.sum("s.n").alias("n"))
+    swaps = sorted((r.gone, r.come, r.n) for r in changes.collect())
+    names += sorted({f for gone, come, _ in swaps for f in (*gone, *come)} - set(names))
     index = {f: i for i, f in enumerate(names)}
     if not names:
         return Model({}, math.log((toxic + 0.5) / (n - toxic + 1.5)), settings.prefix)
     listed = F.array(*[F.lit(f) for f in names])
-    ours = rows.select("toxic", F.array_sort(F.array_intersect("plain", listed)).alias("p"), F.array_sort(F.array_intersect("swapped", listed)).alias("s"))
-    pick = lambda fs: None if fs is None else [index[f] for f in fs]
+    ours = rows.select("toxic", F.array_sort(F.array_intersect("plain", listed)).alias("p"))
+    pick = lambda fs: [index[f] for f in fs]
     # The bounded sample is put in order here, so that reruns add in one order.
-    examples = sorted((r.toxic, r.p, r.s is not None, r.s or []) for r in ours.collect())
-    w, intercept = fit_weights([(toxic, pick(p), pick(s) if has else None) for toxic, p, has, s in examples], len(names), settings)
+    examples = sorted((r.toxic, r.p) for r in ours.collect())
+    w, intercept = fit_weights([(y, pick(p)) for y, p in examples], [(pick(g), pick(c), k) for g, c, k in swaps], len(names), settings)
     return Model({f: float(x) for f, x in zip(names, w)}, intercept, settings.prefix)
 
 
-def _scorer(model):
+def _scorer(sent: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = model.value.score
+        score = Model(*sent.value).score
         for batch in batches:
             scores = pa.array([score(t.as_py()) for t in batch.column("text")], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, "score"])
@@ -189,7 +218,8 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     ones are replaced; an empty table gives an empty result.
     """
     docs = replacing(docs, "score", "predicted")
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    # Plain values: executors need not have this package to read them.
+    sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.intercept, model.prefix))
     scored = docs.mapInArrow(_scorer(sent), T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
