@@ -4,15 +4,18 @@ Every string of ``length`` bytes holds one anchor: its leftmost ``GRAM``-byte su
 the least hash. Equal strings have equal anchors at equal offsets, so suffixes need to be
 sorted around anchors only; an anchor stands for the run of strings that chose it.
 
-1. Runs are range-partitioned by the hash of their anchor's leading bytes and sorted. Of
-   runs with equal bytes all but the earliest are repeats as a whole. Of the rest, those
-   whose anchor occurs once are unique and need no more work.
-2. The remaining runs are cut into pieces of ``PIECE`` strings at most, which have most of
-   their bytes in common. Those common bytes lead: sampled splitters range-partition the
-   pieces by them, and a bucket sorts the strings of pieces that share them by multikey
-   quicksort, eight bytes a character; equal neighbours are repeats but for the earliest.
-3. A lead that may go on in the next bucket, as a hot one does, has its earliest strings
-   compared across boundaries: a second aggregate over their digests.
+1. Runs are range-partitioned by the hash of their anchor's leading bytes and sorted. Those
+   whose anchor occurs once are unique and need no more work. A hash tells no more than
+   this: whatever is removed has been compared byte by byte.
+2. The bytes of the other runs are range-partitioned by anchor and sorted. Of equal runs all
+   but the earliest are repeats as a whole. Anchors of several different runs leave the
+   earliest of each.
+3. Those are cut into pieces of ``PIECE`` strings at most, which have most of their bytes in
+   common. Those common bytes lead: sampled splitters range-partition the pieces by them,
+   and a bucket sorts the strings of pieces that share them by multikey quicksort, eight
+   bytes a character; equal neighbours are repeats but for the earliest.
+4. A lead that may go on in the next bucket, as a hot one does, has its earliest strings
+   compared across boundaries: a second aggregate over these strings.
 
 What returns to a document are start, length pairs of its repeated strings.
 """
@@ -24,12 +27,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import id_key, materialise, partitions, replacing
+from tessella.llm.common import discard, id_key, materialise, partitions, replacing, scratch_dir
 
 #: Bytes of an anchor; at most the length of the strings.
 GRAM = 32
@@ -37,6 +41,7 @@ GRAM = 32
 PIECE = 12
 #: Bytes of text hashed at once, so that memory does not grow with a batch or a text.
 BLOCK_BYTES = 1 << 20
+_RUNS = "g long, d long, at long, n long, off long"
 #: Texts of rows that repeat a doc_id count as parts of one document, this far apart.
 PART = 1 << 40
 
@@ -83,21 +88,18 @@ def window_argmin(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs_of(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(start, count, anchor, gram hash, run hash) of the runs of strings of one text block."""
+    """(start, count, anchor, gram hash) of the runs of strings of one text block."""
     n = len(data) - length + 1
     if n <= 0:
         none = np.empty(0, np.int64)
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, none.view(np.uint64)
     gram = min(GRAM, length)
-    hashes = Hashes(data, _BASES[0])
     first = np.arange(len(data) - gram + 1)
-    grams = hashes.of(first, first + gram)
+    grams = Hashes(data, _BASES[0]).of(first, first + gram)
     anchors = window_argmin(grams, length - gram + 1)
     start = np.concatenate([[0], np.nonzero(anchors[1:] != anchors[:-1])[0] + 1])
-    count = np.diff(np.append(start, n))
     anchor = anchors[start]
-    run = mixed(hashes.of(start, start + count + length - 1) + _ODD * (count.astype(np.uint64) + np.uint64(1024) * (anchor - start).astype(np.uint64)))
-    return start, count, anchor, grams[anchor], run
+    return start, np.diff(np.append(start, n)), anchor, grams[anchor]
 
 
 def merged(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,42 +112,50 @@ def merged(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _anchorer(length: int):
-    """Runs of each text; those that repeat an earlier run of the same text are settled, which
-    an anchor's offset ``off`` of -1 tells."""
+    """Runs of each text; those whose bytes repeat an earlier run of the same text are
+    settled, which an anchor's offset ``off`` of -1 tells."""
 
     def of_text(data: np.ndarray):
         parts = []
         for at in range(0, max(1, len(data) - length + 1), BLOCK_BYTES):
-            start, count, anchor, gram, run = runs_of(data[at : at + BLOCK_BYTES + length - 1], length)
-            parts.append((start + at, count, anchor - start, gram, run))
-        start, count, offset, gram, run = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((start, run, gram))
+            start, count, anchor, gram = runs_of(data[at : at + BLOCK_BYTES + length - 1], length)
+            parts.append((start + at, count, anchor - start, gram))
+        start, count, offset, gram = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(gram, kind="stable")
+        tied = np.zeros(len(order), bool)
+        same = gram[order[1:]] == gram[order[:-1]]
+        tied[1:] |= same
+        tied[:-1] |= same
         again = np.zeros(len(order), bool)
-        again[order[1:]] = (run[order[1:]] == run[order[:-1]]) & (gram[order[1:]] == gram[order[:-1]])
+        if tied.any():
+            raw, seen = data.tobytes(), set()
+            for i in np.sort(order[tied]).tolist():
+                piece = raw[start[i] : start[i] + count[i] + length - 1]
+                again[i] = piece in seen
+                seen.add(piece)
         if not again.any():
-            return start, count, offset, gram, run
+            return start, count, offset, gram
         s, c = merged(start[again], count[again])
         # A settled range goes anywhere in the partitioning; its hash deals it out.
         spread = mixed(s.astype(np.uint64) + gram[0])
         fresh = ~again
-        none = np.zeros(len(s), np.int64)
-        settled = (s, c, none - 1, spread, none.view(np.uint64))
-        return tuple(np.concatenate([x[fresh], y]) for x, y in zip((start, count, offset, gram, run), settled))
+        settled = (s, c, np.full(len(s), -1), spread)
+        return tuple(np.concatenate([x[fresh], y]) for x, y in zip((start, count, offset, gram), settled))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held, size = [], 0
             for d, part, text in zip(*(batch.column(i) for i in range(3))):
                 data = np.frombuffer(text.as_buffer() or b"", np.uint8) if text.is_valid else np.empty(0, np.uint8)
-                start, count, offset, gram, digest = of_text(data)
+                start, count, offset, gram = of_text(data)
                 if len(start):
-                    held.append((gram.view(np.int64), digest.view(np.int64), np.full(len(start), d.as_py()), start + part.as_py() * PART, count, offset))
+                    held.append((gram.view(np.int64), np.full(len(start), d.as_py()), start + part.as_py() * PART, count, offset))
                     size += len(start)
                 if size > 1 << 16:
-                    yield _batch(held, ["g", "f", "d", "at", "n", "off"])
+                    yield _batch(held, ["g", "d", "at", "n", "off"])
                     held, size = [], 0
             if held:
-                yield _batch(held, ["g", "f", "d", "at", "n", "off"])
+                yield _batch(held, ["g", "d", "at", "n", "off"])
 
     return run
 
@@ -166,22 +176,22 @@ def _joined(batches: list[pa.RecordBatch]) -> list[pa.Array]:
     return [pa.concat_arrays([b.column(i) for b in batches]) for i in range(batches[0].num_columns)]
 
 
-def _by_key(batches: Iterator[pa.RecordBatch], least: int = 1 << 16) -> Iterator[tuple[list[pa.Array], bool, bool]]:
-    """(columns, is first, is last): rows sorted by their first column, cut where it changes."""
+def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.Array], bool, bool]]:
+    """(columns, is first, is last): rows sorted by their first column, cut where it changes,
+    in blocks of bounded bytes as far as one key's rows allow."""
     held: list[pa.RecordBatch] = []
     size, first = 0, True
     for batch in batches:
         if not batch.num_rows:
             continue
-        if size >= least:
-            key = batch.column(0).to_numpy(zero_copy_only=False)
-            last = held[-1].column(0)[-1].as_py()
-            cut = int(np.searchsorted(key, last, side="right"))
-            if cut < len(key):
+        if size >= 2 * BLOCK_BYTES:
+            same = pc.equal(batch.column(0), held[-1].column(0)[-1])
+            cut = pc.index(same, False).as_py()
+            if cut >= 0:
                 yield _joined([*held, batch.slice(0, cut)]), first, False
                 held, size, first, batch = [], 0, False, batch.slice(cut)
         held.append(batch)
-        size += batch.num_rows
+        size += batch.nbytes
     if held:
         yield _joined(held), first, True
 
@@ -191,17 +201,15 @@ def _ints(columns: list) -> list[np.ndarray]:
 
 
 def _sifter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted runs to ``d, at, n, open``: whole repeats, and runs to compare byte by byte."""
+    """Sorted runs without those whose anchor is theirs alone."""
     for columns, first, last in _by_key(batches):
-        g, f, d, at, n, off = _ints(columns)
-        settled = off < 0
-        group, fresh = np.cumsum(_changes(g)) - 1, _changes(g, f)
-        variants = np.bincount(group, weights=fresh)
-        undecided = variants > 1
-        undecided[0] |= first
-        undecided[-1] |= last
-        keep = settled | ~fresh | undecided[group]
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (d, at, n, off, fresh & ~settled)], ["d", "at", "n", "off", "open"])
+        g, d, at, n, off = _ints(columns)
+        group = np.cumsum(_changes(g)) - 1
+        shared = np.bincount(group) > 1
+        shared[0] |= first
+        shared[-1] |= last
+        keep = (off < 0) | shared[group]
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (g, d, at, n, off)], ["g", "d", "at", "n", "off"])
 
 
 def _packer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,38 +221,72 @@ def _packer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _extractor(length: int):
-    """``d, part, __packed, at, n, off`` to the pieces of the runs: the bytes that all strings
-    of a full piece have, and those to the left and right."""
+    """``__packed`` and the lists ``g, at, n, off`` of a text to the bytes of its runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        cell = min(PIECE, length // 2)
-        names = ["lead", "d", "at", "n", "left", "right"]
-        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        names, kinds = ["g", "run", "d", "at", "n", "off"], [pa.int64(), pa.binary(), *[pa.int64()] * 4]
         pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
         for batch in batches:
             rows, size = [], 0
-            for d, part, packed, *runs in zip(*(batch.column(i) for i in range(6))):
+            for d, part, packed, *runs in zip(*(batch.column(i) for i in range(7))):
                 data, base, d = unpack(packed.as_py()), part.as_py() * PART, d.as_py()
-                for at, n, off in zip(*(x.values.to_pylist() for x in runs)):
-                    # Strings with anchors at offsets of the same cell make a piece.
-                    while n:
-                        k = min(n, off % cell + 1)
-                        first = at - base
-                        a = first + off % cell
-                        b = a + length - cell + 1
-                        rows.append((data[a:b], d, at, k, data[first:a], data[b : first + k - 1 + length]))
-                        at, n, off = at + k, n - k, off - k
-                    size += 2 * length
-                if size > BLOCK_BYTES:
-                    yield pack(rows)
-                    rows, size = [], 0
+                for g, at, n, off in zip(*(x.values.to_pylist() for x in runs)):
+                    rows.append((g, data[at - base : at - base + n + length - 1], d, at, n, off))
+                    size += n + length
+                    if size > BLOCK_BYTES:
+                        yield pack(rows)
+                        rows, size = [], 0
             if rows:
                 yield pack(rows)
 
     return run
 
 
+def _run_sorter(length: int):
+    """Runs sorted by ``g, run, d, at``: those that repeat the one before them as a whole, and
+    of anchors with several different runs, or that another bucket may have too, the pieces
+    of the earliest of each: the bytes that all strings of a full piece have, and those to
+    the left and right of them."""
+
+    cell = min(PIECE, length // 2)
+    names, kinds = ["lead", "d", "at", "n", "left", "right"], [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+
+    def pieces(data: bytes, d: int, at: int, n: int, off: int) -> Iterator[tuple]:
+        # Strings with anchors at offsets of the same cell make a piece.
+        first = 0
+        while n:
+            k = min(n, off % cell + 1)
+            a = first + off % cell
+            b = a + length - cell + 1
+            yield data[a:b], d, at + first, k, data[first:a], data[b : first + k - 1 + length]
+            first, n, off = first + k, n - k, off - k
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns, first, last in _by_key(batches):
+            g, runs, (d, at, n, off) = columns[0].to_numpy(), columns[1], _ints(columns[2:])
+            group = np.cumsum(new := _changes(g)) - 1
+            fresh = np.ones(len(g), bool)
+            fresh[1:] = new[1:] | pc.not_equal(runs.slice(1), runs.slice(0, len(g) - 1)).to_numpy(zero_copy_only=False)
+            open_ = np.bincount(group, weights=fresh) > 1
+            open_[0] |= first
+            open_[-1] |= last
+            gone = np.nonzero(~fresh)[0]
+            none = pa.nulls(len(gone), pa.binary())
+            yield pa.RecordBatch.from_arrays([none, *(pa.array(x[gone]) for x in (d, at, n)), none, none], names)
+            rest, size = [], 0
+            for i in np.nonzero(fresh & open_[group])[0]:
+                rest += pieces(runs[i].as_py(), int(d[i]), int(at[i]), int(n[i]), int(off[i]))
+                size += 4 * length
+                if size > BLOCK_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rest), kinds)], names)
+                    rest, size = [], 0
+            if rest:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rest), kinds)], names)
+
+    return run
+
+
 def multikey_quicksort(data: np.ndarray, suffix: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(order, class): suffixes of ``data`` sorted by their first ``length`` bytes; those with
     equal bytes have one class. A character is eight bytes; after each, only suffixes that
@@ -273,7 +315,7 @@ def multikey_quicksort(data: np.ndarray, suffix: np.ndarray, length: int) -> tup
 
 def _bucket_sorter(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns, first, last in _by_bytes(batches):
+        for columns, first, last in _by_key(batches):
             keys = columns[0].to_pylist()
             edge = [first and k == keys[0] or last and k == keys[-1] for k in keys]
             again = [a == b for a, b in zip(keys[1:], keys)]
@@ -304,37 +346,16 @@ def _bucket_sorter(length: int):
             new[1:] = (rd[1:] != rd[:-1]) | (ra[1:] > ra[:-1] + 1)
             begin = np.nonzero(new)[0]
             count = ra[np.append(begin[1:], len(ra)) - 1] - ra[begin] + 1 if len(ra) else np.empty(0, np.int64)
-            zero = np.zeros(len(begin), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rd[begin], ra[begin], count, zero, zero)], ["d", "at", "n", "h1", "h2"])
-            ask = fresh & edge
-            if ask.any():
-                s = suffix[order][ask]
-                h1, h2 = (Hashes(data, b).of(s, s + length).view(np.int64) for b in _BASES)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (sorted_d[ask], sorted_at[ask], np.zeros(len(s), np.int64), h1, h2)], ["d", "at", "n", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (rd[begin], ra[begin], count)), pa.nulls(len(begin), pa.binary())], ["d", "at", "n", "s"])
+            ask = np.nonzero(fresh & edge)[0]
+            for i in range(0, len(ask), 1 << 13):
+                some, raw = ask[i : i + (1 << 13)], memoryview(data)
+                strings = pa.array([raw[x : x + length].tobytes() for x in suffix[order][some].tolist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(sorted_d[some]), pa.array(sorted_at[some]), pa.array(np.zeros(len(some), np.int64)), strings], ["d", "at", "n", "s"])
 
     return run
 
 
-def _by_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.Array], bool, bool]]:
-    """As ``_by_key``, for a binary first column and blocks of bounded bytes."""
-    held: list[pa.RecordBatch] = []
-    size, first = 0, True
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        if size >= 2 * BLOCK_BYTES:
-            last = held[-1].column(0)[-1].as_py()
-            keys = batch.column(0).to_pylist()
-            cut = next((i for i, k in enumerate(keys) if k != last), len(keys))
-            if cut < len(keys):
-                yield _joined([*held, batch.slice(0, cut)]), first, False
-                held, size, first, batch = [], 0, False, batch.slice(cut)
-        held.append(batch)
-        size += batch.nbytes
-    if held:
-        yield _joined(held), first, True
-
-
 def positioned(docs: DataFrame) -> DataFrame:
     """``docs`` with ``__d``, the id key, and ``__part``, the place among the texts that share
     it (0 if it is the only one) in the order of a hash; equal texts share a place."""
@@ -356,21 +377,28 @@ def repeated_ranges(texts: DataFrame, length: int) -> DataFrame:
     deal = partitions(spark)
     texts = texts.toDF("d", "part", "text")
     # What is range-partitioned comes from files, as its keys are sampled first.
-    runs = materialise(texts.mapInArrow(_anchorer(length), "g long, f long, d long, at long, n long, off long"), "runs")
-    runs = runs.repartitionByRange(deal, "g", "f", "d", "at").sortWithinPartitions("g", "f", "d", "at")
-    sifted = materialise(runs.mapInArrow(_sifter, "d long, at long, n long, off long, open boolean"), "sifted")
-    asked = sifted.where("open").withColumn("part", F.floor(F.col("at") / F.lit(PART)))
-    asked = asked.groupBy("d", "part").agg(*[F.collect_list(c).alias(c) for c in ("at", "n", "off")])
+    scratch = scratch_dir(spark, "runs")
+    texts.mapInArrow(_anchorer(length), _RUNS).write.parquet(scratch)
+    runs = spark.read.schema(_RUNS).parquet(scratch)
+    runs = runs.repartitionByRange(deal, "g", "d", "at").sortWithinPartitions("g", "d", "at")
+    sifted = materialise(runs.mapInArrow(_sifter, _RUNS), "sifted")
+    discard(spark, scratch)
+    asked = sifted.where("off >= 0").withColumn("part", F.floor(F.col("at") / F.lit(PART)))
+    asked = asked.groupBy("d", "part").agg(*[F.collect_list(c).alias(c) for c in ("g", "at", "n", "off")])
     packed = texts.mapInArrow(_packer, "d long, part long, __packed binary")
-    pieces = packed.join(asked, ["d", "part"]).select("d", "part", "__packed", "at", "n", "off")
-    pieces = materialise(pieces.mapInArrow(_extractor(length), "lead binary, d long, at long, n long, left binary, right binary"), "pieces")
-    buckets = pieces.repartitionByRange(deal, "lead", "d", "at").sortWithinPartitions("lead", "d", "at")
-    compared = materialise(buckets.mapInArrow(_bucket_sorter(length), "d long, at long, n long, h1 long, h2 long"), "buckets")
-    edges = compared.where("n = 0").select("h1", "h2", "d", "at")
-    heads = edges.groupBy("h1", "h2").agg(F.min(F.struct("d", "at")).alias("head"), F.count("*").alias("c")).where("c > 1").select("h1", "h2", "head")
+    bytes_of = packed.join(asked, ["d", "part"]).select("d", "part", "__packed", "g", "at", "n", "off")
+    bytes_of = bytes_of.mapInArrow(_extractor(length), "g long, run binary, d long, at long, n long, off long")
+    order = ["g", "run", "d", "at"]
+    sorted_runs = bytes_of.repartitionByRange(deal, *order).sortWithinPartitions(*order)
+    settled = materialise(sorted_runs.mapInArrow(_run_sorter(length), "lead binary, d long, at long, n long, left binary, right binary"), "pieces")
+    buckets = settled.where("lead is not null").repartitionByRange(deal, "lead", "d", "at").sortWithinPartitions("lead", "d", "at")
+    compared = materialise(buckets.mapInArrow(_bucket_sorter(length), "d long, at long, n long, s binary"), "buckets")
+    edges = compared.where("s is not null")
+    heads = edges.groupBy("s").agg(F.min(F.struct("d", "at")).alias("head"), F.count("*").alias("c")).where("c > 1").select("s", "head")
     # Both sides come from files, so adaptive execution can split a hot string's rows.
-    across = edges.join(materialise(heads, "heads"), ["h1", "h2"]).where(F.struct("d", "at") != F.col("head")).select("d", "at", F.lit(1).cast("long").alias("n"))
-    return sifted.where("not open").select("d", "at", "n").unionByName(compared.where("n > 0").select("d", "at", "n")).unionByName(across)
+    across = edges.join(materialise(heads, "heads"), "s").where(F.struct("d", "at") != F.col("head")).select("d", "at", F.lit(1).cast("long").alias("n"))
+    whole = sifted.where("off < 0").select("d", "at", "n").unionByName(settled.where("lead is null").select("d", "at", "n"))
+    return whole.unionByName(compared.where("s is null").select("d", "at", "n")).unionByName(across)
 
 
 _NEW = ("n_bytes", "n_removed", "spans", "kept_sha256", "kept")
@@ -413,18 +441,21 @@ def dedup_substrings(docs: DataFrame, length: int = 100, with_text: bool = True)
     through, those named like the new ones are replaced; an empty table gives an empty
     result. ``length`` is 8 or more.
     """
-    docs = replacing(docs, *_NEW, "__d", "__part", "__packed", "__starts", "__counts")
-    placed = positioned(docs)
+    docs = replacing(docs, *_NEW)
+    # Inside, other columns have names that no private one has.
+    inner = [c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(docs.columns)]
+    placed = positioned(docs.toDF(*inner))
     ranges = repeated_ranges(placed.select("__d", "__part", "text"), length)
     found = ranges.groupBy(F.col("d").alias("__d"), F.floor(F.col("at") / F.lit(PART)).alias("__part"))
     found = found.agg(F.collect_list("at").alias("__starts"), F.collect_list("n").alias("__counts"))
-    rest = [f for f in docs.schema.fields if f.name != "text"]
+    rest = [f for f in placed.schema.fields if f.name in inner and f.name != "text"]
     keys = [T.StructField("__d", T.LongType()), T.StructField("__part", T.LongType())]
     packed = placed.select(*[f.name for f in rest], "__d", "__part", "text").mapInArrow(_packer, T.StructType([*rest, *keys, T.StructField("__packed", T.BinaryType())]))
     joined = packed.join(found, ["__d", "__part"], "left").select(*[f.name for f in rest], "__part", "__packed", "__starts", "__counts")
     longs = [T.StructField(c, T.LongType()) for c in _NEW[:2]]
     new = [*longs, T.StructField("spans", T.ArrayType(T.LongType())), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType()), T.StructField("text", T.StringType())]
-    return joined.mapInArrow(_cutter(length, with_text), T.StructType([*rest, *new])).select(*docs.columns, *_NEW)
+    cut = joined.mapInArrow(_cutter(length, with_text), T.StructType([*rest, *new]))
+    return cut.select(*[F.col(i).alias(c) for i, c in zip(inner, docs.columns)], *_NEW)
 
 
 def substring_dedup_digest(docs: DataFrame) -> DataFrame:
