@@ -3,7 +3,8 @@
 Values in a credential context (``pwd=``, ``passphrase is``, ``auth: bearer``) are segmented
 at minimum cost into words, dates, repeats, keyboard walks and brute-force spans; the cost
 is the decimal logarithm of the guesses an informed attacker needs. Values that cost enough
-are secrets, placeholders like ``changeme`` are not.
+are secrets, placeholders like ``changeme`` are not. The attacker's dictionary is data: a
+short list of passwords, then the words of the corpus by the documents that hold them.
 """
 
 from __future__ import annotations
@@ -11,9 +12,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,11 +48,14 @@ summer winter spring autumn love money house computer internet server database a
 your my the api insert here value string none null true false
 please enter required invalid incorrect expired missing optional protected encrypted stored correct
 change changed needed disabled enabled unknown hidden bearer undefined information""".split()
-_RANK = {w: i + 1 for i, w in enumerate(dict.fromkeys(WORDS))}
-_LONGEST = max(map(len, _RANK))
+#: Words of the corpus, at most, that join the dictionary: the most common ones.
+DICTIONARY = 20_000
+#: Letters of a word of the dictionary: words shorter or longer are brute force.
+WORD_LETTERS = (3, 20)
 _LEET = str.maketrans("013457$@", "oieastsa")
 _ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
-_DATE = re.compile(r"(?:19|20)\d\d(?:([-./]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01]))?|(?:0[1-9]|[12]\d|3[01])([-./])(?:0[1-9]|1[0-2])\2(?:19|20)\d\d")
+_YEAR = re.compile(r"(?:19|20)\d\d")
+_DATE = re.compile(r"(?:19|20)\d\d([-./]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-./])(?:0[1-9]|1[0-2])\2(?:19|20)\d\d")
 
 
 def _next_keys() -> set[tuple[str, str]]:
@@ -61,54 +66,79 @@ def _next_keys() -> set[tuple[str, str]]:
 _NEXT = _next_keys()
 
 
-def guess_cost(value: str) -> float:
-    """Decimal logarithm of the guesses for ``value`` at its cheapest segmentation.
+def word_ranks(words: Iterable[str] = ()) -> dict[str, int]:
+    """The rank of each word: ``WORDS`` first, then ``words`` in their order."""
+    return {w: i + 1 for i, w in enumerate(dict.fromkeys([*WORDS, *words]))}
+
 
-    Work grows with the length times a constant: words have a longest length, and of walks
-    and repeats the longest at each start is taken, and those that end a step earlier.
+def corpus_words(docs: DataFrame, most: int = DICTIONARY) -> list[str]:
+    """The words of ``text`` by the number of documents that hold them, ``most`` at most.
+
+    Runs of a-z, lower-cased, of ``WORD_LETTERS`` letters; values in credential contexts are
+    left out, so that a secret does not teach the dictionary itself. Counted over all rows,
+    partial counts first; ties by word. Null and empty texts have none.
     """
+    low, high = WORD_LETTERS
+    shown = F.regexp_replace("text", F.lit(f"(?i)(?:{ASSIGN.pattern.split('([A-Za-z')[0]}|{CONTEXT.pattern})" + r"[\"']?[^\s\"'<>,;]+"), F.lit(" "))
+    found = docs.select(F.explode(F.array_distinct(F.split(F.lower(shown), "[^a-z]+"))).alias("w")).where(F.length("w").between(low, high))
+    return [r.w for r in found.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(most).collect()]
+
+
+#: Costs, in decimal digits: any segment; a walk's first key and each further one; a repeat's
+#: start (one of ``PERIODS`` distances) and each of its characters; a year and a date.
+SEGMENT, WALK, STEP, PERIODS, AGAIN, YEAR, DAY = 0.3, math.log10(47), 0.3, 16, 0.05, math.log10(120), math.log10(43_800)
+
+
+def word_cost(value: str, ranks: dict[str, int]) -> float:
+    """Cost of a word of the dictionary, leet spelling and upper case included; else infinity."""
     low = value.lower()
-    plain = low.translate(_LEET)
-    n = len(value)
+    rank = ranks.get(low) or ranks.get(low.translate(_LEET))
+    if not rank:
+        return math.inf
+    return max(SEGMENT, math.log10(rank + 1) + 0.5 * (low not in ranks) + 0.5 * (low != value))
+
+
+def pool_cost(value: str) -> float:
+    """Cost of a character by brute force: the sizes of the kinds of characters there are."""
+    size = sum(n for n, kind in ((26, str.islower), (26, str.isupper), (10, str.isdigit)) if any(map(kind, value)))
+    return math.log10(size + 33 * (not value.isalnum()) or 1)
+
+
+def guess_cost(value: str, ranks: dict[str, int] | None = None) -> float:
+    """Decimal logarithm of the guesses for ``value`` at its cheapest segmentation.
+
+    The least over all segmentations: states for a running brute-force span, walk, and
+    repeat of each distance make the work grow with the length alone. A repeat is a span
+    equal to the one ``PERIODS`` characters or less before it.
+    """
+    ranks = _COMMON if ranks is None else ranks
+    low, n, pool = value.lower(), len(value), pool_cost(value)
     best = [0.0] + [math.inf] * n
-    pool = math.log10(sum(size for size, kind in ((26, str.islower), (26, str.isupper), (10, str.isdigit)) if any(map(kind, value))) + 33 * (not value.isalnum()) or 1)
-    brute = [math.inf] * (n + 1)  # cheapest way whose last segment is brute force
-    walk_end = repeat_end = 0
+    brute = one = two = walk = math.inf
+    repeat = [math.inf] * (PERIODS + 1)
     for i in range(n):
-        here = best[i]
-
-        def reach(end: int, cost: float, here: float = here) -> None:
-            best[end] = min(best[end], here + max(cost, 0.3) + 0.3)
-
-        for end in range(i + 3, min(n, i + _LONGEST) + 1):
-            rank = _RANK.get(low[i:end]) or _RANK.get(plain[i:end])
-            if rank:
-                leet, mixed = low[i:end] not in _RANK, low[i:end] != value[i:end]
-                reach(end, math.log10(rank + 1) + 0.5 * leet + 0.5 * mixed)
-        if value[i].isdigit() and (m := _DATE.match(value, i)):
-            reach(m.end(), math.log10(120 if m.end() - i == 4 else 43_800))
-        if i + 1 > walk_end:
-            walk_end = i
-            while walk_end + 1 < n and (low[walk_end], low[walk_end + 1]) in _NEXT:
-                walk_end += 1
-            walk_end += 1
-        if walk_end - i >= 3:
-            for end in (walk_end, walk_end - 1):
-                reach(end, math.log10(47 * (end - i)) + 0.3 * (end - i - 1))
-        for unit in (1, 2, 3, 4):
-            if low[i : i + unit] == low[i + unit : i + 2 * unit] and (unit > 1 or low[i : i + 1] * 3 == low[i : i + 3]) and (i >= repeat_end or unit > 1):
-                end = i + 2 * unit
-                while end + unit <= n and low[end : end + unit] == low[i : i + unit] and end - i < 4096:
-                    end += unit
-                reach(end, unit * pool + math.log10((end - i) / unit))
-                if unit == 1:
-                    repeat_end = end
-        brute[i + 1] = min(brute[i] + pool, here + pool + 0.3)
-        best[i + 1] = min(best[i + 1], brute[i + 1])
+        here = best[i] + SEGMENT
+        for end in range(i + WORD_LETTERS[0], min(n, i + WORD_LETTERS[1]) + 1):
+            best[end] = min(best[end], here + word_cost(value[i:end], ranks))
+        if value[i].isdigit():
+            for date, cost in ((_YEAR, YEAR), (_DATE, DAY)):
+                if m := date.match(value, i):
+                    best[m.end()] = min(best[m.end()], here + cost)
+        brute = min(brute, here) + pool
+        near = i > 0 and (low[i - 1], low[i]) in _NEXT
+        walk = min(two, walk) + STEP if near else math.inf  # of three keys or more
+        two = one + STEP if near else math.inf
+        one = here + WALK
+        for p in range(1, min(PERIODS, i) + 1):
+            repeat[p] = min(repeat[p], here + math.log10(PERIODS)) + AGAIN if low[i] == low[i - p] else math.inf
+        best[i + 1] = min(best[i + 1], brute, walk, *repeat)
     return best[n]
 
 
-def find_secrets(text: str | None, min_cost: float = MIN_COST) -> list[tuple[int, int, int]]:
+_COMMON = word_ranks()
+
+
+def find_secrets(text: str | None, min_cost: float = MIN_COST, ranks: dict[str, int] | None = None) -> list[tuple[int, int, int]]:
     """(start, kind, end) in code points, in order; kind indexes ``KINDS``."""
     text = text or ""
     spans = []
@@ -130,7 +160,7 @@ def find_secrets(text: str | None, min_cost: float = MIN_COST) -> list[tuple[int
                 continue
             start, end = m.span(1)
             least = max(min_cost, BARE_COST) if context[1] and m[1].isalpha() else min_cost
-            if not any(s < end and start < e for s, e in base) and guess_cost(m[1]) >= least:
+            if not any(s < end and start < e for s, e in base) and guess_cost(m[1], ranks) >= least:
                 spans.append((start, 3, end))
                 last = end
     return sorted(spans)
@@ -140,12 +170,13 @@ def _spans(found: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in found)
 
 
-def _scanner(min_cost: float):
+def _scanner(min_cost: float, ranks: Broadcast | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None if ranks is None else ranks.value
         for batch in batches:
             rows = []
             for text in batch.column("text"):
-                found = find_secrets(text.as_py(), min_cost)
+                found = find_secrets(text.as_py(), min_cost, known)
                 count = [sum(k == kind for _, k, _ in found) for kind in range(len(KINDS))]
                 base = _spans([x for x in found if x[1] < 3])
                 rows.append((*count, hashlib.sha256(base.encode()).hexdigest(), _spans(found)))
@@ -160,22 +191,25 @@ def _scanner(min_cost: float):
 _NEW = ("n_assign", "n_access", "n_hex", "n_guess", "base_sha256", "spans")
 
 
-def scan_secrets(docs: DataFrame, min_cost: float = MIN_COST) -> DataFrame:
+def scan_secrets(docs: DataFrame, min_cost: float = MIN_COST, words: list[str] | None = None) -> DataFrame:
     """``docs`` with ``n_assign, n_access, n_hex, n_guess, base_sha256, spans``.
 
     ``spans`` lists ``kind:start:end`` of every finding in ``text``, in code points, by
     start and then kind; ``base_sha256`` digests those of the base patterns alone. Guess
     spans hold the value only and never overlap a base span; values of letters only after a
-    blank, without : or = or "is", must cost ``BARE_COST``. Null and empty texts have none; repeated rows are scanned alike; other columns
-    pass through, those named like the new ones are replaced. Nothing is shuffled.
+    blank, without : or = or "is", must cost ``BARE_COST``. ``words`` are ranked words for
+    the dictionary behind the fixed ones, as from ``corpus_words``. Null and empty texts have
+    no findings; repeated rows are scanned alike; other columns pass through, those named
+    like the new ones are replaced; an empty table gives an empty result. No text is shuffled.
     """
     docs = replacing(docs, *_NEW)
     new = [T.StructField(c, T.LongType() if c.startswith("n_") else T.StringType()) for c in _NEW]
-    return docs.mapInArrow(_scanner(min_cost), T.StructType([*docs.schema.fields, *new]))
+    ranks = docs.sparkSession.sparkContext.broadcast(word_ranks(words)) if words else None
+    return docs.mapInArrow(_scanner(min_cost, ranks), T.StructType([*docs.schema.fields, *new]))
 
 
 def secrets_digest(docs: DataFrame) -> DataFrame:
-    return scan_secrets(docs.select("doc_id", "text")).drop("text")
+    return scan_secrets(docs.select("doc_id", "text"), words=corpus_words(docs)).drop("text")
 
 
 def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
