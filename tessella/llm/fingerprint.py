@@ -8,18 +8,21 @@ of up to ``k`` shingles are held whole, so their estimates are exact.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import NULL_ID, ascii_lower, id_key, partitions, replacing
+from tessella.llm.common import NULL_ID, ascii_lower, id_key, materialise, partitions, replacing, unused
 
 K = 256
 SHINGLE = 5
-#: Buckets of consecutive ids, at most: their splitters and first ids go through the driver.
+#: Buckets of consecutive ids, at most: their ends go through the driver.
 MAX_BUCKETS = 1 << 14
+#: Parts that rows equal in all columns can be dealt to.
+SALTS = 64
 
 
 def with_sketch(df: DataFrame, name: str, text: str = "text", k: int = K, shingle: int = SHINGLE) -> DataFrame:
@@ -28,13 +31,14 @@ def with_sketch(df: DataFrame, name: str, text: str = "text", k: int = K, shingl
     A-Z are lower-cased and words end at ASCII whitespace. Fewer words than ``shingle`` make
     one shingle; null and empty texts have none and an empty sketch.
     """
+    w, grams_ = unused(df, "__w", "__s")
     words = F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), r"[ \x09-\x0D]+"), "")
-    hashed = df.withColumn("__w", F.transform(words, lambda w: F.xxhash64(w)))
-    n = F.size("__w")
-    whole = F.when(n > 0, F.array(F.xxhash64("__w"))).otherwise(F.array().cast("array<bigint>"))
-    grams = F.transform(F.sequence(F.lit(0), n - shingle), lambda i: F.xxhash64(*[F.get("__w", i + j) for j in range(shingle)]))
-    hashed = hashed.withColumn("__s", F.when(n < shingle, whole).otherwise(grams))
-    return hashed.withColumn(name, F.slice(F.sort_array(F.array_distinct("__s")), 1, k)).drop("__w", "__s")
+    hashed = df.withColumn(w, F.transform(words, lambda x: F.xxhash64(x)))
+    n = F.size(w)
+    whole = F.when(n > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
+    grams = F.transform(F.sequence(F.lit(0), n - shingle), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(shingle)]))
+    hashed = hashed.withColumn(grams_, F.when(n < shingle, whole).otherwise(grams))
+    return hashed.withColumn(name, F.slice(F.sort_array(F.array_distinct(grams_)), 1, k)).drop(w, grams_)
 
 
 def merge(*sketches: Column | str, k: int = K) -> Column:
@@ -89,43 +93,48 @@ def fingerprint_documents(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -
     return out.withColumn("fingerprint", fingerprint("sketch")).withColumn("n_shingles", distinct_shingles("sketch", k))
 
 
-def _bucket(key: str, splitters: list[int]) -> Column:
-    """Number of ``splitters`` that are at most ``key``, found in two steps of about their root."""
-    step = max(1, int(len(splitters) ** 0.5))
-    at_most = lambda a: F.size(F.filter(a, lambda x: x <= F.col(key)))
-    coarse = F.array(*[F.lit(x) for x in splitters[step - 1 :: step]]).cast("array<bigint>")
-    begin = at_most(coarse) * step
-    return begin + at_most(F.slice(F.array(*[F.lit(x) for x in splitters]).cast("array<bigint>"), begin + 1, step))
+def _bucket(place: Column, cuts: list[tuple]) -> Column:
+    """Number of ``cuts`` that are at most ``place``, found in two steps of about their root."""
+    if not cuts:
+        return F.lit(0)
+    step = max(1, int(len(cuts) ** 0.5))
+    # One literal, however many cuts: constant folding reads it once.
+    literal = lambda xs: F.from_json(F.lit(json.dumps([dict(zip("kts", x)) for x in xs])), "array<struct<k:bigint,t:bigint,s:int>>")
+    at_most = lambda a: F.size(F.filter(a, lambda x: x <= place))
+    begin = at_most(literal(cuts[step - 1 :: step])) * step
+    return begin + at_most(F.slice(literal(cuts), begin + 1, step))
 
 
 def with_next(rows: DataFrame, key: str, columns: list[str], prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """``rows`` with ``next_<column>`` of the row that follows by descending ``key`` (a long
-    without nulls); after the last comes the first. Ties follow a hash of all columns.
-    ``prepare`` adds columns to the rows before they are dealt out.
+    without nulls); after the last comes the first. Ties follow a hash of all columns; equal
+    rows follow each other in any order. ``prepare`` adds columns to the rows before they
+    are dealt out.
 
-    Sampled splitters cut the keys into buckets, which windows work on; each bucket also
-    gets the first row of the bucket after it.
+    Rows are cut into buckets of about equal numbers by (key, hash, salt), so that a key, or
+    a row, that repeats spreads over buckets as well. Windows work on the buckets; each also
+    gets the first row of the bucket after it. Per bucket the driver sees its ends.
     """
-    count = min(MAX_BUCKETS, 4 * partitions(rows.sparkSession))
-    keys = rows.select(key)
-    cuts = keys.agg(F.percentile_approx(key, [i / count for i in range(1, count)], F.lit(20 * count))).first()[0] if count > 1 else None
-    splitters = sorted(set(cuts or []))
-    bucket = _bucket(key, splitters) if splitters else F.lit(0)
-    heads = {r.b: r.k for r in keys.groupBy(bucket.alias("b")).agg(F.max(key).alias("k")).collect()}
-    down = sorted(heads, reverse=True)
-    follows = [(before, heads[after]) for before, after in zip(down, down[1:] + down[:1])]
-    tie = F.xxhash64(*rows.columns)
-    base = rows.withColumn("__b", bucket.cast("int")).withColumn("__tie", tie)
-    links = rows.sparkSession.createDataFrame(follows, "__at int, __key long")
-    # One first row for each bucket; where keys repeat, that with the largest hash.
-    first = base.join(F.broadcast(links), base[key] == F.col("__key"))
-    rank = F.row_number().over(Window.partitionBy("__at").orderBy(F.desc("__tie")))
-    first = first.withColumn("__r", rank).where("__r = 1").withColumn("__b", F.col("__at")).select(*base.columns)
-    both = prepare(base.withColumn("__end", F.lit(0)).unionByName(first.withColumn("__end", F.lit(1))))
-    w = Window.partitionBy("__b").orderBy("__end", F.desc(key), F.desc("__tie"))
+    spark = rows.sparkSession
+    tie, salt, bucket, end, at, k, t = unused(rows, "__tie", "__salt", "__b", "__end", "__at", "__k", "__t")
+    count = min(MAX_BUCKETS, 4 * partitions(spark))
+    base = rows.withColumn(tie, F.xxhash64(*rows.columns)).withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    place = F.struct(F.col(key).alias("k"), F.col(tie).alias("t"), F.col(salt).alias("s"))
+    places = materialise(base.select(place.alias("place")), "places")
+    dealt = places.repartitionByRange(count, "place").groupBy(F.spark_partition_id()).agg(F.min("place").alias("low"), F.max("place").alias("high"))
+    ends = sorted((tuple(r.low), tuple(r.high)) for r in dealt.collect())
+    base = base.withColumn(bucket, _bucket(place, [low for low, _ in ends[1:]]).cast("int"))
+    down = range(len(ends) - 1, -1, -1)
+    follows = [(before, *ends[after][1][:2]) for before, after in zip(down, [*down[1:], *down[:1]])]
+    links = spark.createDataFrame(follows, f"{at} int, {k} long, {t} long")
+    # One first row for each bucket; those that meet here are equal.
+    first = base.join(F.broadcast(links), (F.col(key) == F.col(k)) & (F.col(tie) == F.col(t))).groupBy(at).agg(F.first(F.struct(*base.columns)).alias("row"))
+    first = first.select(*[F.col(at).alias(c) if c == bucket else F.col("row")[c].alias(c) for c in base.columns])
+    both = prepare(base.withColumn(end, F.lit(0)).unionByName(first.withColumn(end, F.lit(1))))
+    w = Window.partitionBy(bucket).orderBy(end, F.desc(key), F.desc(tie), F.desc(salt))
     for c in columns:
         both = both.withColumn(f"next_{c}", F.lead(c).over(w))
-    return both.where("__end = 0").drop("__b", "__tie", "__end")
+    return both.where(F.col(end) == 0).drop(bucket, tie, salt, end)
 
 
 def compare_with_edited(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> DataFrame:
