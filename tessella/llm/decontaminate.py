@@ -2,9 +2,10 @@
 
 Patterns are the windows of the benchmark items. Patterns of one length share a matcher:
 a shift table over blocks of two words says how far the scan may jump, a block with shift
-zero leads to the bucket of the patterns that end with it, and a direct comparison of the
-words confirms an occurrence. Items go to the tasks in blocks of bounded size; documents
-are scanned in place and are never shuffled for it.
+zero leads to the bucket of the patterns that end with it, their first two words choose
+among these, and a direct comparison of the words confirms an occurrence. Items lie in the
+shared folder in blocks of bounded size, which the tasks read there; documents are scanned
+in place and are never shuffled for it.
 """
 
 from __future__ import annotations
@@ -12,11 +13,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tessella.llm.common import replacing
+from tessella.llm.common import open_fs, replacing, running_totals, scratch_dir, unused
 
 #: Everything but letters, digits and non-ASCII bytes becomes a space, and A-Z lower case.
 _WORDS = bytes(32 if b < 0x80 and not chr(b).isalnum() else ord(chr(b).lower()) if b < 0x80 else b for b in range(256))
@@ -30,19 +33,20 @@ def words_of(text: str | None) -> list[bytes]:
 class Matcher:
     """Wu-Manber tables for patterns (tuples of words) of one length."""
 
-    def __init__(self, patterns: dict[tuple[bytes, ...], list[int]]):
+    def __init__(self, patterns: dict[tuple[bytes, ...], list]):
         self.length = len(next(iter(patterns)))
         self.block = min(2, self.length)
         self.jump = self.length - self.block + 1
         self.shift: dict[tuple[bytes, ...], int] = {}
-        self.bucket: dict[tuple[bytes, ...], list[tuple[tuple[bytes, ...], list[int]]]] = {}
+        #: Last block of words, then first one, to the patterns.
+        self.bucket: dict[tuple[bytes, ...], dict[tuple[bytes, ...], list[tuple[tuple[bytes, ...], list]]]] = {}
         for words, items in patterns.items():
             for end in range(self.block, self.length + 1):
                 key = words[end - self.block : end]
                 self.shift[key] = min(self.shift.get(key, self.jump), self.length - end)
-            self.bucket.setdefault(words[-self.block :], []).append((words, items))
+            self.bucket.setdefault(words[-self.block :], {}).setdefault(words[: self.block], []).append((words, items))
 
-    def occurrences(self, words: list[bytes]) -> Iterator[tuple[int, list[int]]]:
+    def occurrences(self, words: list[bytes]) -> Iterator[tuple[int, list]]:
         """(start, items) of each pattern occurrence."""
         length, block, jump, shift = self.length, self.block, self.jump, self.shift.get
         end, n = length, len(words)
@@ -53,16 +57,18 @@ class Matcher:
                 end += step
                 continue
             start = end - length
-            here = tuple(words[start:end])
-            for pattern, items in self.bucket[key]:
-                if pattern == here:
-                    yield start, items
+            likely = self.bucket[key].get(tuple(words[start : start + block]))
+            if likely:
+                here = tuple(words[start:end])
+                for pattern, items in likely:
+                    if pattern == here:
+                        yield start, items
             end += 1
 
 
-def matchers(items: list[tuple[int, str | None]], window: int) -> list[Matcher]:
+def matchers(items: list[tuple[object, str | None]], window: int) -> list[Matcher]:
     """One matcher for each pattern length; an item of fewer words than ``window`` is one pattern."""
-    by_length: dict[int, dict[tuple[bytes, ...], list[int]]] = {}
+    by_length: dict[int, dict[tuple[bytes, ...], list]] = {}
     for item, text in items:
         words = words_of(text)
         size = min(window, len(words))
@@ -71,7 +77,7 @@ def matchers(items: list[tuple[int, str | None]], window: int) -> list[Matcher]:
     return [Matcher(patterns) for _, patterns in sorted(by_length.items())]
 
 
-def scan(words: list[bytes], tables: list[Matcher]) -> tuple[list[tuple[int, int]], set[int]]:
+def scan(words: list[bytes], tables: list[Matcher]) -> tuple[list[tuple[int, int]], set]:
     """Hit word ranges [start, end), merged, and the items that occur."""
     spans, items = [], set()
     for table in tables:
@@ -87,62 +93,71 @@ def scan(words: list[bytes], tables: list[Matcher]) -> tuple[list[tuple[int, int
     return merged, items
 
 
-def _scanner(blocks, window: int):
-    built: list[Matcher] = []
+def benchmark_blocks(benchmark: DataFrame, block_bytes: int) -> list[str]:
+    """Folders, in the shared one, with the ``item_id, text`` of blocks of about
+    ``block_bytes`` of text each; a larger item is in one block. The driver sees their numbers only."""
+    spark = benchmark.sparkSession
+    items = benchmark.where("item_id is not null and text is not null").select("item_id", "text")
+    size = F.octet_length("text").cast("long")
+    placed = running_totals(items, [F.col("item_id")], {"end": size}, "benchmark").withColumn("block", F.floor((F.col("end") - size) / block_bytes))
+    root = scratch_dir(spark, "blocks")
+    numbers = sorted(r.block for r in placed.select("block").distinct().collect())
+    placed.select("block", "item_id", "text").repartition("block").write.partitionBy("block").parquet(root)
+    return [f"{root}/block={k}" for k in numbers]
 
+
+def _scanner(block: str | None, window: int, item_type: pa.DataType, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not built:
-            built.extend(matchers(blocks.value, window))
+        tables: list[Matcher] = []
+        if block is not None:
+            fs, path = open_fs(block)
+            read = pq.read_table(path, filesystem=fs, partitioning=None)
+            tables = matchers(list(zip(read.column("item_id").to_pylist(), read.column("text").to_pylist())), window)
         for batch in batches:
             n_words, spans, items = [], [], []
             for text in batch.column("text"):
                 words = words_of(text.as_py())
-                hit, which = scan(words, built)
+                hit, which = scan(words, tables)
                 n_words.append(len(words))
                 spans.append([x for span in hit for x in span])
                 items.append(sorted(which))
-            rest = [batch.column(i) for i, name in enumerate(batch.schema.names)]
             yield pa.RecordBatch.from_arrays(
-                [*rest, pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.int64()))],
-                [*batch.schema.names, "__n_words", "__spans", "__items"],
+                [*batch.columns, pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(item_type))],
+                [*batch.schema.names, *names],
             )
 
     return run
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 16 << 20) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
     """``docs`` with ``n_words``, ``n_hit``, ``hit_spans``, ``items`` and ``contaminated``.
 
     ``hit_spans`` holds the merged ranges of hit words as start, end, start, end...;
-    ``items`` the item_ids with an occurring window, ascending.
-
-    Benchmark texts are sent to the tasks in blocks of at most ``block_bytes`` (one larger
-    item is a block of its own); each block scans all documents in place, and what the
-    blocks found is merged row by row. Null and empty texts have no words and no hits;
-    items without words, or with a null item_id, never match; repeated rows and items give
-    repeated rows and one item. Other columns pass through; those named like the new ones
-    are replaced.
+    ``items`` the item_ids, of any type that sorts, with an occurring window, ascending.
+
+    The tasks read benchmark texts from the shared folder in blocks of about ``block_bytes``;
+    each block scans all documents in place, and what the blocks found is merged row by row.
+    Null and empty texts have no words and no hits; items without words, or with a null
+    item_id, never match; repeated rows and items give repeated rows and one item; empty
+    tables give no rows, or no hits. Other columns pass through; those named like the new
+    ones are replaced.
     """
-    spark = docs.sparkSession
-    blocks: list[list[tuple[int, str | None]]] = [[]]
-    size = 0
-    for row in benchmark.where("item_id is not null and text is not null").select("item_id", "text").toLocalIterator():
-        size += len(row.text)
-        if blocks[-1] and size > block_bytes:
-            blocks.append([])
-            size = len(row.text)
-        blocks[-1].append((row.item_id, row.text))
     out = replacing(docs, "n_words", "n_hit", "hit_spans", "items", "contaminated")
-    for k, block in enumerate(blocks):
-        found = _scanner(spark.sparkContext.broadcast(block), window)
-        schema = T.StructType(out.schema.fields + [T.StructField("__n_words", T.LongType()), T.StructField("__spans", T.ArrayType(T.LongType())), T.StructField("__items", T.ArrayType(T.LongType()))])
-        out = out.mapInArrow(found, schema)
+    kept = out.columns
+    names = unused(out, "__n_words", "__spans", "__items")
+    kind = benchmark.schema["item_id"].dataType
+    new = [T.StructField(n, k) for n, k in zip(names, (T.LongType(), T.ArrayType(T.LongType()), T.ArrayType(kind)))]
+    for k, block in enumerate(benchmark_blocks(benchmark, block_bytes) or [None]):
+        found = _scanner(block, window, to_arrow_type(kind), names)
+        out = out.mapInArrow(found, T.StructType([*out.schema.fields, *new]))
         if k:
-            out = out.withColumn("hit_spans", _merged("hit_spans", "__spans")).withColumn("items", F.array_sort(F.array_union("items", "__items"))).drop("__n_words", "__spans", "__items")
+            out = out.withColumn("hit_spans", _merged("hit_spans", names[1])).withColumn("items", F.array_sort(F.array_union("items", names[2])))
         else:
-            out = out.withColumnsRenamed({"__n_words": "n_words", "__spans": "hit_spans", "__items": "items"})
+            out = out.withColumns({"n_words": F.col(names[0]), "hit_spans": F.col(names[1]), "items": F.col(names[2])})
+        out = out.drop(*names)
     n_hit = F.aggregate(F.transform("hit_spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x)
-    return out.withColumn("n_hit", n_hit).withColumn("contaminated", F.col("n_hit") > 0)
+    out = out.withColumn("n_hit", n_hit).withColumn("contaminated", F.col("n_hit") > 0)
+    return out.select(*kept, "n_words", "n_hit", "hit_spans", "items", "contaminated")
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
