@@ -15,10 +15,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import materialise, replacing
+from tessella.llm.common import materialise, replacing, running_totals, unused
 
 #: Documents in a block of the reduction tree, on average.
 BLOCK = 24
+#: Decisions, at most, that are sent to all tasks (about 64 bytes each); more are joined by shuffle.
+BROADCAST_DECISIONS = 1_000_000
+#: Parts that the rows of one repeated document are dealt to.
+SALTS = 64
 #: What the sources weigh, in code point order of their names, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
 
@@ -33,26 +37,24 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
 
     Sources in code point order, null last, weigh ``weights`` in turn and divide ``share``
     times all words. A target stops at ``most`` times its source's size; what is left is
-    shared by weight among the others until none is above. Only sums come to the driver.
+    shared by weight among the others until none is above. Sources reach their ceilings in
+    the order of ceiling over weight: running totals in that order tell at which of them
+    the level stands. Only sums come to the driver.
     """
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    # One row per source, not per document.
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (rank % len(weights) + 1).cast("int"))
-    totals = materialise(totals.withColumn("weight", weight), "sources")
-    ceiling, level = F.lit(most) * F.col("source_size"), 0.0
-    while True:
-        above = F.lit(level) * F.col("weight") >= ceiling
-        all_words, held, free = totals.agg(
-            F.sum("source_size"), F.sum(F.when(above, ceiling).otherwise(0.0)), F.sum(F.when(above, 0.0).otherwise(F.col("weight")))
-        ).first()
-        if not all_words or not free:
-            break
-        raised = (share * all_words - held) / free
-        if raised <= level:
-            break
-        level = raised
-    return totals.select("source", "source_size", F.least(F.lit(level) * F.col("weight"), ceiling).alias("target"))
+    totals = running_totals(totals, [F.col("source").asc_nulls_last()], {"rank": F.lit(1)}, "sources")
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), ((F.col("rank").cast("long") - 1) % len(weights) + 1).cast("int"))
+    totals = totals.withColumn("weight", weight).withColumn("ceiling", F.lit(most) * F.col("source_size"))
+    filled = running_totals(totals, [F.col("ceiling") / F.col("weight"), F.col("rank")], {"held": F.col("ceiling"), "full": F.col("weight")}, "ceilings")
+    words, weighed = filled.agg(F.sum("source_size"), F.sum("weight")).first()
+    if not words:
+        return filled.select("source", "source_size", F.lit(0.0).alias("target"))
+    # The level if the sources so far were full and no other; it holds below the next ceiling.
+    before = {"held": F.col("held") - F.col("ceiling"), "full": F.col("full") - F.col("weight")}
+    level = (F.lit(share * words) - before["held"]) / (F.lit(weighed) - before["full"])
+    reached = filled.where(level * F.col("weight") < F.col("ceiling")).agg(F.min_by(level, F.struct(F.col("ceiling") / F.col("weight"), "rank"))).first()[0]
+    target = F.col("ceiling") if reached is None else F.least(F.lit(max(0.0, reached)) * F.col("weight"), F.col("ceiling"))
+    return filled.select("source", "source_size", target.alias("target"))
 
 
 def _unit(*parts: Column | str | int) -> Column:
@@ -119,32 +121,62 @@ def round_fractions(units: DataFrame, block: int = BLOCK, seed: int = 42) -> Dat
     return out
 
 
+def _keys(source: str, size: str) -> tuple[Column, Column]:
+    """Two hashes that tell documents apart, null values and equal ids included."""
+    parts = [F.isnull("doc_id"), "doc_id", F.isnull(source), source, F.isnull("text"), "text", size]
+    return F.xxhash64(*parts), F.xxhash64(F.lit(7), *parts)
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 42) -> DataFrame:
     """``docs`` with ``size, source_size, target, copies, taken`` (copies times size).
 
     A document gets the whole copies of target / source_size, and one more by dependent
     rounding of the fraction; never more than ``ceil(most)``. Null and empty texts have
-    size 0 and no copies; a null source is a source of its own, last in order; rows that
-    repeat a doc_id and source share one decision as long as they have one size; an empty
-    table gives an empty result. Other columns pass through, those named like the new ones
-    are replaced. Reruns give the same copies.
+    size 0 and no copies; a null source is a source of its own, last in order. Rows that
+    repeat a document (doc_id, source and text; nulls are equal) share their fractions: the
+    whole part of the sum goes to so many of the rows, what is left is rounded like any
+    fraction. An empty table gives an empty result. Other columns pass through, those named
+    like the new ones are replaced. Reruns give the same copies.
     """
     docs = replacing(docs, "size", "source_size", "target", "copies", "taken")
+    k1, k2, src, ratio, rows, extra, salt, nth, before = unused(docs, "__k1", "__k2", "__src", "__ratio", "__rows", "__extra", "__salt", "__nth", "__before")
     sized = docs.withColumn("size", text_size(F.col("text")))
-    sized = sized.withColumn("__key", F.xxhash64("doc_id", "source", "size")).withColumn("__id", F.xxhash64(F.lit(7), "doc_id", "source", "size"))
-    small = materialise(sized.select("source", "size", F.col("__key").alias("key"), F.col("__id").alias("id")), "sizes")
+    key, other = _keys("source", "size")
+    sized = sized.withColumn(k1, key).withColumn(k2, other)
+    small = materialise(sized.select("source", "size", F.col(k1).alias("key"), F.col(k2).alias("id")), "sizes")
     targets = materialise(source_targets(small, weights, share, most), "targets")
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     per_source = F.broadcast(targets) if targets.count() <= 100_000 else targets
-    per_source = per_source.withColumnRenamed("source", "__source").withColumn("ratio", ratio)
-    units = small.where("size > 0").join(per_source, F.col("source").eqNullSafe(F.col("__source")))
-    units = units.withColumn("p", F.col("ratio") - F.floor("ratio")).where("p > 0").select(F.col("source").alias("group"), "key", "id", "size", "p")
-    extra = round_fractions(units.distinct(), seed=seed)
-    extra = extra.select(F.col("key").alias("__key"), F.col("id").alias("__id"), F.col("taken").alias("__extra"))
-    joined = sized.join(per_source, F.col("source").eqNullSafe(F.col("__source"))).join(extra, ["__key", "__id"], "left")
-    copies = F.when(F.col("size") > 0, F.floor("ratio") + F.coalesce("__extra", F.lit(0))).otherwise(0).cast("long")
+    copies_each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    per_source = per_source.select(F.col("source").alias(src), "source_size", "target", copies_each.alias(ratio))
+    open_rows = small.where("size > 0").join(per_source, F.col("source").eqNullSafe(F.col(src)))
+    fraction = F.col(ratio) - F.floor(ratio)
+    units = open_rows.where(fraction > 0).groupBy(F.col("source").alias("group"), "key", "id", "size").agg(F.count("*").alias("m"), F.max(fraction).alias("f"))
+    # Rows of one document that take a copy for sure, and the fraction that is left of it.
+    units = materialise(units.withColumn("sure", F.floor(F.col("m") * F.col("f") + 1e-9)), "units")
+    units = units.withColumn("p", F.greatest(F.lit(0.0), F.col("m") * F.col("f") - F.col("sure")))
+    rounded = round_fractions(units.where("p > 1e-9").select("group", "key", "id", "size", "p"), seed=seed)
+    decided = units.where("sure > 0 or m > 1").select("key", "id", "m", "sure").unionByName(rounded.select("key", "id", F.lit(0).cast("long").alias("m"), F.col("taken").alias("sure")))
+    decided = decided.groupBy("key", "id").agg(F.greatest(F.lit(1), F.max("m")).alias("m"), F.sum("sure").alias("n")).where("n > 0")
+    decided = materialise(decided.select(F.col("key").alias(k1), F.col("id").alias(k2), F.col("m").alias(rows), F.col("n").alias(extra)), "decided")
+    # Texts stay where they are as long as the decisions fit into each task.
+    sent = F.broadcast(decided) if decided.count() <= BROADCAST_DECISIONS else decided
+    joined = sized.join(per_source, F.col("source").eqNullSafe(F.col(src))).join(sent, [k1, k2], "left")
+    split = (F.col(extra) < F.col(rows)) & F.col(extra).isNotNull()
+    if not decided.where(split).isEmpty():
+        # Of the rows of a repeated document some take a copy: they are numbered in parts.
+        mixed = materialise(joined.where(split).withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))), "mixed")
+        parts = mixed.groupBy(k1, k2, salt).agg(F.count("*").alias(nth))
+        parts = parts.withColumn(before, F.sum(nth).over(Window.partitionBy(k1, k2).orderBy(salt)) - F.col(nth)).drop(nth)
+        number = F.row_number().over(Window.partitionBy(k1, k2, salt).orderBy(F.lit(0)))
+        mixed = mixed.withColumn(nth, number).join(materialise(parts, "parts"), [k1, k2, salt])
+        mixed = mixed.withColumn(extra, (F.col(nth) + F.col(before) <= F.col(extra)).cast("long")).select(*joined.columns)
+        whole = joined.where(~F.coalesce(split, F.lit(False))).withColumn(extra, F.when(F.col(extra).isNotNull(), F.lit(1)).cast("long"))
+        joined = whole.select(*mixed.columns).unionByName(mixed)
+    else:
+        joined = joined.withColumn(extra, F.when(F.col(extra).isNotNull(), F.lit(1)).cast("long"))
+    copies = F.when(F.col("size") > 0, F.floor(ratio) + F.coalesce(extra, F.lit(0))).otherwise(0).cast("long")
     out = joined.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
-    return out.drop("__key", "__id", "__extra", "__source", "ratio")
+    return out.select(*docs.columns, "size", "source_size", "target", "copies", "taken")
 
 
 def mixing_digest(docs: DataFrame) -> DataFrame:
