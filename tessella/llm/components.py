@@ -21,8 +21,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def _joined(edges: DataFrame, least: DataFrame) -> DataFrame:
-    # Both sides come from files, so adaptive execution can split a hub's rows.
-    return materialise(edges, "edges").join(materialise(least, "least"), "u")
+    # Both sides are read from files, so adaptive execution can split a hub's rows.
+    return edges.join(materialise(least, "least"), "u")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

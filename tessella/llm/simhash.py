@@ -1,13 +1,12 @@
 """SimHash near-duplicate detection with vantage-point trees.
 
-Fingerprints are 64-bit SimHashes of word shingles. The tree splits the 64 bits into
-blocks, one for each level; a level has one vantage point and sends a fingerprint to the
-child named by its Hamming distance to the vantage point inside the block. The distances
-inside disjoint blocks add up to the Hamming distance, so by the triangle inequality two
-fingerprints within ``radius`` differ by ``radius`` at most in the sum of their distances
-to the vantage points: a query enters only the shards within that bound of its own, the
-boundary-overlapping ones. Each pair of shards is visited from its smaller side, each shard
-compares in numpy and returns a spanning forest of the links, never all pairs.
+Fingerprints are 64-bit SimHashes of word shingles. A vantage-point tree over a bounded
+sample partitions them by Hamming distance: each node divides its fingerprints at the
+median distance to its vantage point. By the triangle inequality, two fingerprints within
+``radius`` that part at a node are both within ``radius`` of its boundary, so a fingerprint
+also visits the shards behind the boundaries that it is near to, and no others. Each pair
+of shards is visited from one side. A shard searches a tree of its own in numpy and returns
+a spanning forest of the links, never all pairs; hot shards are divided.
 """
 
 from __future__ import annotations
@@ -19,14 +18,19 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import NULL_ID, id_key, key_id, materialise, partitions, replacing
+from tessella.llm.common import NULL_ID, id_key, key_id, materialise, partitions, replacing, unused
 from tessella.llm.components import connected_components
 
-#: Fingerprints, at most, on which vantage points are chosen.
-SAMPLE = 4096
+#: Fingerprints, at most, on which vantage points and radii are chosen.
+SAMPLE = 1 << 16
+#: Fingerprints of a shard, about, and the levels of the tree at most.
+SHARD, MAX_DEPTH = 2048, 14
+#: Blocks, at most, of a filter of ids.
+MAX_BLOCKS = 1 << 20
 #: Texts, at most, that hold a shingle all whose pairs are compared in a crowd.
 RARE = 32
 
@@ -73,133 +77,171 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 
 class Tree:
-    """Vantage points, one for each block of bits, and the shard arithmetic."""
-
-    def __init__(self, sample: np.ndarray, levels: int, radius: int):
-        self.radius = radius
-        edges = [64 * i // levels for i in range(levels + 1)]
-        self.masks = np.array([((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:])], np.uint64)
-        self.widths = [b - a for a, b in zip(edges, edges[1:])]
-        points = sample[:: max(1, len(sample) // 16)][:16] if len(sample) else np.zeros(1, np.uint64)
-        # In each block the vantage point whose distances spread most.
-        self.points = np.array([max(points, key=lambda v: np.bitwise_count((sample ^ v) & m).astype(float).var()) if len(sample) else 0 for m in self.masks], np.uint64)
-        self.moves = self._moves(len(self.widths), radius)
-
-    @staticmethod
-    def _moves(levels: int, radius: int) -> np.ndarray:
-        """Shard offsets within the bound whose first nonzero step is up: one of each pair."""
-        found = [()]
-        for _ in range(levels):
-            found = [(*m, s) for m in found for s in range(-radius, radius + 1) if sum(map(abs, m)) + abs(s) <= radius]
-        ahead = [m for m in found if next((s for s in m if s), 0) > 0]
-        return np.array(ahead, np.int64).reshape(-1, levels)
-
-    def shards(self, fps: np.ndarray) -> np.ndarray:
-        """The distances to the vantage points, level by level."""
-        return np.stack([np.bitwise_count((fps ^ v) & m) for v, m in zip(self.points, self.masks)], axis=1).astype(np.int64)
-
-    def code(self, shards: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(shards), np.int64)
-        for i, w in enumerate(self.widths):
-            out = out * (w + 1) + shards[:, i]
-        return out
-
-    def visits(self, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(shard, fingerprint) of the boundary-overlapping shards ahead of each one's own."""
-        own, top = self.shards(fps), np.array(self.widths)
-        for move in self.moves:
-            there = own + move
-            ok = ((there >= 0) & (there <= top)).all(axis=1)
-            yield self.code(there[ok]), fps[ok]
-
-
-def _visitor(tree):
+    """A vantage-point tree of fingerprints over a bounded sample; its leaves are the shards.
+
+    A node has a vantage point, the sampled fingerprint whose distances to the others spread
+    most, and the median of these distances as its radius: what lies within goes left, the
+    rest right. Nodes are numbered like a heap, leaves from 0.
+    """
+
+    def __init__(self, depth: int, points: np.ndarray, radii: np.ndarray):
+        self.depth, self.points, self.radii = depth, points, radii
+
+    @classmethod
+    def over(cls, sample: np.ndarray, depth: int) -> Tree:
+        self = cls(depth, np.zeros(1 << depth, np.uint64), np.full(1 << depth, 32, np.int64))
+        nodes = {1: sample}
+        for node in range(1, 1 << depth):
+            own = nodes.pop(node)
+            if not len(own):
+                nodes[2 * node] = nodes[2 * node + 1] = own
+                continue
+            tried = own[:: max(1, len(own) // 16)][:16]
+            point = max(tried, key=lambda v: int(np.bitwise_count(own ^ v).astype(np.int64).var() * 1e6))
+            far = np.bitwise_count(own ^ point).astype(np.int64)
+            self.points[node], self.radii[node] = point, int(np.median(far))
+            left = far <= self.radii[node]
+            nodes[2 * node], nodes[2 * node + 1] = own[left], own[~left]
+        return self
+
+    def visits(self, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(leaf, row, guest): each fingerprint's own leaf, and as a guest those to the right
+        of it that the triangle inequality does not exclude at ``radius``: of two within it
+        that part at a node, the left one comes to the right one's leaf."""
+        node, row, guest = np.ones(len(fps), np.int64), np.arange(len(fps)), np.zeros(len(fps), bool)
+        for _ in range(self.depth):
+            over = np.bitwise_count(fps[row] ^ self.points[node]).astype(np.int64) - self.radii[node]
+            # A resident goes to its side; a guest, or a visit to the right, where the bound allows.
+            left = np.where(guest, over <= radius, over <= 0)
+            right = np.where(guest, over > -radius, over > 0)
+            visit = ~guest & left & (over > -radius)
+            node = np.concatenate([2 * node[left], 2 * node[right] + 1, 2 * node[visit] + 1])
+            row, guest = np.concatenate([row[left], row[right], row[visit]]), np.concatenate([guest[left], guest[right], np.ones(visit.sum(), bool)])
+        return node - (1 << self.depth), row, guest
+
+
+def _visitor(sent: Broadcast, radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["shard", "fp", "guest"]
+        tree = Tree(*sent.value)
         for batch in batches:
             fps = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            t = tree.value
-            yield pa.RecordBatch.from_arrays([pa.array(t.code(t.shards(fps))), pa.array(fps.view(np.int64)), pa.array(np.zeros(len(fps), bool))], names)
-            for shard, some in t.visits(fps):
-                if len(some):
-                    yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(some.view(np.int64)), pa.array(np.ones(len(some), bool))], names)
+            leaf, row, guest = tree.visits(fps, radius)
+            yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(fps[row].view(np.int64)), pa.array(guest)], ["shard", "fp", "guest"])
 
     return run
 
 
-def _roots(parent: np.ndarray) -> np.ndarray:
-    while True:
-        up = parent[parent]
-        if (up == parent).all():
-            return parent
-        parent = up
-
-
-def link_forest(shard: np.ndarray, fps: np.ndarray, guest: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (fingerprint, root) of a spanning forest: within each shard, residents with each
-    other and with the guests, at ``radius`` or fewer differing bits. Sorted by shard."""
-    n = len(shard)
-    parent = np.arange(n)
-    ends = np.searchsorted(shard, shard, side="right")
-    left = np.arange(n)
-    step = 0
-    while True:
-        step += 1
-        left = left[left + step < ends[left]]
-        if not len(left):
-            break
-        right = left + step
-        near = (np.bitwise_count(fps[left] ^ fps[right]) <= radius) & ~(guest[left] & guest[right])
-        a, b = left[near], right[near]
+class Forest:
+    """Disjoint sets of the rows of a shard."""
+
+    def __init__(self, n: int):
+        self.parent = np.arange(n)
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
         while len(a):
-            a, b = parent[a], parent[b]
+            a, b = self.parent[a], self.parent[b]
             differ = a != b
             a, b = a[differ], b[differ]
             if not len(a):
-                break
-            np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
-            parent = _roots(parent)
-    joined = parent != np.arange(n)
-    return fps[joined], fps[parent[joined]]
+                return
+            np.minimum.at(self.parent, np.maximum(a, b), np.minimum(a, b))
+            while True:
+                up = self.parent[self.parent]
+                if (up == self.parent).all():
+                    break
+                self.parent = up
+
+
+def link_within(fps: np.ndarray, guest: np.ndarray, radius: int, least: int = 64) -> np.ndarray:
+    """For each fingerprint of a shard the first of those it is linked with, over residents
+    with each other and with guests at ``radius`` or fewer differing bits.
+
+    The shard is searched as a vantage-point tree of its own: at each node residents go to
+    one side of the median distance, and queries (residents that look to the right, and
+    guests) to the sides that the triangle inequality leaves. Small nodes, and those that
+    the median no longer divides, compare directly, a block of rows at a time.
+    """
+    sets = Forest(len(fps))
+    home = np.nonzero(~guest)[0]
+    # (residents to link with each other, queries to link with the residents)
+    todo = [(home, np.nonzero(guest)[0])]
+    while todo:
+        own, asked = todo.pop()
+        if not len(own) or len(own) + len(asked) < 2:
+            continue
+        if len(own) > least:
+            tried = own[:: max(1, len(own) // 8)][:8]
+            some = fps[own[:: max(1, len(own) // 256)]]
+            point = max(fps[tried], key=lambda v: int(np.bitwise_count(some ^ v).astype(np.int64).var() * 1e6))
+            far = np.bitwise_count(fps[own] ^ point).astype(np.int64)
+            cut = int(np.median(far))
+            left = far <= cut
+            if 0.1 < left.mean() < 0.9:
+                off = np.bitwise_count(fps[asked] ^ point).astype(np.int64) - cut
+                across = own[left & (far > cut - radius)]
+                todo.append((own[left], asked[off <= radius]))
+                todo.append((own[~left], np.concatenate([asked[off > -radius], across])))
+                continue
+        for i in range(0, len(own), 1 << 10):
+            block = own[i : i + (1 << 10)]
+            # Residents that follow, then the queries, in pieces of bounded size.
+            others = np.concatenate([own[i:], asked])
+            for j in range(0, len(others), 1 << 12):
+                piece = others[j : j + (1 << 12)]
+                a, b = np.nonzero(np.bitwise_count(fps[block][:, None] ^ fps[piece][None, :]) <= radius)
+                sets.join(block[a], piece[b])
+    return sets.parent
 
 
 def _searcher(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(parts):
             shard, fps, guest = (np.concatenate([p[i] for p in parts]) for i in range(3))
-            a, b = link_forest(shard, fps, guest, radius)
-            keep = a != b
-            return pa.RecordBatch.from_arrays([pa.array(a[keep].view(np.int64)), pa.array(b[keep].view(np.int64))], ["u", "v"])
+            for i, j in zip(edges := np.append(np.nonzero(np.diff(shard, prepend=-1))[0], len(shard)), edges[1:]):
+                root = link_within(fps[i:j], guest[i:j], radius)
+                a, b = fps[i:j], fps[i:j][root]
+                keep = a != b
+                yield pa.RecordBatch.from_arrays([pa.array(a[keep].view(np.int64)), pa.array(b[keep].view(np.int64))], ["u", "v"])
 
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        size = 0
         for batch in batches:
             shard, fps, guest = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            fps = fps.view(np.uint64)
             # Rows come sorted by shard: all but the last shard so far are complete.
             cut = int(np.searchsorted(shard, shard[-1])) if len(shard) else 0
-            if held and size > 1 << 16 and (cut or held[-1][0][-1] != shard[0]):
-                yield solve([*held, (shard[:cut], fps[:cut], guest[:cut])])
-                held, size = [], 0
-                shard, fps, guest = shard[cut:], fps[cut:], guest[cut:]
+            if held and (cut or len(shard) and held[-1][0][-1] != shard[0]):
+                yield from solve([*held, (shard[:cut], fps[:cut].view(np.uint64), guest[:cut])])
+                held, shard, fps, guest = [], shard[cut:], fps[cut:], guest[cut:]
             if len(shard):
-                held.append((shard, fps, guest))
-                size += len(shard)
+                held.append((shard, fps.view(np.uint64), guest))
         if held:
-            yield solve(held)
+            yield from solve(held)
 
     return run
 
 
+def _split_hot(visits: DataFrame, most: int) -> DataFrame:
+    """``visits`` with the shards of over ``most`` residents divided: each part keeps a share
+    of the residents, the residents of earlier parts and all guests come to it as guests."""
+    per = visits.groupBy("shard").agg(F.count_if(~F.col("guest")).alias("n")).where(F.col("n") > most)
+    # One row for each hot leaf of the tree, of which there are 2 ** MAX_DEPTH at most.
+    parts = per.select("shard", F.ceil(F.col("n") / most).cast("int").alias("parts"))
+    dealt = visits.join(F.broadcast(parts), "shard", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    dealt = dealt.withColumn("own", F.when(F.col("guest"), 0).otherwise(own))
+    dealt = dealt.select("shard", "fp", "guest", "own", F.explode(F.sequence("own", F.col("parts") - 1)).alias("part"))
+    return dealt.select((F.col("shard") * 65536 + F.col("part")).alias("shard"), "fp", (F.col("guest") | (F.col("part") != F.col("own"))).alias("guest"))
+
+
 def fingerprint_links(prints: DataFrame, radius: int = 2) -> DataFrame:
     """Links ``u, v`` that connect every two of the distinct ``fp`` within ``radius`` bits."""
     spark = prints.sparkSession
-    n, hashes = prints.count(), F.xxhash64("fp")
-    # The tree deepens with the data: a shard keeps a few dozen fingerprints.
-    levels = int(np.clip(np.ceil(np.log2(max(n, 1) / 32) / 3), 1, 8))
-    sample = prints.orderBy(hashes, "fp").limit(SAMPLE) if n > SAMPLE else prints
-    tree = Tree(np.array([r.fp for r in sample.collect()], np.int64).view(np.uint64), levels, radius)
-    visits = prints.select("fp").mapInArrow(_visitor(spark.sparkContext.broadcast(tree)), "shard long, fp long, guest boolean")
+    n = prints.count()
+    depth = int(np.clip(np.ceil(np.log2(max(n, 1) / SHARD)), 0, MAX_DEPTH))
+    sample = prints.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE) if n > SAMPLE else prints
+    tree = Tree.over(np.sort(np.array([r.fp for r in sample.collect()], np.int64).view(np.uint64)), depth)
+    sent = spark.sparkContext.broadcast((tree.depth, tree.points, tree.radii))
+    visits = prints.select("fp").mapInArrow(_visitor(sent, radius), "shard long, fp long, guest boolean")
+    visits = _split_hot(materialise(visits, "visits"), 4 * SHARD)
     dealt = visits.repartition(partitions(spark), "shard").sortWithinPartitions("shard", "guest", "fp")
     return dealt.mapInArrow(_searcher(radius), "u long, v long")
 
@@ -223,13 +265,15 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 2) -> Da
     Fingerprints link at ``radius`` or fewer differing bits; a component is named by its
     smallest doc_id. Null and empty texts have fingerprint 0, which links like any other.
     Rows that repeat a doc_id take the component of the smallest of its fingerprints; a
-    null doc_id sorts last and names a component (as null) only where it is alone. Other
-    columns pass through, those named like the new ones are replaced; an empty table gives
+    null doc_id sorts last and names a component (as null) only where it is alone; ids that
+    are not numbers, nor read like some, are an error. Other columns pass through, those named like the new ones are replaced; an empty table gives
     an empty result.
     """
+    docs = replacing(docs, "fingerprint", "component_id")
     found = components_of(docs, shingle, radius).groupBy("d").agg(F.min(F.struct("fp", "c")).alias("x"))
-    found = found.select(F.col("d").alias("__d"), F.col("x.fp").alias("fingerprint"), F.nullif("x.c", F.lit(NULL_ID)).alias("component_id"))
-    return replacing(docs, "fingerprint", "component_id").withColumn("__d", id_key("doc_id")).join(found, "__d").drop("__d")
+    key = unused(docs, "__d")[0]
+    found = found.select(F.col("d").alias(key), F.col("x.fp").alias("fingerprint"), F.nullif("x.c", F.lit(NULL_ID)).alias("component_id"))
+    return docs.withColumn(key, id_key("doc_id")).join(found, key).select(*docs.columns, "fingerprint", "component_id")
 
 
 def simhash_digest(docs: DataFrame) -> DataFrame:
@@ -277,17 +321,65 @@ def _signer(shingle: int, bands: int, rows: int):
     return run
 
 
-def _packer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    squeeze = zstandard.ZstdCompressor(level=1).compress
-    for batch in batches:
-        packed = [squeeze((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array(packed, pa.binary())], ["d", "packed"])
+def _filter_bits(ids: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each id its block, and four words of 64 bits with one bit set in each."""
+    h = ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xC2B2AE3D27D4EB4F)
+    h ^= h >> np.uint64(29)
+    words = np.stack([np.uint64(1) << (h >> np.uint64(6 * i) & np.uint64(63)) for i in range(4)], axis=1)
+    return ((h >> np.uint64(24)) % np.uint64(blocks)).astype(np.int64), words
+
+
+def id_filter(ids: DataFrame) -> Broadcast:
+    """A blocked Bloom filter of the long column ``d``, sent to all tasks: 16 ids to a block
+    of 256 bits, and ``MAX_BLOCKS`` blocks, 32 MB, at most. It passes all of the ids, and few
+    others; beyond 16 million ids it passes more of them."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, words = _filter_bits(batch.column("d").to_numpy(), blocks)
+            yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(w.view(np.int64)) for w in np.ascontiguousarray(words.T))], ["b", "w0", "w1", "w2", "w3"])
+
+    blocks = min(MAX_BLOCKS, ids.count() // 16 + 1)
+    rows = ids.select("d").mapInArrow(build, "b long, w0 long, w1 long, w2 long, w3 long")
+    found = rows.groupBy("b").agg(*[F.bit_or(w).alias(w) for w in ("w0", "w1", "w2", "w3")]).toArrow()
+    table = np.zeros((blocks, 4), np.uint64)
+    table[found.column("b").to_numpy()] = np.stack([found.column(w).to_numpy() for w in ("w0", "w1", "w2", "w3")], axis=1).view(np.uint64)
+    return ids.sparkSession.sparkContext.broadcast(table)
+
+
+def passed(ids: np.ndarray, table: np.ndarray) -> np.ndarray:
+    at, words = _filter_bits(ids, len(table))
+    return (table[at] & words == words).all(axis=1)
+
+
+def _packer(wanted: Broadcast):
+    """``d, packed``: the texts that the filter passes, compressed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            batch = batch.filter(pa.array(passed(batch.column("d").to_numpy(), wanted.value)))
+            packed = [squeeze((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array(packed, pa.binary())], ["d", "packed"])
+
+    return run
+
+
+def packed_texts(base: DataFrame, ids: DataFrame) -> DataFrame:
+    """``d, packed`` of the rows of ``base`` (``d, text``) whose ``d`` may be in ``ids``: the
+    others, most of a corpus, are left out where they lie, so they are never shuffled."""
+    return base.select("d", "text").mapInArrow(_packer(id_filter(ids.select("d").distinct())), "d long, packed binary")
+
+
+def _unpack(packed: bytes) -> str:
+    return zstandard.ZstdDecompressor().decompress(packed).decode("utf-8", "surrogatepass")
 
 
 def _verifier(shingle: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        grams = lambda x: np.unique(shingle_hashes(unpack(x.as_py()).decode("utf-8", "surrogatepass"), shingle))
+        grams = lambda x: np.unique(shingle_hashes(_unpack(x.as_py()), shingle))
         for batch in batches:
             near, last, a = [], None, None
             for u, left, right in zip(batch.column("u"), batch.column("left"), batch.column("right")):
@@ -329,8 +421,8 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float =
 
     At such a similarity 64-bit SimHashes differ in ten bits and more, where the bounds of a
     vantage-point tree prune nothing. So texts that share a band of shingle minima are
-    candidates, as links to three members of the band (the first, one by hash and the most
-    central one), never as all pairs; those whose numbers of distinct shingles alone exclude
+    candidates, as links to three members of the band (the first, the one of the least hash
+    and the most central one, which tend to be the same in all bands of a crowd), never as all pairs; those whose numbers of distinct shingles alone exclude
     the similarity go, and the exact similarity decides. Texts of bands of over three members
     that are of several groups after that are compared by ``crowd_candidates``. Equal word
     sequences are one class and compared once. Texts without words are one class.
@@ -343,7 +435,7 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float =
     heads = signed.select("d", "size", "fp", "bands").join(classes.select(F.col("head").alias("d")), "d")
     keyed = materialise(heads.select("d", "size", "fp", F.explode("bands").alias("key")).distinct(), "bands")
     first = F.min(F.struct("d", "size")).alias("a")
-    other = F.min(F.struct(F.xxhash64("d", "key").alias("h"), "d", "size")).alias("b")
+    other = F.min(F.struct(F.xxhash64("d").alias("h"), "d", "size")).alias("b")
     pairs = materialise(keyed.groupBy("key").agg(first, other, F.count("*").alias("n")).where("n > 1").select("key", "n", "a", F.struct("b.d", "b.size").alias("b")), "stars")
     stars = materialise(pairs.join(band_centres(keyed, pairs), "key", "left").select("key", F.array_compact(F.array("a", "b", "c")).alias("s")), "centred")
     links = keyed.join(stars, "key").select("d", "size", F.explode("s").alias("s")).where("d != s.d")
@@ -358,15 +450,24 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float =
     crowd = materialise(large.join(apart, "key").select("d", "c").distinct(), "crowd")
     if crowd.isEmpty():
         return groups
-    links = materialise(crowd_candidates(base.join(crowd, "d"), shingle, similarity), "candidates")
-    more = verified(base, links, shingle, similarity)
-    return connected_components(materialise(near.unionByName(more), "near"))
+    links = materialise(crowd_candidates(packed_texts(base, crowd).join(crowd, "d"), shingle, similarity), "candidates")
+    more = materialise(verified(base, links, shingle, similarity), "more")
+    if more.isEmpty():
+        return groups
+    # The groups so far are the nodes of what is left to connect.
+    for end in ("u", "v"):
+        named = groups.select(F.col("node").alias(end), F.col("component").alias("named"))
+        more = more.join(materialise(named, "named"), end, "left").withColumn(end, F.coalesce("named", end)).drop("named")
+    merged = materialise(connected_components(materialise(more, "more")).toDF("component", "lowest"), "merged")
+    named = groups.join(merged, "component", "left").select("node", F.coalesce("lowest", "component").alias("component"))
+    alone = merged.select(F.col("component").alias("node"), F.col("lowest").alias("component"))
+    return named.unionByName(alone).distinct()
 
 
 def verified(base: DataFrame, links: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Those of the links ``u, v`` (u < v) whose texts are similar enough."""
-    packed = base.mapInArrow(_packer, "d long, packed binary")
     ends = links.select("u", "v", F.explode(F.array("u", "v")).alias("d"))
+    packed = packed_texts(base, ends)
     # Both sides come from files, so adaptive execution can split the links of a popular text.
     texts = ends.join(packed, "d").groupBy("u", "v").agg(F.max_by("packed", -F.col("d")).alias("left"), F.max_by("packed", F.col("d")).alias("right"))
     return texts.sortWithinPartitions("u", "v").mapInArrow(_verifier(shingle, similarity), "u long, v long")
@@ -376,8 +477,8 @@ def _grams(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["d", "t", "c", "size", "g"]
         for batch in batches:
-            for d, t, c, text in zip(*(batch.column(k).to_pylist() for k in ("d", "t", "c", "text"))):
-                g = np.unique(shingle_hashes(text, shingle)).view(np.int64)
+            for d, t, c, packed in zip(*(batch.column(k).to_pylist() for k in ("d", "t", "c", "packed"))):
+                g = np.unique(shingle_hashes(_unpack(packed), shingle)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(g), x, np.int64)) for x in (d, t, c, len(g))), pa.array(g)], names)
 
     return run
@@ -403,7 +504,7 @@ def _prefixer(similarity: float):
 
 def crowd_candidates(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """``u, v``: candidates that connect all similar texts of different groups ``c`` in
-    ``docs`` (``d, text, c``).
+    ``docs`` (``d, packed, c``).
 
     Sorted by frequency, similar texts share one of their first shingles. Where one is held
     by ``RARE`` texts or fewer, all pairs that hold it are candidates. Other similar pairs
@@ -414,7 +515,7 @@ def crowd_candidates(docs: DataFrame, shingle: int, similarity: float) -> DataFr
     that share a frequent shingle among their first; one text of each is outside of the
     shingle's largest group.
     """
-    grams = materialise(docs.select("d", F.xxhash64("text").alias("t"), "c", "text").distinct().mapInArrow(_grams(shingle), "d long, t long, c long, size long, g long"), "grams")
+    grams = materialise(docs.select("d", F.xxhash64("packed").alias("t"), "c", "packed").distinct().mapInArrow(_grams(shingle), "d long, t long, c long, size long, g long"), "grams")
     held = grams.groupBy("g").agg(F.count("*").alias("f"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("g", "f")
     shared = grams.join(materialise(held, "held"), "g").groupBy("d", "t").agg(F.first("c").alias("c"), F.first("size").alias("size"), F.collect_list(F.struct("f", "g")).alias("s"))
     first = materialise(shared.mapInArrow(_prefixer(similarity), "d long, c long, size long, hot long, h long, f long, g long"), "prefixes")
@@ -449,5 +550,6 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     an empty result; other columns pass through.
     """
     groups = near_duplicate_groups(docs, shingle, similarity)
-    lost = groups.where("node != component").select(F.col("node").alias("__d"))
-    return docs.withColumn("__d", id_key("doc_id")).join(materialise(lost, "lost"), "__d", "left_anti").select(*docs.columns)
+    key = unused(docs, "__d")[0]
+    lost = materialise(groups.where("node != component").select(F.col("node").alias(key)), "lost")
+    return docs.withColumn(key, id_key("doc_id")).join(lost, key, "left_anti").select(*docs.columns)
