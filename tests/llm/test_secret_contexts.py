@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+import random
+
 import pytest
 
 from tessella.llm import secrets
@@ -46,3 +50,35 @@ def test_letters_after_a_blank():
     assert secrets.find_secrets("login information") == secrets.find_secrets("the login procedure") == []
     assert secrets.find_secrets("bearer xkQjzvWpmBtrhgLs") == [(7, 3, 23)]
     assert secrets.find_secrets("password is incorrect") == secrets.find_secrets("login: please enter") == []
+
+
+def test_cost_is_the_least_over_all_segmentations():
+    """Against all ways to cut short values."""
+    ranks = secrets.word_ranks(["cat", "dog", "tree"])
+
+    def segment(value, i, j):
+        low = value.lower()
+        costs = [secrets.pool_cost(value) * (j - i), secrets.word_cost(value[i:j], ranks) if j - i >= 3 else math.inf]
+        costs += [cost for date, cost in ((secrets._YEAR, secrets.YEAR), (secrets._DATE, secrets.DAY)) if date.fullmatch(value[i:j])]
+        if j - i >= 3 and all(pair in secrets._NEXT for pair in zip(low[i:j], low[i + 1 : j])):
+            costs.append(secrets.WALK + secrets.STEP * (j - i - 1))
+        if any(low[i:j] == low[i - p : j - p] for p in range(1, i + 1)):
+            costs.append(math.log10(secrets.PERIODS) + secrets.AGAIN * (j - i))
+        return min(costs) + secrets.SEGMENT
+
+    rng = random.Random(2)
+    for _ in range(120):
+        value = "".join(rng.choice(["a", "cat", "D0g", "qwe", "12", "2019", "x!", "ab", "zz", "asd"]) for _ in range(rng.randint(1, 4)))[:10]
+        least = math.inf
+        for cuts in itertools.product((0, 1), repeat=len(value) - 1):
+            ends = [0, *[k + 1 for k, cut in enumerate(cuts) if cut], len(value)]
+            least = min(least, sum(segment(value, a, b) for a, b in zip(ends, ends[1:])))
+        assert abs(secrets.guess_cost(value, ranks) - least) < 1e-9, value
+
+
+def test_words_of_the_corpus_join_the_dictionary(spark):
+    rows = [(i, f"correct horses like staples number {i}") for i in range(9)] + [(i, "password: xkqjzvwpmbtrhg") for i in range(20)] + [(0, None), (0, "")]
+    words = secrets.corpus_words(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert set(words) >= {"correct", "horses", "like", "staples", "number"} and "xkqjzvwpmbtrhg" not in words
+    ranks = secrets.word_ranks(words)
+    assert secrets.guess_cost("correcthorsesstaples", ranks) < 10 < secrets.guess_cost("correcthorsesstaples")
