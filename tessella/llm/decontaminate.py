@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tessella.llm.common import open_fs, replacing, running_totals, scratch_dir, unused
+from tessella.llm.common import open_fs, replacing, running_totals, scratch_dir, slices, unused
 
 #: Everything but letters, digits and non-ASCII bytes becomes a space, and A-Z lower case.
 _WORDS = bytes(32 if b < 0x80 and not chr(b).isalnum() else ord(chr(b).lower()) if b < 0x80 else b for b in range(256))
@@ -113,7 +113,7 @@ def _scanner(block: str | None, window: int, item_type: pa.DataType, names: list
             fs, path = open_fs(block)
             read = pq.read_table(path, filesystem=fs, partitioning=None)
             tables = matchers(list(zip(read.column("item_id").to_pylist(), read.column("text").to_pylist())), window)
-        for batch in batches:
+        for batch in slices(batches):
             n_words, spans, items = [], [], []
             for text in batch.column("text"):
                 words = words_of(text.as_py())

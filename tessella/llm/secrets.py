@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import replacing
+from tessella.llm.common import replacing, slices
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -173,7 +173,7 @@ def _spans(found: list[tuple[int, int, int]]) -> str:
 def _scanner(min_cost: float, ranks: Broadcast | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = None if ranks is None else ranks.value
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for text in batch.column("text"):
                 found = find_secrets(text.as_py(), min_cost, known)

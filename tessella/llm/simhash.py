@@ -22,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import NULL_ID, id_key, key_id, materialise, partitions, replacing, unused
+from tessella.llm.common import NULL_ID, id_key, key_id, materialise, partitions, replacing, slices, unused
 from tessella.llm.components import connected_components
 
 #: Fingerprints, at most, on which vantage points and radii are chosen.
@@ -64,7 +64,7 @@ def majority_bits(hashes: np.ndarray) -> int:
 
 def _fingerprinter(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             prints = [majority_bits(shingle_hashes(t.as_py(), size)) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array(np.array(prints, np.uint64).view(np.int64))], ["d", "fp"])
 
@@ -300,7 +300,7 @@ def _signer(shingle: int, bands: int, rows: int):
         return least.reshape(bands, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             h1, h2, counts, prints, keys = [], [], [], [], []
             for text in batch.column("text"):
                 text = text.as_py()
@@ -359,7 +359,7 @@ def _packer(wanted: Broadcast):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
+        for batch in slices(batches):
             batch = batch.filter(pa.array(passed(batch.column("d").to_numpy(), wanted.value)))
             packed = [squeeze((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array(packed, pa.binary())], ["d", "packed"])
@@ -476,7 +476,7 @@ def verified(base: DataFrame, links: DataFrame, shingle: int, similarity: float)
 def _grams(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["d", "t", "c", "size", "g"]
-        for batch in batches:
+        for batch in slices(batches):
             for d, t, c, packed in zip(*(batch.column(k).to_pylist() for k in ("d", "t", "c", "packed"))):
                 g = np.unique(shingle_hashes(_unpack(packed), shingle)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(g), x, np.int64)) for x in (d, t, c, len(g))), pa.array(g)], names)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import materialise, replacing
+from tessella.llm.common import materialise, replacing, slices
 
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[.!?\n]+")
@@ -102,7 +102,7 @@ def swaps_of(text: str | None, prefix: int) -> Counter:
 
 def _extractor(prefix: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             plain, swaps = [], []
             for text in batch.column("text"):
                 plain.append(sorted(features_of(words_in(text.as_py()), prefix)))
@@ -203,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
 def _scorer(sent: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Model(*sent.value).score
-        for batch in batches:
+        for batch in slices(batches):
             scores = pa.array([score(t.as_py()) for t in batch.column("text")], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, "score"])
 
