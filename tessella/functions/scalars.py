@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 AXES = ("emotional", "cognitive", "social", "communication", "contextual", "artistic")
 #: Path segments that name no topic.
-STOP_SEGMENTS = ("index", "home", "page", "category", "tag", "article", "articles", "news", "www")
+STOP_SEGMENTS = ("www", "index", "html", "htm", "php", "amp", "en", "en-us", "us", "news", "article", "articles", "story", "stories", "page", "pages", "p", "id")
 #: The alphabet of pseudonyms.
 BASE32 = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
 
@@ -32,24 +32,32 @@ def multi_values(c: Column | str, most: int = 12) -> Column:
 
 
 def host_of(url: Column | str) -> Column:
-    """Lower-case host without ``www.``; empty if there is none."""
-    return F.regexp_replace(F.lower(F.regexp_extract(col(url), r"^[A-Za-z]+://([^/?#:]+)", 1)), r"^www\.", "")
+    """Lower-case host, with its port, and without scheme and ``www.``; empty if there is none.
+    A URL may come without a scheme."""
+    return F.regexp_replace(F.lower(F.regexp_extract(col(url), r"(?i)^(?:https?://)?([^/?#\s]+)", 1)), r"^www\.", "")
 
 
 def path_topics(url: Column | str, most: int = 2) -> Column:
-    """The first distinct path segments that tell a topic: not short, not numbers, no stop
-    words; without file extension, and of dashed names the first four parts."""
-    path = F.regexp_replace(F.regexp_replace(col(url), r"^[A-Za-z]+://[^/?#]*", ""), "[?#].*$", "")
-    parts = F.transform(F.split(F.lower(path), "/"), lambda s: F.regexp_replace(s, r"\.[a-z0-9]+$", ""))
-    told = F.filter(parts, lambda s: (F.length(s) >= 2) & ~s.rlike("^[0-9]+$") & ~s.isin(*STOP_SEGMENTS))
-    short = F.transform(told, lambda s: F.array_join(F.slice(F.split(s, "-"), 1, 4), "-"))
-    return F.slice(F.array_distinct(short), 1, most)
+    """The first distinct path segments that tell a topic: three characters or more, not
+    numbers, no stop words; of a page's file name without its extension and of dashed names
+    the first four parts."""
+    path = F.regexp_replace(F.regexp_replace(col(url), r"(?i)^https?://[^/]+", ""), r"[?#][\s\S]*$", "")
+    parts = F.transform(F.split(path, "/"), lambda s: F.lower(F.trim(s)))
+    told = F.filter(parts, lambda s: (F.length(s) >= 3) & ~s.rlike("^[0-9]+$") & ~s.isin(*STOP_SEGMENTS))
+    short = F.transform(told, lambda s: F.array_join(F.slice(F.split(F.regexp_replace(s, r"\.(html?|php|aspx)$", ""), "-"), 1, 4), "-"))
+    return F.slice(F.array_distinct(F.filter(short, lambda s: F.length(s) >= 3)), 1, most)
 
 
 def daypart(ts: Column | str) -> Column:
-    """Band of the UTC hour."""
+    """Band of the UTC hour: overnight, morning, afternoon, primetime or latenight."""
     h = F.hour(col(ts))
-    return F.when(h < 6, "overnight").when(h < 12, "morning").when(h < 17, "afternoon").when(h < 22, "evening").otherwise("late")
+    return F.when(h < 6, "overnight").when(h < 12, "morning").when(h < 17, "afternoon").when(h < 22, "primetime").when(h < 24, "latenight")
+
+
+def daypart_of_text(text: Column | str) -> Column:
+    """``daypart`` of an ISO time given as text; a zone, Z or an offset, is heeded, and without
+    one the time is UTC. Empty for text that is no time."""
+    return F.coalesce(daypart(F.try_to_timestamp(F.trim(col(text)))), F.lit(""))
 
 
 def tag_signature(report_type: Column | str, codes: Column | str) -> Column:
@@ -71,19 +79,30 @@ def is_holdout(name: Column | str, key: Column | str, share: float) -> Column:
 
 
 def pseudonym(c: Column | str) -> Column:
-    """``SIG-`` with six base-32 digits of the FNV-1a hash, least digit first."""
+    """``SIG-`` with six base-32 digits of the FNV-1a hash, the least digit last."""
     h = fnv1a(c)
     digit = lambda i: F.substring(F.lit(BASE32), F.shiftright(h, 5 * i).bitwiseAND(F.lit(31)).cast("int") + 1, F.lit(1))
-    return F.concat(F.lit("SIG-"), *[digit(i) for i in range(6)])
+    return F.concat(F.lit("SIG-"), *[digit(i) for i in range(5, -1, -1)])
+
+
+def is_aggregate_key(c: Column | str) -> Column:
+    """Keys with a colon stand for groups."""
+    return F.contains(col(c), F.lit(":"))
 
 
 def export_id(c: Column | str) -> Column:
-    """32 upper-case hex digits: of hex or a UUID the digits, else of the SHA-256; null for
-    null, empty and aggregate keys (with a colon)."""
+    """32 upper-case hex digits: of hex or a UUID the digits, of base64 of 16 bytes or more the
+    first 16, else of the SHA-256; null for null, blank and aggregate keys."""
     raw = F.trim(col(c))
-    plain = F.regexp_replace(raw, "-", "")
-    own = plain.rlike("^[0-9A-Fa-f]{32}$")
-    return F.when(raw.contains(":") | (raw == ""), F.lit(None)).when(own, F.upper(plain)).otherwise(F.upper(F.substring(F.sha2(raw.cast("binary"), 256), 1, 32)))
+    hex32, uuid = raw.rlike("^[0-9A-Fa-f]{32}$"), raw.rlike("(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")
+    # Padding may be left out, but not be of a wrong length.
+    plain = F.regexp_replace(raw, "=+$", "")
+    fits = F.when(F.contains(raw, F.lit("=")), F.length(raw) % 4 == 0).otherwise(F.length(raw) % 4 != 1)
+    coded = F.when(raw.rlike("^[A-Za-z0-9+/]{16,}={0,2}$") & fits, F.rpad(plain, (F.ceil(F.length(plain) / 4) * 4).cast("int"), F.lit("=")))
+    decoded = F.hex(F.try_to_binary(coded, F.lit("base64")))
+    hashed = F.upper(F.substring(F.sha2(raw.cast("binary"), 256), 1, 32))
+    told = F.when(hex32, F.upper(raw)).when(uuid, F.upper(F.regexp_replace(raw, "-", ""))).when(F.length(decoded) >= 32, F.substring(decoded, 1, 32)).otherwise(hashed)
+    return F.when(is_aggregate_key(raw) | (raw == ""), F.lit(None)).otherwise(told)
 
 
 def logistic_percentile(x: Column | str, mean: Column, sd: Column) -> Column:
@@ -112,3 +131,52 @@ def leading_axis(axes: list[str]) -> Column:
 def intensity_confidence(n: Column | str, base: float) -> Column:
     """``min(1, 0.5 + log10(1 + n) / 4)`` for positive counts, else ``base``."""
     return F.when(col(n) > 0, F.least(F.lit(1.0), 0.5 + F.log10(1 + col(n)) / 4)).otherwise(F.lit(base))
+
+
+def normal_cdf(z: Column | str) -> Column:
+    """The standard normal distribution by the rational approximation of Abramowitz and Stegun
+    7.1.26, to about seven digits."""
+    x = F.abs(col(z)) / F.sqrt(F.lit(2.0))
+    t = 1 / (1 + 0.3275911 * x)
+    poly = ((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t
+    erf = 1 - poly * F.exp(-x * x)
+    return F.when(col(z) >= 0, 0.5 * (1 + erf)).otherwise(0.5 * (1 - erf))
+
+
+def half_up(c: Column | str, digits: int = 0) -> Column:
+    """Round halves towards plus infinity."""
+    return F.floor(col(c) * 10**digits + 0.5) / 10**digits
+
+
+def is_device_id(c: Column | str) -> Column:
+    """Shaped like a UUID, as advertising ids of devices are."""
+    return col(c).rlike("(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")
+
+
+def is_ipv4(c: Column | str) -> Column:
+    return col(c).rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$")
+
+
+def is_ipv6(c: Column | str) -> Column:
+    return col(c).rlike("(?i)^[0-9a-f]{0,4}(:[0-9a-f]{0,4}){2,7}$")
+
+
+def leaf_label(code: Column | str) -> Column:
+    """The last dotted part of a code, dashes and underscores as blanks."""
+    return F.translate(F.element_at(F.split(col(code), r"\."), -1), "-_", "  ")
+
+
+def hours_between(later: Column | str, earlier: Column | str, digits: int = 1) -> Column:
+    micros = lambda c: F.unix_micros(col(c).cast("timestamp"))
+    return F.round((micros(later) - micros(earlier)) / 3.6e9, digits)
+
+
+def content_hash(*columns: Column | str) -> Column:
+    """SHA-256 of the columns as JSON, in the given order; nulls are left out."""
+    return F.sha2(F.to_json(F.struct(*columns)).cast("binary"), 256)
+
+
+def time_bucket(first: Column | str, last: Column | str) -> Column:
+    """``day``, ``week`` or ``month`` for a trend over a range: up to 45 days, 180, or more."""
+    days = F.date_diff(col(last), col(first))
+    return F.when(days <= 45, "day").when(days <= 180, "week").otherwise("month")

@@ -37,13 +37,24 @@ def signal_values(signals: DataFrame, most: int | None = None) -> DataFrame:
     return out.withColumn("__r", rank).where(F.col("__r") <= most).drop("__r")
 
 
+#: Letters with marks, and the letters that searches take them for.
+MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćčďēęěğīįłńňōőřśšťūůűźżž"
+PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccdeeegiilnnoorsstuuuzzz"
+
+
+def folded(c: Column) -> Column:
+    """Lower case, marks off, blanks collapsed."""
+    return F.trim(F.regexp_replace(F.translate(F.lower(F.coalesce(c, F.lit(""))), MARKED, PLAIN), r"[\u0300-\u036f]", "")).alias("folded")
+
+
 def search(df: DataFrame, text: str, *columns: str) -> DataFrame:
-    """Rows in which every word of ``text`` occurs in some of the columns, in any case."""
+    """Rows in which every word of ``text`` occurs in some of the columns, in any case and with
+    or without marks on its letters."""
     out = df
-    for term in text.split():
+    for term in text.lower().translate(str.maketrans(MARKED, PLAIN)).split():
         hit = F.lit(False)
         for c in columns:
-            hit = hit | F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(term.lower()))
+            hit = hit | F.contains(folded(F.col(c)), F.lit(term))
         out = out.where(hit)
     return out
 
@@ -60,9 +71,21 @@ def catalogue_rollup(regions: DataFrame, nations: DataFrame, customers: DataFram
 
 
 def percentile_row(df: DataFrame, key: str, value: str, shares: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
-    """Exact interpolated quantiles of ``value`` per key, as ``p50, p95...``, and ``top``."""
-    out: list[Column] = [F.percentile(value, s).alias(f"p{round(100 * s)}") for s in shares]
-    return df.groupBy(key).agg(*out, F.max(value).alias("top"))
+    """Exact interpolated quantiles of ``value`` per key, as ``p50, p95...``, and ``top``.
+
+    Equal values are counted first; ranks come from running counts of the distinct values.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("__n"))
+    w = Window.partitionBy(key)
+    run = F.sum("__n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    placed = counts.select(key, value, run.alias("__run"), F.sum("__n").over(w).alias("__all"))
+    at = lambda q, f: f(F.lit(q) * (F.col("__all") - 1))
+    pick = lambda q, f: F.min(F.when(F.col("__run") > at(q, f), F.col(value)))
+    out: list[Column] = []
+    for q in shares:
+        low, high, place = pick(q, F.floor), pick(q, F.ceil), F.lit(q) * (F.max("__all") - 1)
+        out.append((low + (high - low) * (place - F.floor(place))).alias(f"p{round(100 * q)}"))
+    return placed.groupBy(key).agg(*out, F.max(value).alias("top"))
 
 
 def nearest_in_time(points: DataFrame, trail: DataFrame, key: str, tolerance_s: int) -> DataFrame:

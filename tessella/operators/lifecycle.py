@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def claim(queue: DataFrame, as_of: str, most: int, stale_minutes: int = 5) -> DataFrame:
-    """``job_id, attempts``: jobs to work on next: first those claimed too long ago, then
-    pending ones, oldest first within each; a claim counts as an attempt."""
-    cut = F.to_timestamp(F.lit(as_of)) - F.expr(f"interval {int(stale_minutes)} minutes")
-    stale = (F.col("status") == "processing") & (F.col("claimed_at") < cut)
-    ready = queue.where(stale | (F.col("status") == "pending"))
-    first = F.when(stale, 0).otherwise(1)
-    return ready.orderBy(first, "created_at", "job_id").limit(most).select("job_id", (F.col("attempts") + 1).alias("attempts"))
+    """``job_id, attempts``: jobs to work on next: first those claimed too long ago, by that time,
+    then pending ones that are due, oldest first; a claim counts as an attempt, and jobs without
+    one left are passed over. A missing ``next_attempt_at`` is due."""
+    now = F.to_timestamp(F.lit(as_of))
+    stale = (F.col("status") == "processing") & (F.col("claimed_at") < now - F.expr(f"interval {int(stale_minutes)} minutes"))
+    due = F.coalesce(F.col("next_attempt_at") <= now, F.lit(True)) if "next_attempt_at" in queue.columns else F.lit(True)
+    ready = queue.where((stale | ((F.col("status") == "pending") & due)) & (F.col("attempts") < F.col("max_attempts")))
+    first, at = F.when(stale, 0).otherwise(1), F.when(stale, F.col("claimed_at")).otherwise(F.col("created_at"))
+    return ready.orderBy(first, at, "job_id").limit(min(max(most, 1), 64)).select("job_id", (F.col("attempts") + 1).alias("attempts"))
 
 
 def retire(queue: DataFrame, most_attempts: int) -> DataFrame:
@@ -22,6 +24,83 @@ def retire(queue: DataFrame, most_attempts: int) -> DataFrame:
     return queue.withColumn("status", F.when(failed & (F.col("attempts") >= most_attempts), "dead_letter").when(failed, "pending").otherwise(F.col("status")))
 
 
+def reap(files: DataFrame, as_of: str, stale_minutes: int = 30) -> DataFrame:
+    """The files with claims whose last sign of life (``heartbeat_at``, else ``started_at``, else
+    ``discovered_at``) is older than ``stale_minutes``, 5 at least, free again."""
+    cut = F.to_timestamp(F.lit(as_of)) - F.expr(f"interval {max(5, int(stale_minutes))} minutes")
+    stale = F.coalesce((F.col("status") == "processing") & (F.coalesce("heartbeat_at", "started_at", "discovered_at") < cut), F.lit(False))
+    return files.withColumns({"status": F.when(stale, "discovered").otherwise(F.col("status")), "started_at": F.when(~stale, F.col("started_at"))})
+
+
+#: Database errors that no retry mends.
+PERMANENT_CODES = ("42703", "42P01", "42804", "22P02", "23502", "23503")
+
+
+def classify_failures(df: DataFrame) -> DataFrame:
+    """``df`` (``status_code, code, message``) with ``kind, retryable, shrink, backoff_ms``."""
+    status, code = F.col("status_code"), F.coalesce("code", F.lit(""))
+    said = F.upper(F.concat_ws(" ", F.coalesce("message", F.lit("")), code))
+    hint = F.coalesce(F.nullif(F.regexp_extract(F.coalesce("message", F.lit("")), r'"?retryAfterMs"?\s*[:=]\s*(\d+)', 1), F.lit("")).cast("int"), F.lit(0))
+    is_ = lambda *codes: F.coalesce(status.isin(*codes), F.lit(False))
+    schema = code.isin(*PERMANENT_CODES) | said.rlike("COLUMN .* DOES NOT EXIST|RELATION .* DOES NOT EXIST|SCHEMA CACHE|VIOLATES (NOT-NULL|FOREIGN KEY|CHECK)|INVALID INPUT SYNTAX")
+    verdicts = [
+        (is_(402) | said.rlike("INSUFFICIENTCREDITS|PAYMENT REQUIRED"), "credits", False, False, F.lit(0)),
+        (is_(403), "policy", False, False, F.lit(0)),
+        (is_(401), "auth", False, False, F.lit(0)),
+        (schema | is_(400, 404, 422), "schema", False, False, F.lit(0)),
+        (is_(546) | said.rlike("WORKER_RESOURCE_LIMIT|COMPUTE RESOURCES|CPU TIME|MEMORY LIMIT|OUT OF MEMORY|HEAP"), "resource", True, True, F.lit(5000)),
+        (is_(504) | said.rlike("IDLE_TIMEOUT|TIMED? ?OUT|DEADLINE|ABORTERROR"), "resource", True, True, F.lit(4000)),
+        (is_(429) | said.rlike("RATE ?LIMIT|TOO MANY REQUESTS"), "rate_limit", True, False, F.greatest(hint, F.lit(15_000))),
+        (F.coalesce(status >= 500, F.lit(False)) | said.rlike("FETCH FAILED|NETWORK|ECONNRESET|SOCKET"), "transient", True, False, F.lit(2000)),
+    ]
+    made = lambda kind, retry, shrink, wait: F.struct(F.lit(kind).alias("kind"), F.lit(retry).alias("retryable"), F.lit(shrink).alias("shrink"), wait.alias("backoff_ms"))
+    verdict = None
+    for which, *rest in verdicts:
+        verdict = F.when(which, made(*rest)) if verdict is None else verdict.when(which, made(*rest))
+    verdict = verdict.otherwise(made("unknown", True, True, F.lit(3000)))
+    return df.withColumn("__v", verdict).select(*df.columns, "__v.kind", "__v.retryable", "__v.shrink", "__v.backoff_ms")
+
+
+def backoff(wait_ms: Column, attempt: Column, jitter_ms: Column | int = 0) -> Column:
+    """Milliseconds to wait: doubled with each attempt after the first, from 500 at least."""
+    jitter = F.lit(jitter_ms) if isinstance(jitter_ms, int) else jitter_ms
+    return F.round(F.greatest(wait_ms, F.lit(500)) * F.pow(F.lit(2.0), F.greatest(F.lit(0), attempt - 1)) + jitter).cast("long")
+
+
+def settle(queue: DataFrame) -> DataFrame:
+    """Jobs (``job_id, outcome, attempts, max_attempts, step_scale`` and the verdict of
+    ``classify_failures``) with their next ``status``, ``attempts``, ``step_scale`` and ``wait_ms``.
+
+    Scored jobs are done and unchanged ones skipped. An account that stopped gets its attempt
+    back; a failure that no retry mends, or that used the last attempt, is dead; others wait,
+    with half the work, a quarter at least, where the verdict says so.
+    """
+    failed = F.col("outcome") == "failed"
+    stop = F.col("kind").isin("credits", "policy")
+    dead = failed & ~stop & (~F.col("retryable") | (F.col("attempts") >= F.col("max_attempts")))
+    status = F.when(F.col("outcome") == "scored", "done").when(F.col("outcome") == "unchanged", "skipped").when(dead, "dead_letter").otherwise("pending")
+    attempts = F.when(failed & stop, F.greatest(F.lit(0), F.col("attempts") - 1)).otherwise(F.col("attempts"))
+    scale = F.when(failed & F.col("shrink"), F.greatest(F.lit(0.25), F.col("step_scale") * 0.5)).otherwise(F.col("step_scale"))
+    wait = F.when(status == "pending", backoff(F.col("backoff_ms"), F.col("attempts")))
+    return queue.select("job_id", status.alias("status"), attempts.alias("attempts"), scale.alias("step_scale"), wait.alias("wait_ms"))
+
+
+def queue_positions(jobs: DataFrame, cap: int = 500) -> DataFrame:
+    """``job_id, position`` of the first ``cap`` pending jobs, from 1: by priority, highest first,
+    then by age. The limit bounds the one task that numbers them."""
+    first = jobs.where("status = 'pending'").orderBy(F.desc("priority"), "created_at", "job_id").limit(cap)
+    return first.select("job_id", F.row_number().over(Window.orderBy(F.desc("priority"), "created_at", "job_id")).alias("position"))
+
+
+def purge_cascade(owners: DataFrame, dependants: dict[str, DataFrame], key: str, as_of: str, days: int) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Owners seen (``last_seen``, else ``updated_at``, else ``created_at``) in the last ``days``, and
+    of each dependant table the rows whose owner was not purged."""
+    cut = F.to_timestamp(F.lit(as_of)) - F.expr(f"interval {int(days)} days")
+    old = F.coalesce("last_seen", "updated_at", "created_at") < cut
+    gone = owners.where(old).select(key).distinct()
+    return owners.where(~F.coalesce(old, F.lit(False))), {n: df.join(gone, key, "left_anti") for n, df in dependants.items()}
+
+
 def purge(df: DataFrame, seen: Column, as_of: str, days: int) -> DataFrame:
     """Rows seen in the last ``days`` before ``as_of``; rows never seen stay."""
     cut = F.to_timestamp(F.lit(as_of)) - F.expr(f"interval {int(days)} days")

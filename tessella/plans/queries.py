@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import scalars as S
 from tessella.operators import audience, insights, learning, lifecycle, profiles, vectors
+from tessella.plans import reports, reports_sql
 from tessella.streaming import ingest
 
 AXES = list(S.AXES)
@@ -36,10 +37,11 @@ def _rounded(df: DataFrame, *names: str) -> DataFrame:
 def _queue(spark: SparkSession, d: str) -> DataFrame:
     """Orders as a job queue."""
     status = F.when(F.col("o_orderstatus") == "F", "processing").when(F.col("o_orderstatus") == "O", "pending").otherwise("failed")
+    due = F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderdate").cast("timestamp") + F.expr("make_interval(0, 0, 0, cast(o_orderkey % 400 as int))"))
     return load(spark, d, "orders").select(
-        F.col("o_orderkey").alias("job_id"), status.alias("status"), (F.col("o_custkey") % 4).alias("attempts"),
-        F.col("o_orderdate").alias("created_at"), F.col("o_orderdate").alias("claimed_at"),
-    )
+        F.col("o_orderkey").alias("job_id"), status.alias("status"), (F.col("o_custkey") % 4).alias("attempts"), F.lit(3).alias("max_attempts"),
+        F.col("o_orderdate").alias("created_at"), F.col("o_orderdate").alias("claimed_at"), due.alias("next_attempt_at"),
+    )
 
 
 def _parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -68,6 +70,14 @@ def _rekeyed(spark: SparkSession, d: str) -> DataFrame:
     return out.select("key", "observations", "last_seen", F.array_join("codes", ",").alias("codes"))
 
 
+def _keys(spark: SparkSession, d: str) -> DataFrame:
+    """Keys of all shapes: hex, UUID, base64 with and without padding, groups, blanks and others."""
+    h, twice = F.md5(F.col("c_name").cast("binary")), F.base64(F.concat("c_name", "c_name").cast("binary"))
+    uuid = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12))
+    shapes = [F.col("c_name"), h, uuid, twice, F.regexp_replace(twice, "=+$", ""), F.concat(F.lit("group:"), "c_name"), F.lit("  "), F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 24))]
+    return load(spark, d, "customer").select("c_custkey", F.element_at(F.array(*shapes), (F.col("c_custkey") % 8 + 1).cast("int")).alias("key"))
+
+
 def _moments(spark: SparkSession, d: str) -> DataFrame:
     daily = profiles.moments(load(spark, d, "events").withColumn("day", F.to_date("ts")), ["event_type", "day"], "value")
     merged = profiles.merged_moments(daily, ["event_type"])
@@ -107,7 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "url_topics": lambda s, d: load(s, d, "pages").select("page_id", S.host_of("url").alias("host"), F.array_join(S.path_topics("url"), ",").alias("topics"), S.slug("url").alias("slug")),
     "daypart_counts": lambda s, d: load(s, d, "events").groupBy(S.daypart("ts").alias("daypart")).agg(F.count("*").alias("n")),
     "tag_signatures": lambda s, d: profiles.event_tags(load(s, d, "events")).groupBy("user_id").agg(F.collect_set("code").alias("codes")).select("user_id", S.tag_signature(F.lit("ctv"), "codes").alias("signature")),
-    "export_ids": lambda s, d: load(s, d, "customer").select("c_custkey", S.export_id("c_name").alias("eid")),
+    "export_ids": lambda s, d: _keys(s, d).select("c_custkey", S.export_id("key").alias("eid")),
     "holdout_split": lambda s, d: load(s, d, "customer").select("c_custkey", S.fnv1a("c_name").alias("hash"), S.is_holdout(F.lit("spring"), F.col("c_custkey").cast("string"), 0.1).alias("holdout"), S.pseudonym("c_name").alias("alias")),
     "signal_values": lambda s, d: _rounded(insights.signal_values(_signals(s, d)), "share"),
     "activation_lift": lambda s, d: _rounded(audience.lift(_outcomes(s, d)), "delta", "low", "high", "relative_lift"),
@@ -119,7 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "nearest_click": _nearest,
     "text_search": lambda s, d: insights.search(load(s, d, "part"), "small BRAND", "p_name", "p_brand").select("p_partkey", "p_name"),
     "latest_event": lambda s, d: profiles.latest_per_key(load(s, d, "events"), "user_id", F.desc("ts"), F.desc("event_id")).select("user_id", "event_id", "event_type"),
-    "claim_jobs": lambda s, d: lifecycle.claim(_queue(s, d), "2000-01-01 00:00:00", 100),
+    "claim_jobs": lambda s, d: lifecycle.claim(_queue(s, d), "1995-06-01 00:00:00", 64),
     "retire_jobs": lambda s, d: lifecycle.retire(_queue(s, d), 3).groupBy("status").agg(F.count("*").alias("n")),
     "retention_purge": lambda s, d: lifecycle.purge(load(s, d, "events"), F.col("ts"), AS_OF, 7).groupBy("event_type").agg(F.count("*").alias("n")),
     "rekey_merge": _rekeyed,
@@ -136,15 +146,15 @@ _PROFILE = "(SELECT user_id, " + ", ".join(f"least(100.0, avg(value) FILTER (WHE
 _FILLED = "(SELECT user_id, " + ", ".join(f"coalesce({a}, 50.0) AS {a}" for a in AXES) + f", confidence, n FROM {_PROFILE})"
 _TAGS = "(SELECT user_id, 'type.' || event_type AS code, ts::DATE AS day FROM events UNION ALL SELECT user_id, 'k.' || (json_extract(props, '$.k')::INT // 10), ts::DATE FROM events WHERE json_extract(props, '$.k') IS NOT NULL)"
 _FIT = "greatest(0.0, least(1.0, 1 - (" + " + ".join(f"abs({a} - {TARGET[a]})" for a in AXES) + ") / 600.0))"
-_HIST = f"(SELECT floor(round({_FIT} * 100, 6))::INT AS bucket, count(*) AS users FROM {_FILLED} GROUP BY 1)"
+_HIST = f"(SELECT least(floor(round({_FIT} * 100, 6)), 100)::INT + 1 AS bucket, count(*) AS users FROM {_FILLED} GROUP BY 1)"
 _BINS = f"(SELECT axis, least(floor(score / 10), 9)::INT AS bin, count(*) AS n FROM (UNPIVOT {_PROFILE} ON {', '.join(AXES)} INTO NAME axis VALUE score) GROUP BY 1, 2)"
 _LEAD = "CASE " + " ".join(f"WHEN {a} = greatest({', '.join(AXES)}) THEN '{a}'" for a in AXES) + " END"
-_DAYPART = "CASE WHEN hour(ts) < 6 THEN 'overnight' WHEN hour(ts) < 12 THEN 'morning' WHEN hour(ts) < 17 THEN 'afternoon' WHEN hour(ts) < 22 THEN 'evening' ELSE 'late' END"
+_DAYPART = "CASE WHEN hour(ts) < 6 THEN 'overnight' WHEN hour(ts) < 12 THEN 'morning' WHEN hour(ts) < 17 THEN 'afternoon' WHEN hour(ts) < 22 THEN 'primetime' ELSE 'latenight' END"
 _FNV = lambda x: f"list_reduce(list_prepend(2166136261::HUGEINT, list_transform(string_split({x}, ''), lambda c: ascii(c)::HUGEINT)), lambda h, c: (xor(h::BIGINT, c::BIGINT)::HUGEINT * 16777619) % 4294967296)"
 _PARTS = "(SELECT p_partkey, lower(p_type || '.' || p_brand) AS code, p_size FROM part)"
 _NODES = f"(SELECT code, max(p_size > 45) AS grounded FROM {_PARTS} GROUP BY code)"
 _WEIGHTS = f"(SELECT code, l_quantity AS weight FROM lineitem JOIN {_PARTS} ON l_partkey = p_partkey)"
-_QUEUE = "(SELECT o_orderkey AS job_id, CASE o_orderstatus WHEN 'F' THEN 'processing' WHEN 'O' THEN 'pending' ELSE 'failed' END AS status, o_custkey % 4 AS attempts, o_orderdate AS created_at, o_orderdate AS claimed_at FROM orders)"
+_QUEUE = "(SELECT o_orderkey AS job_id, CASE o_orderstatus WHEN 'F' THEN 'processing' WHEN 'O' THEN 'pending' ELSE 'failed' END AS status, o_custkey % 4 AS attempts, o_orderdate AS created_at, o_orderdate AS claimed_at, CASE WHEN o_orderkey % 3 > 0 THEN o_orderdate + to_days((o_orderkey % 400)::INT) END AS next_at FROM orders)"
 _DIST = {n: "round(sqrt(" + " + ".join(f"({a} - {float(x)}) * ({a} - {float(x)})" for a, x in zip(AXES, xs)) + "), 6)" for n, xs in audience.ARCHETYPES.items()}
 _DOT = " + ".join(f"{a} * {TARGET[a]}" for a in AXES)
 _SQ = " + ".join(f"{a} * {a}" for a in AXES)
@@ -166,15 +176,15 @@ ORACLE_SQL: dict[str, str] = {
     "listener_fit_topk": f"SELECT user_id, round(fit, 4) AS fit, lead FROM (SELECT user_id, round({_FIT}, 6) AS fit, {_LEAD} AS lead FROM {_FILLED} ORDER BY fit DESC, user_id LIMIT 20)",
     "listener_cohort": f"SELECT user_id, round(fit, 4) AS fit, {_FNV(chr(39) + 'spring:' + chr(39) + ' || user_id')} % 1000 < 100 AS holdout FROM (SELECT user_id, round({_FIT}, 6) AS fit FROM {_FILLED}) WHERE fit >= 0.85",
     "reach_curve": f"WITH h AS {_HIST}, t AS (SELECT DISTINCT ceil(a + (b - a) * i / 11)::BIGINT AS threshold FROM (SELECT min(bucket) AS a, max(bucket) AS b FROM h), range(12) r(i)) SELECT threshold, sum(users)::BIGINT AS reach FROM t JOIN h ON bucket >= threshold GROUP BY threshold",
-    "fingerprint_neighbours": f"SELECT user_id, round(s, 4) AS similarity FROM (SELECT user_id, round(pow(greatest(0, 0.3 * CASE WHEN {_SQ} > 0 THEN ({_DOT}) / (sqrt({_SQ}) * sqrt({_TSQ})) ELSE 0 END + 0.7 * (1 - sqrt({_EUC}) / sqrt(60000))), 1.5), 6) AS s FROM {_FILLED} ORDER BY s DESC, user_id LIMIT 10)",
+    "fingerprint_neighbours": f"SELECT user_id, round(s, 4) AS similarity, CASE " + " ".join(f"WHEN {a} + {TARGET[a]} = greatest({', '.join(f'{b} + {TARGET[b]}' for b in AXES)}) THEN '{a}'" for a in AXES) + f" END AS top_shared FROM (SELECT *, round(pow(greatest(0, 0.3 * CASE WHEN {_SQ} > 0 THEN ({_DOT}) / (sqrt({_SQ}) * sqrt({_TSQ})) ELSE 0 END + 0.7 * (1 - sqrt({_EUC}) / sqrt(60000))), 1.5), 6) AS s FROM {_FILLED} ORDER BY s DESC, user_id LIMIT 10)",
     "archetype_assign": f"SELECT user_id, CASE " + " ".join(f"WHEN {d} = least({', '.join(_DIST.values())}) THEN '{n}'" for n, d in _DIST.items()) + f" END AS archetype, least({', '.join(_DIST.values())}) AS distance FROM {_FILLED}",
     "knn_cosine": "SELECT query_id, rank, round(s, 4) AS similarity FROM (SELECT q.vec_id AS query_id, round(list_cosine_similarity(q.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id) AS rank FROM embeddings q JOIN embeddings b ON q.vec_id <> b.vec_id WHERE q.vec_id % 50 = 0) WHERE rank <= 10",
     "family_centroids": "WITH x AS (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings), m AS (SELECT label, pos, avg(v) AS v FROM x GROUP BY 1, 2) SELECT label, pos, round(v / sqrt(sum(v * v) OVER (PARTITION BY label)), 4) AS value FROM m",
     "daypart_counts": f"SELECT {_DAYPART} AS daypart, count(*) AS n FROM events GROUP BY 1",
     "tag_signatures": f"SELECT user_id, sha256('ctv|' || string_agg(code, ',' ORDER BY code)) AS signature FROM (SELECT DISTINCT user_id, code FROM {_TAGS}) GROUP BY user_id",
-    "export_ids": "SELECT c_custkey, upper(substr(sha256(trim(c_name)), 1, 32)) AS eid FROM customer",
+    "export_ids": "WITH k AS (SELECT c_custkey, md5(c_name) AS m, sha256(c_name) AS h, CASE c_custkey % 8 WHEN 0 THEN c_name WHEN 1 THEN md5(c_name) WHEN 2 THEN substr(md5(c_name), 1, 8) || '-' || substr(md5(c_name), 9, 4) || '-' || substr(md5(c_name), 13, 4) || '-' || substr(md5(c_name), 17, 4) || '-' || substr(md5(c_name), 21) WHEN 3 THEN base64(encode(c_name || c_name)) WHEN 4 THEN rtrim(base64(encode(c_name || c_name)), '=') WHEN 5 THEN 'group:' || c_name WHEN 6 THEN '  ' ELSE substr(md5(c_name), 1, 8) || '-' || substr(md5(c_name), 9) END AS key, hex(encode(c_name || c_name)) AS x FROM customer) SELECT c_custkey, CASE WHEN c_custkey % 8 IN (1, 2) THEN upper(m) WHEN c_custkey % 8 IN (3, 4) THEN substr(x, 1, 32) WHEN c_custkey % 8 IN (0, 7) THEN upper(substr(sha256(key), 1, 32)) END AS eid FROM k",
     "signal_values": f"WITH l AS (SELECT user_id, 'Type' AS family, event_type AS value FROM events UNION ALL SELECT user_id, 'Daypart', {_DAYPART} FROM events) SELECT family, value, devices, round(devices / t, 4) AS share FROM (SELECT family, value, count(DISTINCT user_id) AS devices FROM l GROUP BY 1, 2) JOIN (SELECT family, count(DISTINCT user_id) AS t FROM l GROUP BY 1) USING (family)",
-    "activation_lift": f"WITH o AS (SELECT {_FNV(chr(39) + 'lift:' + chr(39) + ' || user_id')} % 1000 < 300 AS h, avg(value) AS v FROM events GROUP BY user_id), s AS (SELECT count(*) FILTER (NOT h) AS n_exposed, count(*) FILTER (h) AS n_holdout, avg(v) FILTER (NOT h) AS me, avg(v) FILTER (h) AS mh, var_samp(v) FILTER (NOT h) AS ve, var_samp(v) FILTER (h) AS vh FROM o) SELECT n_exposed, n_holdout, CASE WHEN ok THEN round(me - mh, 4) END AS delta, CASE WHEN ok THEN round(me - mh - hw, 4) END AS low, CASE WHEN ok THEN round(me - mh + hw, 4) END AS high, CASE WHEN ok THEN round((me - mh) / mh, 4) END AS relative_lift FROM (SELECT *, n_exposed >= 5 AND n_holdout >= 5 AS ok, 1.96 * sqrt(ve / n_exposed + vh / n_holdout) AS hw FROM s)",
+    "activation_lift": f"WITH o AS (SELECT {_FNV(chr(39) + 'lift:' + chr(39) + ' || user_id')} % 1000 < 300 AS h, avg(value) AS v FROM events GROUP BY user_id), s AS (SELECT count(*) FILTER (NOT h) AS n_exposed, count(*) FILTER (h) AS n_holdout, avg(v) FILTER (NOT h) AS me, avg(v) FILTER (h) AS mh, var_samp(v) FILTER (NOT h) AS ve, var_samp(v) FILTER (h) AS vh FROM o) SELECT n_exposed, n_holdout, CASE WHEN ok THEN round(me - mh, 4) END AS delta, CASE WHEN ok THEN round(me - mh - hw, 4) END AS low, CASE WHEN ok THEN round(me - mh + hw, 4) END AS high, CASE WHEN ok THEN round((me - mh) / abs(mh), 4) END AS relative_lift FROM (SELECT *, n_exposed >= 5 AND n_holdout >= 5 AS ok, 1.96 * sqrt(ve / n_exposed + vh / n_holdout) AS hw FROM s)",
     "calibration_merge": "SELECT event_type, count(*) AS n, round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS sd FROM events GROUP BY 1",
     "coverage_by_branch": f"SELECT split_part(code, '.', 1) AS branch, count(*) AS nodes, count(*) FILTER (grounded) AS grounded, coalesce(sum(weight), 0) AS weight, round(count(*) FILTER (grounded) / count(*), 4) AS share FROM {_NODES} LEFT JOIN (SELECT code, sum(weight) AS weight FROM {_WEIGHTS} GROUP BY 1) USING (code) GROUP BY 1",
     "coverage_gaps": f"SELECT code, sum(weight) AS weight FROM {_WEIGHTS} WHERE code IN (SELECT code FROM {_NODES} WHERE NOT grounded) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
@@ -183,7 +193,7 @@ ORACLE_SQL: dict[str, str] = {
     "nearest_click": "SELECT p.event_id AS point_id, arg_min(c.ts, (abs(epoch_us(p.ts) - epoch_us(c.ts)), c.ts)) AS at FROM events p LEFT JOIN events c ON p.user_id = c.user_id AND c.event_type = 'click' AND abs(epoch_us(p.ts) - epoch_us(c.ts)) <= 3600000000 WHERE p.event_type = 'purchase' GROUP BY 1",
     "text_search": "SELECT p_partkey, p_name FROM part WHERE (contains(lower(p_name), 'small') OR contains(lower(p_brand), 'small')) AND (contains(lower(p_name), 'brand') OR contains(lower(p_brand), 'brand'))",
     "latest_event": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1",
-    "claim_jobs": f"SELECT job_id, attempts + 1 AS attempts FROM {_QUEUE} WHERE status = 'pending' OR status = 'processing' AND claimed_at < TIMESTAMP '2000-01-01' - INTERVAL 5 MINUTE ORDER BY CASE status WHEN 'processing' THEN 0 ELSE 1 END, created_at, job_id LIMIT 100",
+    "claim_jobs": f"SELECT job_id, attempts + 1 AS attempts FROM {_QUEUE} WHERE attempts < 3 AND (status = 'pending' AND (next_at IS NULL OR next_at <= TIMESTAMP '1995-06-01') OR status = 'processing' AND claimed_at < TIMESTAMP '1995-06-01' - INTERVAL 5 MINUTE) ORDER BY CASE status WHEN 'processing' THEN 0 ELSE 1 END, created_at, job_id LIMIT 64",
     "retire_jobs": f"SELECT CASE WHEN status = 'failed' AND attempts >= 3 THEN 'dead_letter' WHEN status = 'failed' THEN 'pending' ELSE status END AS status, count(*) AS n FROM {_QUEUE} GROUP BY 1",
     "retention_purge": "SELECT event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 7 DAY GROUP BY 1",
     "rekey_merge": "SELECT user_id // 10 AS key, count(*) AS observations, max(ts) AS last_seen, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS codes FROM events GROUP BY 1",
@@ -192,8 +202,9 @@ ORACLE_SQL: dict[str, str] = {
     "stream_rollup": f"SELECT user_id, code, day, count(*) AS weight FROM {_TAGS} GROUP BY ALL",
     "stream_windows": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(avg(value), 4) AS score FROM events GROUP BY 1, 2",
     "stream_distinct": "SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY 1",
-    "url_topics": "WITH u AS (SELECT page_id, url, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)), '^www\\.', '') AS host, list_transform(string_split(lower(regexp_replace(regexp_replace(url, '^[A-Za-z]+://[^/?#]*', ''), '[?#].*$', '')), '/'), lambda s: regexp_replace(s, '\\.[a-z0-9]+$', '')) AS parts, substr(trim(regexp_replace(lower(trim(url)), '[^a-z0-9]+', '-', 'g'), '-'), 1, 80) AS slug FROM pages), t AS (SELECT page_id, unnest(parts) AS s, generate_subscripts(parts, 1) AS i FROM u), k AS (SELECT page_id, array_to_string(string_split(s, '-')[1:4], '-') AS w, min(i) AS i FROM t WHERE length(s) >= 2 AND NOT regexp_full_match(s, '[0-9]+') AND s NOT IN ('"
-    + "', '".join(S.STOP_SEGMENTS)
-    + "') GROUP BY 1, 2), r AS (SELECT page_id, w, row_number() OVER (PARTITION BY page_id ORDER BY i) AS r FROM k) SELECT page_id, host, coalesce(topics, '') AS topics, slug FROM u LEFT JOIN (SELECT page_id, string_agg(w, ',' ORDER BY r) AS topics FROM r WHERE r <= 2 GROUP BY 1) USING (page_id)",
-    "holdout_split": f"SELECT c_custkey, h::BIGINT AS hash, {_FNV(chr(39) + 'spring:' + chr(39) + ' || c_custkey')} % 1000 < 100 AS holdout, 'SIG-' || " + " || ".join(f"substr('{S.BASE32}', (h // {32**i} % 32)::INT + 1, 1)" for i in range(6)) + f" AS alias FROM (SELECT c_custkey, {_FNV('c_name')} AS h FROM customer)",
+    "url_topics": f"SELECT page_id, {reports_sql.HOST('url')} AS host, coalesce(array_to_string(topics, ','), '') AS topics, {reports_sql.SLUG('url')} AS slug FROM pages LEFT JOIN {reports_sql.TOPICS('page_id', 'url', 'pages')} ON page_id = k",
+    "holdout_split": f"SELECT c_custkey, h::BIGINT AS hash, {_FNV(chr(39) + 'spring:' + chr(39) + ' || c_custkey')} % 1000 < 100 AS holdout, 'SIG-' || " + " || ".join(f"substr('{S.BASE32}', (h // {32**i} % 32)::INT + 1, 1)" for i in range(5, -1, -1)) + f" AS alias FROM (SELECT c_custkey, {_FNV('c_name')} AS h FROM customer)",
 }
+
+QUERIES |= reports.QUERIES
+ORACLE_SQL |= reports_sql.ORACLE_SQL

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tessella.functions.storage import shared_path
 from tessella.operators.profiles import event_tags, rollup_tags
@@ -55,11 +56,38 @@ def stream_rollup(spark: SparkSession, folder: str) -> DataFrame:
     return parts.groupBy("user_id", "code", "day").agg(F.sum("weight").alias("weight"))
 
 
-def stream_windows(spark: SparkSession, folder: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """``start, event_type, n, score`` of tumbling windows."""
+def upsert_batches(spark: SparkSession, path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
+    """A sink of changed rows: each batch is a folder of its own; ``latest_of`` reads the last
+    row of each key. A replayed batch replaces its own rows."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch-{number}")
+
+    return write
+
+
+def latest_of(spark: SparkSession, path: str, schema: StructType, keys: list[str]) -> DataFrame:
+    """Of each key the row of its last batch."""
+    rows = spark.read.schema(StructType([*schema.fields, StructField("batch", IntegerType())])).option("recursiveFileLookup", "true").parquet(path)
+    values = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*keys, "v.*")
+
+
+def stream_windows(spark: SparkSession, folder: str, width: str = "1 hour", late: str = "10 minutes", path: str | None = None, state: str | None = None) -> DataFrame:
+    """``start, event_type, n, score`` of tumbling windows.
+
+    A batch writes the windows that it changed, so the same windows come again with later
+    batches and replace what was there; events later than ``late`` behind the watermark are
+    left out, and the state of windows behind it goes. With ``path`` and ``state`` kept, a
+    later call goes on where the last one ended.
+    """
+    path, state = path or shared_path(spark, "windows"), state or shared_path(spark, "windows-state")
     stream = event_stream(spark, folder).withWatermark("ts", late)
     per = stream.groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("score"))
-    return _result(spark, per.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "score"), "windows", "complete")
+    rows = per.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "score")
+    keys = ["start", "event_type"]
+    run_available(rows, upsert_batches(spark, path, keys), state, "update")
+    return latest_of(spark, path, rows.schema, keys)
 
 
 def stream_distinct(spark: SparkSession, folder: str, late: str = "1 day") -> DataFrame:
