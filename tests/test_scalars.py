@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,11 +37,31 @@ def test_urls(spark):
     url = F.lit("https://WWW.Example.com/News/2024/best-home-studio-mics-ever.html?x=1#top")
     assert value(spark, S.host_of(url)) == "example.com"
     assert value(spark, S.path_topics(url)) == ["best-home-studio-mics"]
+    assert value(spark, S.host_of(F.lit("www.Example.com:80/x"))) == "example.com:80"
+    assert value(spark, S.host_of(F.lit(""))) == ""
+    assert value(spark, S.path_topics(F.lit("http://h/tv/a-b/some.page.php/Us/live.tar.gz/third"))) == ["a-b", "some.page"]
+
+
+@pytest.mark.parametrize(("text", "band"), [("2024-03-05T23:10:00Z", "latenight"), ("2024-03-05T01:00:00-18:00", "primetime"), ("2024-03-05 11:59:59", "morning"), ("soon", ""), ("", "")])
+def test_dayparts(spark, text, band):
+    assert value(spark, S.daypart_of_text(F.lit(text))) == band
+
+
+def test_pseudonym_ends_with_the_least_digit(spark):
+    h, digits = fnv("device-1"), ""
+    for _ in range(6):
+        digits, h = S.BASE32[h % 32] + digits, h // 32
+    assert value(spark, S.pseudonym(F.lit("device-1"))) == f"SIG-{digits}"
+
+
+def test_normal_cdf(spark):
+    for z in (-3.0, -1.0, 0.0, 0.5, 2.0):
+        assert value(spark, S.normal_cdf(F.lit(z))) == pytest.approx(0.5 * (1 + math.erf(z / math.sqrt(2))), abs=2e-7)
 
 
 @pytest.mark.parametrize(
     ("raw", "id_"),
-    [("0123456789abcdef0123456789ABCDEF", "0123456789ABCDEF0123456789ABCDEF"), ("01234567-89ab-cdef-0123-456789abcdef", "0123456789ABCDEF0123456789ABCDEF"), ("activation:9", None), ("", None)],
+    [("0123456789abcdef0123456789ABCDEF", "0123456789ABCDEF0123456789ABCDEF"), ("01234567-89ab-cdef-0123-456789abcdef", "0123456789ABCDEF0123456789ABCDEF"), ("activation:9", None), ("", None), ("AAECAwQFBgcICQoLDA0ODw==", "000102030405060708090A0B0C0D0E0F"), ("AAECAwQFBgcICQoLDA0ODxAR", "000102030405060708090A0B0C0D0E0F"), ("0123-456789abcdef0123456789abcdef", hashlib.sha256(b"0123-456789abcdef0123456789abcdef").hexdigest()[:32].upper())],
 )
 def test_export_id(spark, raw, id_):
     assert value(spark, S.export_id(F.lit(raw))) == id_
