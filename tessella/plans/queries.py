@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import scalars as S
 from tessella.operators import audience, insights, learning, lifecycle, profiles, vectors
-from tessella.plans import reports, reports_sql
+from tessella.plans import catalogues, reports, reports_sql
 from tessella.streaming import ingest
 
 AXES = list(S.AXES)
@@ -206,5 +206,5 @@ ORACLE_SQL: dict[str, str] = {
     "holdout_split": f"SELECT c_custkey, h::BIGINT AS hash, {_FNV(chr(39) + 'spring:' + chr(39) + ' || c_custkey')} % 1000 < 100 AS holdout, 'SIG-' || " + " || ".join(f"substr('{S.BASE32}', (h // {32**i} % 32)::INT + 1, 1)" for i in range(5, -1, -1)) + f" AS alias FROM (SELECT c_custkey, {_FNV('c_name')} AS h FROM customer)",
 }
 
-QUERIES |= reports.QUERIES
-ORACLE_SQL |= reports_sql.ORACLE_SQL
+QUERIES |= reports.QUERIES | catalogues.QUERIES
+ORACLE_SQL |= reports_sql.ORACLE_SQL | catalogues.ORACLE_SQL
