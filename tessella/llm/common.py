@@ -109,6 +109,21 @@ def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` wrote and nothing reads any more."""
+    for df in tables:
+        discard(df.sparkSession, *{f.rsplit("/", 1)[0] for f in df.inputFiles()})
+
+
+def bounded_sample(df: DataFrame, most: int, *columns: str) -> DataFrame:
+    """The ``most`` rows with the least hashes of ``columns``. Rows that cannot be among them are
+    left out by their hash first, so tasks send little more than that to the driver."""
+    n, h = df.count(), F.xxhash64(*columns)
+    if n > most:
+        df = df.where(F.shiftrightunsigned(F.xxhash64(*columns).bitwiseXOR(F.lit(-(1 << 63))), 11) / F.lit(float(1 << 53)) < 1.2 * most / n)
+    return df.orderBy(h, *columns).limit(most)
+
+
 def running_totals(df: DataFrame, order: list[Column], sums: dict[str, Column], name: str) -> DataFrame:
     """``df`` with running totals (doubles), in ``order`` and with the row itself, of ``sums``.
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import replacing, slices
+from tessella.llm.common import materialise, replacing, slices
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -76,12 +76,23 @@ def corpus_words(docs: DataFrame, most: int = DICTIONARY) -> list[str]:
 
     Runs of a-z, lower-cased, of ``WORD_LETTERS`` letters; values in credential contexts are
     left out, so that a secret does not teach the dictionary itself. Counted over all rows,
-    partial counts first; ties by word. Null and empty texts have none.
+    partial counts first; words about as common as one another come in together or not at all,
+    in the order of their counts, then of themselves. Null and empty texts have none.
     """
     low, high = WORD_LETTERS
     shown = F.regexp_replace("text", F.lit(f"(?i)(?:{ASSIGN.pattern.split('([A-Za-z')[0]}|{CONTEXT.pattern})" + r"[\"']?[^\s\"'<>,;]+"), F.lit(" "))
     found = docs.select(F.explode(F.array_distinct(F.split(F.lower(shown), "[^a-z]+"))).alias("w")).where(F.length("w").between(low, high))
-    return [r.w for r in found.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(most).collect()]
+    counts = materialise(found.groupBy("w").agg(F.count("*").alias("n")), "words")
+    # A histogram of the counts, some thousand steps at most, tells how common a word must be;
+    # so no task sends words that do not count.
+    step = F.floor(F.log2("n") * 64)
+    left, least = most, None
+    for row in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect(), reverse=True):
+        if row.words > left:
+            break
+        left, least = left - row.words, row.step
+    common = counts.where(F.lit(False) if least is None else step >= least)
+    return [r.w for r in sorted(common.collect(), key=lambda r: (-r.n, r.w))]
 
 
 #: Costs, in decimal digits: any segment; a walk's first key and each further one; a repeat's

@@ -22,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import NULL_ID, id_key, key_id, materialise, partitions, replacing, slices, unused
+from tessella.llm.common import NULL_ID, bounded_sample, id_key, key_id, materialise, partitions, replacing, slices, unused
 from tessella.llm.components import connected_components
 
 #: Fingerprints, at most, on which vantage points and radii are chosen.
@@ -237,7 +237,7 @@ def fingerprint_links(prints: DataFrame, radius: int = 2) -> DataFrame:
     spark = prints.sparkSession
     n = prints.count()
     depth = int(np.clip(np.ceil(np.log2(max(n, 1) / SHARD)), 0, MAX_DEPTH))
-    sample = prints.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE) if n > SAMPLE else prints
+    sample = bounded_sample(prints.select("fp"), SAMPLE, "fp")
     tree = Tree.over(np.sort(np.array([r.fp for r in sample.collect()], np.int64).view(np.uint64)), depth)
     sent = spark.sparkContext.broadcast((tree.depth, tree.points, tree.radii))
     visits = prints.select("fp").mapInArrow(_visitor(sent, radius), "shard long, fp long, guest boolean")

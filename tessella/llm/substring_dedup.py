@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import discard, id_key, materialise, partitions, replacing, scratch_dir
+from tessella.llm.common import discard, forget, id_key, materialise, partitions, replacing, scratch_dir
 
 #: Bytes of an anchor; at most the length of the strings.
 GRAM = 32
@@ -398,7 +398,9 @@ def repeated_ranges(texts: DataFrame, length: int) -> DataFrame:
     # Both sides come from files, so adaptive execution can split a hot string's rows.
     across = edges.join(materialise(heads, "heads"), "s").where(F.struct("d", "at") != F.col("head")).select("d", "at", F.lit(1).cast("long").alias("n"))
     whole = sifted.where("off < 0").select("d", "at", "n").unionByName(settled.where("lead is null").select("d", "at", "n"))
-    return whole.unionByName(compared.where("s is null").select("d", "at", "n")).unionByName(across)
+    found = materialise(whole.unionByName(compared.where("s is null").select("d", "at", "n")).unionByName(across), "ranges")
+    forget(sifted, settled, compared)
+    return found
 
 
 _NEW = ("n_bytes", "n_removed", "spans", "kept_sha256", "kept")

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import materialise, replacing, slices
+from tessella.llm.common import bounded_sample, materialise, replacing, slices
 
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[.!?\n]+")
@@ -170,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     one score, which leans to that class, or is low.
     """
     named = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    named = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.sample)
+    named = bounded_sample(named, settings.sample, "doc_id")
     # At most ``settings.sample`` labels are sent to all tasks, and as many texts are read.
     labelled = docs.select("doc_id", "text").join(F.broadcast(named), "doc_id")
     labelled = labelled.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min(F.struct("text")).alias("t")).select("toxic", "t.text")

@@ -80,5 +80,7 @@ def test_words_of_the_corpus_join_the_dictionary(spark):
     rows = [(i, f"correct horses like staples number {i}") for i in range(9)] + [(i, "password: xkqjzvwpmbtrhg") for i in range(20)] + [(0, None), (0, "")]
     words = secrets.corpus_words(spark.createDataFrame(rows, "doc_id long, text string"))
     assert set(words) >= {"correct", "horses", "like", "staples", "number"} and "xkqjzvwpmbtrhg" not in words
+    assert secrets.corpus_words(spark.createDataFrame(rows, "doc_id long, text string"), 3) == []
+    assert secrets.corpus_words(spark.createDataFrame(rows, "doc_id long, text string").limit(0)) == []
     ranks = secrets.word_ranks(words)
     assert secrets.guess_cost("correcthorsesstaples", ranks) < 10 < secrets.guess_cost("correcthorsesstaples")
