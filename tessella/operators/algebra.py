@@ -137,14 +137,14 @@ def pooled_priors(calibration: DataFrame) -> DataFrame:
 def axis_agreement(live: DataFrame, stored: DataFrame, key: str, tolerance: float = 12.0) -> DataFrame:
     """``key, max_delta, agrees`` of rows in both."""
     b = stored.select(key, *[F.col(a).alias(f"__{a}") for a in AXES])
-    delta = [F.abs(F.coalesce(a, F.lit(0.0)) - F.coalesce(f"__{a}", F.lit(0.0))) for a in AXES]
+    delta = [F.round(F.abs(F.coalesce(a, F.lit(0.0)) - F.coalesce(f"__{a}", F.lit(0.0))), 9) for a in AXES]
     return live.join(b, key).select(key, F.greatest(*delta).alias("max_delta"), (F.greatest(*delta) <= tolerance).alias("agrees"))
 
 
 def regression_drift(new: DataFrame, old: DataFrame, key: str, tolerance: float = 8.0) -> DataFrame:
     """``axis, n, mean_abs, max_abs, within``: how scores of the same rows have moved."""
     b = old.select(key, *[F.col(a).alias(f"__{a}") for a in AXES])
-    joined = new.join(b, key).select(*[F.abs(F.col(a) - F.col(f"__{a}")).alias(a) for a in AXES])
+    joined = new.join(b, key).select(*[F.round(F.abs(F.col(a) - F.col(f"__{a}")), 9).alias(a) for a in AXES])
     one = joined.agg(*[F.struct(F.count(a).alias("n"), F.round(F.avg(a), 4).alias("mean_abs"), F.round(F.max(a), 4).alias("max_abs")).alias(a) for a in AXES])
     return one.unpivot([], AXES, "axis", "s").select("axis", "s.n", "s.mean_abs", "s.max_abs", (F.col("s.max_abs") <= tolerance).alias("within"))
 
@@ -230,3 +230,31 @@ def grounding_level(evidence: Column, grounded_tag: Column, bridged: Column, nei
 def rollup_confidence(tags: Column) -> Column:
     """0.4, and 0.05 more for each tag, up to 0.9."""
     return F.least(F.lit(0.4) + 0.05 * tags, F.lit(0.9))
+
+
+def profile_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``profile, axis, changed, influence_before, influence_after`` of two versions of ``profile,
+    axis, label, weight, bias, enabled``: what differs by over a thousandth, and the share of the
+    enabled weights that an axis has."""
+
+    def told(df: DataFrame, tag: str) -> DataFrame:
+        on = F.when(F.col("enabled"), F.col("weight")).otherwise(0.0)
+        whole = F.sum(on).over(Window.partitionBy("profile"))
+        return df.select("profile", "axis", F.struct("label", "weight", "bias", "enabled").alias(tag), F.coalesce(on / F.nullif(whole, F.lit(0.0)), F.lit(0.0)).alias(f"share_{tag}"))
+
+    a, b = F.col("a"), F.col("b")
+    differs = (~a["label"].eqNullSafe(b["label"])) | (F.abs(a["weight"] - b["weight"]) > 0.001) | (F.abs(a["bias"] - b["bias"]) > 0.001) | (a["enabled"] != b["enabled"])
+    joined = told(old, "a").join(told(new, "b"), ["profile", "axis"])
+    return joined.select("profile", "axis", differs.alias("changed"), F.col("share_a").alias("influence_before"), F.col("share_b").alias("influence_after"))
+
+
+def feature_hints(df: DataFrame, seed: Column, weight: Column) -> DataFrame:
+    """``df`` with ``tempo, centroid_hz`` and ``energy`` as its axes, the weight of its tags and a
+    hash of ``seed`` suggest where no audio was measured."""
+    mean = _sum(F.coalesce(F.col(a), F.lit(0.0)) for a in AXES) / len(AXES)
+    unit = lambda a: S.clamp(F.coalesce(F.col(a), F.lit(0.0)) / 100, 0.0, 1.0)
+    speech, art, h = unit("communication"), unit("artistic"), S.fnv1a(seed)
+    tempo = 72 + h % 40 + art * 46 - speech * 18
+    centroid = 900 + speech * 2200 + art * 1400 + F.shiftright(h, 8) % 400
+    energy = S.clamp(0.28 + mean / 260 + F.least(F.lit(0.35), weight * 0.12), 0.0, 1.0)
+    return df.withColumns({"tempo": tempo, "centroid_hz": centroid, "energy": energy})

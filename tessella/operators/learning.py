@@ -141,3 +141,20 @@ def kmeans_cohorts(vectors: DataFrame, k: int, id_col: str = "vec_id", vector: s
         for r in means.groupBy("c").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda s: s["x"]).alias("v")).collect():
             centres[r.c] = np.array(r.v)
     return rows.select(id_col, assigned(centres).alias("cohort"))
+
+
+def predicted_outcomes(records: DataFrame, outcomes: DataFrame, axes: list[str], key: str = "user_id", least: int = 24, most: int = 25, draws: int = 200, penalty: float = 1e-2) -> tuple[DataFrame, DataFrame]:
+    """Drivers (``term, per_10, low, high, conclusive``; conclusive ones first, then by size) of the
+    mean ``value`` of each key's ``outcomes``, and the ``most`` records with the highest
+    prediction (``key, predicted``). Neither for fewer than ``least`` matched keys."""
+    per = outcomes.where("value is not null").groupBy(key).agg(F.avg("value").alias("__y"))
+    fitted = written(records.join(per, key).select(key, "__y", *[(F.coalesce(a, F.lit(0.0)) / 100).alias(a) for a in axes]), "outcomes")
+    schema = "term string, per_10 double, low double, high double, conclusive boolean"
+    fit = {r.term: r for r in bootstrap(fitted, axes, "__y", key, penalty, draws).collect()} if fitted.count() >= least else {}
+    spark = records.sparkSession
+    if not fit:
+        return spark.createDataFrame([], schema), records.select(key, F.lit(0.0).alias("predicted")).limit(0)
+    tenth = lambda x: None if x is None else x / 10
+    rows = sorted(((a, tenth(fit[a].coefficient), tenth(fit[a].low), tenth(fit[a].high), fit[a].conclusive) for a in axes), key=lambda r: (not r[4], -abs(r[1]), r[0]))
+    score = F.lit(fit["intercept"].coefficient) + sum((fit[a].coefficient * F.coalesce(F.col(a), F.lit(0.0)) / 100 for a in axes), F.lit(0.0))
+    return spark.createDataFrame(rows, schema), records.select(key, score.alias("predicted")).orderBy(F.desc("predicted"), key).limit(most)

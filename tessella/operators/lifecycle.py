@@ -130,3 +130,19 @@ def page_after(df: DataFrame, key: str, after: object | None, most: int) -> Data
     """The ``most`` least distinct keys greater than ``after``."""
     keys = df.select(key).distinct()
     return (keys if after is None else keys.where(F.col(key) > F.lit(after))).orderBy(key).limit(most)
+
+
+def batch_status(results: DataFrame) -> DataFrame:
+    """``batch_id, rows, scored, failed, status`` of ``batch_id, outcome`` rows: completed without a
+    failure, failed without a success, else partial."""
+    per = results.groupBy("batch_id").agg(F.count("*").alias("rows"), F.count_if(F.col("outcome") == "scored").alias("scored"), F.count_if(F.col("outcome") == "failed").alias("failed"))
+    return per.withColumn("status", F.when(F.col("failed") == 0, "completed").when(F.col("scored") == 0, "failed").otherwise("partial"))
+
+
+def sweep_candidates(sources: DataFrame, as_of: str, after: object | None = None, most: int = 100, hours: int = 24) -> DataFrame:
+    """The next ``most`` sources (1 to 500) by ``source_id`` after one, that have a vector and were
+    not checked in the last ``hours``."""
+    old = F.coalesce(F.col("checked_at") < F.to_timestamp(F.lit(as_of)) - F.expr(f"interval {int(hours)} hours"), F.lit(True))
+    rows = sources.where(F.col("has_vector") & old)
+    rows = rows if after is None else rows.where(F.col("source_id") > F.lit(after))
+    return rows.orderBy("source_id").limit(min(max(most, 1), 500))

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from tessella.functions import documents
 from tessella.functions import scalars as S
-from tessella.operators import catalogue, cohorts, control, dashboards, insights
-from tessella.plans.reports import AXES, _nth, load, profiles, tasks
+from tessella.operators import algebra, catalogue, cohorts, control, dashboards, insights, learning, lifecycle
+from tessella.plans.reports import AXES, _nth, load, people_rows, profiles, tasks
 from tessella.plans.reports import cache as cached_scores
 from tessella.plans.reports_sql import AXES as SQL_AXES
-from tessella.plans.reports_sql import C, LEAD, P, T, each
+from tessella.plans.reports_sql import C, LEAD, P, T, each, nth
+from tessella.sources import normalise
 
 TIERS = {"librosa": 1.0, "provider": 0.8, "neighbors": 0.6, "none": 0.4}
 RULES = (("(?i)view|click", {"emotional": 5, "social": -3}), ("(?i)purchase", {"cognitive": 8}), ("(?i)err", {"artistic": -60}))
@@ -77,6 +78,12 @@ def _saved(s: SparkSession, d: str) -> DataFrame:
     return control.saved(rows, "confidence_desc", 90, "1996-01-01 00:00:00").limit(15).select("analysis_id", "confidence")
 
 
+def _versions(s: SparkSession, d: str) -> DataFrame:
+    p = load(s, d, "part")
+    row = lambda k: p.select((F.col("p_partkey") % 20).alias("profile"), F.element_at(F.array(*[F.lit(a) for a in AXES]), (F.col("p_partkey") % 6 + 1).cast("int")).alias("axis"), F.lit("l").alias("label"), (F.col("p_partkey") % k + 1).cast("double").alias("weight"), F.lit(0.0).alias("bias"), (F.col("p_partkey") % 7 > 0).alias("enabled"), "p_partkey").where("p_partkey < 60").drop("p_partkey")
+    return algebra.profile_changes(row(5), row(4))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "setting_problems": lambda s, d: settings(s, d).select("key", control.setting_problem().alias("problem")),
     "setting_audit": lambda s, d: (lambda x: control.audit(x.where("key % 4 > 0").withColumn("value", F.when(F.col("key") % 6 > 0, F.col("value"))), x.withColumn("value", F.when(F.col("key") % 12 > 0, F.col("value")))))(settings(s, d)),
@@ -102,6 +109,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "trend_buckets": lambda s, d: load(s, d, "orders").groupBy("o_custkey").agg(S.time_bucket(F.min("o_orderdate"), F.max("o_orderdate")).alias("bucket"), S.hours_between(F.max("o_orderdate"), F.min("o_orderdate")).alias("hours")),
     "optional_filters": lambda s, d: load(s, d, "events").where(catalogue.optional("event_type", "click") & catalogue.optional("user_id", None)).groupBy("event_type").agg(F.count("*").alias("n")),
     "any_tag": lambda s, d: tasks(s, d).where(F.arrays_overlap("codes", F.array(F.lit("status.p"), F.lit("1-urgent")))).groupBy("status").agg(F.count("*").alias("n")),
+    "profile_changes": lambda s, d: _versions(s, d).withColumns({c: F.round(c, 6) for c in ("influence_before", "influence_after")}),
+    "feature_hints": lambda s, d: algebra.feature_hints(profiles(s, d), F.concat(F.lit("u"), F.col("user_id").cast("string")), F.col("user_id") % 5 / 2).select("user_id", F.round("tempo", 4).alias("tempo"), F.round("centroid_hz", 4).alias("centroid_hz"), F.round("energy", 4).alias("energy")),
+    "predicted_outcomes": lambda s, d: learning.predicted_outcomes(profiles(s, d), load(s, d, "events").select("user_id", "value"), AXES, least=5, draws=40)[1],
+    "batch_status": lambda s, d: lifecycle.batch_status(load(s, d, "orders").select((F.col("o_custkey") % 90).alias("batch_id"), F.when(F.col("o_orderkey") % 11 == 0, "failed").otherwise("scored").alias("outcome"))),
+    "sweep_candidates": lambda s, d: lifecycle.sweep_candidates(load(s, d, "orders").select(F.col("o_orderkey").alias("source_id"), (F.col("o_orderkey") % 3 > 0).alias("has_vector"), F.when(F.col("o_orderkey") % 4 > 0, F.col("o_orderdate")).alias("checked_at")), "1996-01-01 00:00:00", 50, 200).select("source_id"),
+    "mapping_report": lambda s, d: normalise.inspected(people_rows(s, d), "demographics", "primary_identifier").groupBy("field", "column").agg(F.count("*").alias("rows"), F.count("value").alias("values")),
     "folded_words": lambda s, d: load(s, d, "part").select("p_partkey", insights.folded(F.concat(F.lit("  ÉCOLE  "), "p_name")).alias("words")),
 }
 
@@ -130,5 +143,10 @@ ORACLE_SQL: dict[str, str] = {
     "trend_buckets": "SELECT o_custkey, CASE WHEN date_diff('day', min(o_orderdate), max(o_orderdate)) <= 45 THEN 'day' WHEN date_diff('day', min(o_orderdate), max(o_orderdate)) <= 180 THEN 'week' ELSE 'month' END AS bucket, round((epoch(max(o_orderdate)) - epoch(min(o_orderdate))) / 3600, 1) AS hours FROM orders GROUP BY 1",
     "optional_filters": "SELECT event_type, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1",
     "any_tag": f"SELECT status, count(*) AS n FROM {T} WHERE c2 = 'status.p' OR c1 = '1-urgent' GROUP BY 1",
+    "profile_changes": f"WITH p AS (SELECT p_partkey % 20 AS profile, {nth('p_partkey', SQL_AXES)} AS axis, p_partkey % 5 + 1 AS a, p_partkey % 4 + 1 AS b, p_partkey % 7 > 0 AS e FROM part WHERE p_partkey < 60), s AS (SELECT *, coalesce(CASE WHEN e THEN a ELSE 0 END / nullif(sum(CASE WHEN e THEN a ELSE 0 END) OVER (PARTITION BY profile), 0), 0) AS x, coalesce(CASE WHEN e THEN b ELSE 0 END / nullif(sum(CASE WHEN e THEN b ELSE 0 END) OVER (PARTITION BY profile), 0), 0) AS y FROM p) SELECT m.profile, m.axis, m.a <> n.b OR m.e <> n.e AS changed, round(m.x, 6) AS influence_before, round(n.y, 6) AS influence_after FROM s m JOIN s n USING (profile, axis)",
+    "feature_hints": f"SELECT user_id, round(72 + h % 40 + least(1, artistic / 100) * 46 - least(1, communication / 100) * 18, 4) AS tempo, round(900 + least(1, communication / 100) * 2200 + least(1, artistic / 100) * 1400 + (h // 256) % 400, 4) AS centroid_hz, round(least(1, 0.28 + ({each(lambda a, i: a, ' + ')}) / 6 / 260 + least(0.35, user_id % 5 / 2 * 0.12)), 4) AS energy FROM (SELECT *, list_reduce(list_prepend(2166136261::HUGEINT, list_transform(string_split('u' || user_id, ''), lambda c: ascii(c)::HUGEINT)), lambda h, c: (xor(h::BIGINT, c::BIGINT)::HUGEINT * 16777619) % 4294967296) AS h FROM {P})",
+    "batch_status": "SELECT o_custkey % 90 AS batch_id, count(*) AS rows, count(*) FILTER (o_orderkey % 11 > 0) AS scored, count(*) FILTER (o_orderkey % 11 = 0) AS failed, CASE WHEN count(*) FILTER (o_orderkey % 11 = 0) = 0 THEN 'completed' WHEN count(*) FILTER (o_orderkey % 11 > 0) = 0 THEN 'failed' ELSE 'partial' END AS status FROM orders GROUP BY 1",
+    "sweep_candidates": "SELECT o_orderkey AS source_id FROM orders WHERE o_orderkey > 50 AND o_orderkey % 3 > 0 AND (o_orderkey % 4 = 0 OR o_orderdate < TIMESTAMP '1995-12-31') ORDER BY 1 LIMIT 200",
+    "mapping_report": "SELECT 'identifier' AS field, 'primary_identifier' AS column, count(*) AS rows, count(*) AS values FROM customer UNION ALL SELECT 'age band', 'Age', count(*), count(*) FROM customer UNION ALL SELECT 'household', 'Household', count(*), count(*) FROM customer UNION ALL SELECT 'income band', CASE WHEN c_acctbal > 0 THEN 'income_band' END, count(*), count(*) FILTER (c_acctbal > 0) FROM customer GROUP BY 2",
     "folded_words": "SELECT p_partkey, trim('ecole  ' || lower(p_name)) AS words FROM part",
 }

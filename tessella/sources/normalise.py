@@ -210,3 +210,15 @@ def is_web_shaped(columns: list[str]) -> bool:
     """A report of kind ctv whose columns are those of a web report."""
     low = {c.lower() for c in columns}
     return len(low & {"domain", "page", "ref", "iab_codes", "iabcodes"}) >= 2 and not low & {"contentgenre", "content_genre", "contenttype", "content_type", "channelname"}
+
+
+def inspected(df: DataFrame, kind: str, *keep: str) -> DataFrame:
+    """``keep..., field, column, value``: for each field of a kind of report the column whose value a
+    mapper takes, and that value; nulls where a row has none."""
+    present = {c.lower(): c for c in df.columns}
+    fields = []
+    for field, names in {"identifier": IDENTIFIERS, **ALIASES[kind]}.items():
+        found = [(present[n], pick(df, n)) for n in names if n in present]
+        column = F.coalesce(*[F.when(v.isNotNull(), F.lit(c)) for c, v in found], F.lit(None).cast("string"))
+        fields.append(F.struct(F.lit(field).alias("field"), column.alias("column"), pick(df, *names).alias("value")))
+    return df.select(*keep, F.explode(F.array(*fields)).alias("f")).select(*keep, "f.*")
