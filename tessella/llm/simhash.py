@@ -381,11 +381,11 @@ def _verifier(shingle: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = lambda x: np.unique(shingle_hashes(_unpack(x.as_py()), shingle))
         for batch in batches:
-            near, last, a = [], None, None
-            for u, left, right in zip(batch.column("u"), batch.column("left"), batch.column("right")):
-                if u.as_py() != last:  # rows come sorted by their first document
-                    last, a = u.as_py(), grams(left)
-                b = grams(right)
+            near, last, b = [], None, None
+            for v, left, right in zip(batch.column("v"), batch.column("left"), batch.column("right")):
+                if v.as_py() != last:  # rows come sorted by their second document
+                    last, b = v.as_py(), grams(right)
+                a = grams(left)
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 near.append(both >= similarity * (len(a) + len(b) - both))
             keep = pa.array(near, pa.bool_())
@@ -421,8 +421,8 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float =
 
     At such a similarity 64-bit SimHashes differ in ten bits and more, where the bounds of a
     vantage-point tree prune nothing. So texts that share a band of shingle minima are
-    candidates, as links to three members of the band (the first, the one of the least hash
-    and the most central one, which tend to be the same in all bands of a crowd), never as all pairs; those whose numbers of distinct shingles alone exclude
+    candidates, as links to three members of the band (the first, one by hash and the most
+    central one), never as all pairs; those whose numbers of distinct shingles alone exclude
     the similarity go, and the exact similarity decides. Texts of bands of over three members
     that are of several groups after that are compared by ``crowd_candidates``. Equal word
     sequences are one class and compared once. Texts without words are one class.
@@ -430,18 +430,19 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float =
     spark = docs.sparkSession
     base = docs.select(id_key("doc_id").alias("d"), "text")
     signed = materialise(base.mapInArrow(_signer(shingle, bands, rows), "d long, h1 long, h2 long, size long, fp long, bands array<long>"), "signatures")
+    unique = signed.groupBy("d").agg(F.count("*").alias("c")).where("c > 1").isEmpty()
     classes = materialise(signed.groupBy("h1", "h2").agg(F.min("d").alias("head"), F.count("*").alias("n")), "classes")
     copies = signed.join(classes.where("n > 1"), ["h1", "h2"]).where("d != head").select(F.col("d").alias("u"), F.col("head").alias("v"))
     heads = signed.select("d", "size", "fp", "bands").join(classes.select(F.col("head").alias("d")), "d")
     keyed = materialise(heads.select("d", "size", "fp", F.explode("bands").alias("key")).distinct(), "bands")
     first = F.min(F.struct("d", "size")).alias("a")
-    other = F.min(F.struct(F.xxhash64("d").alias("h"), "d", "size")).alias("b")
+    other = F.min(F.struct(F.xxhash64("d", "key").alias("h"), "d", "size")).alias("b")
     pairs = materialise(keyed.groupBy("key").agg(first, other, F.count("*").alias("n")).where("n > 1").select("key", "n", "a", F.struct("b.d", "b.size").alias("b")), "stars")
     stars = materialise(pairs.join(band_centres(keyed, pairs), "key", "left").select("key", F.array_compact(F.array("a", "b", "c")).alias("s")), "centred")
     links = keyed.join(stars, "key").select("d", "size", F.explode("s").alias("s")).where("d != s.d")
     links = links.where(F.least("size", "s.size") >= F.lit(similarity) * F.greatest("size", "s.size"))
     links = materialise(links.select(F.least("d", "s.d").alias("u"), F.greatest("d", "s.d").alias("v")).distinct(), "candidates")
-    near = materialise(verified(base, links, shingle, similarity).unionByName(copies), "near")
+    near = materialise(verified(base, links, shingle, similarity, unique).unionByName(copies), "near")
     groups = connected_components(near)
     # Bands whose members are one group by now hold no more links between groups.
     large = keyed.join(pairs.where("n > 3").select("key"), "key").join(groups.withColumnsRenamed({"node": "d", "component": "c"}), "d", "left")
@@ -451,7 +452,7 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float =
     if crowd.isEmpty():
         return groups
     links = materialise(crowd_candidates(packed_texts(base, crowd).join(crowd, "d"), shingle, similarity), "candidates")
-    more = materialise(verified(base, links, shingle, similarity), "more")
+    more = materialise(verified(base, links, shingle, similarity, unique), "more")
     if more.isEmpty():
         return groups
     # The groups so far are the nodes of what is left to connect.
@@ -464,13 +465,18 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float =
     return named.unionByName(alone).distinct()
 
 
-def verified(base: DataFrame, links: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those of the links ``u, v`` (u < v) whose texts are similar enough."""
-    ends = links.select("u", "v", F.explode(F.array("u", "v")).alias("d"))
-    packed = packed_texts(base, ends)
-    # Both sides come from files, so adaptive execution can split the links of a popular text.
-    texts = ends.join(packed, "d").groupBy("u", "v").agg(F.max_by("packed", -F.col("d")).alias("left"), F.max_by("packed", F.col("d")).alias("right"))
-    return texts.sortWithinPartitions("u", "v").mapInArrow(_verifier(shingle, similarity), "u long, v long")
+def verified(base: DataFrame, links: DataFrame, shingle: int, similarity: float, unique: bool) -> DataFrame:
+    """Those of the links ``u, v`` (u < v) whose texts are similar enough.
+
+    One text joins after the other, so a link is one row all the time; adaptive execution can
+    split the links of a popular text in either join. Of rows that share a ``d``, where it is
+    not ``unique``, the text that packs to the least bytes counts.
+    """
+    packed = packed_texts(base, links.select(F.explode(F.array("u", "v")).alias("d")))
+    packed = packed if unique else packed.groupBy("d").agg(F.min("packed").alias("packed"))
+    left = links.select("u", "v").join(packed.toDF("u", "left"), "u")
+    texts = left.join(packed.toDF("v", "right"), "v").select("u", "v", "left", "right")
+    return texts.sortWithinPartitions("v", "u").mapInArrow(_verifier(shingle, similarity), "u long, v long")
 
 
 def _grams(shingle: int):
