@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -26,3 +27,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ranked_counts(df: DataFrame, key: str, value: str) -> DataFrame:
+    """``key, value, __n, __run, __all`` of the values of each key that are not null: how many rows
+    have the value, have it or a lesser one, and have any.
+
+    The distinct values are range-partitioned by (key, value) and their counts added up along
+    the ranges, so a key with many values spreads over tasks; one sum for each range comes to
+    the driver.
+    """
+    spark = df.sparkSession
+    counts = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("__n"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    ranged = written(written(counts, "counts").repartitionByRange(parts, key, value).withColumn("__part", F.spark_partition_id()), "ranges")
+    sums = {r["__part"]: r.s for r in ranged.groupBy("__part").agg(F.sum("__n").alias("s")).collect()}
+    before, offsets = 0, []
+    for part in sorted(sums):
+        offsets.append((part, before))
+        before += sums[part]
+    table = spark.createDataFrame(offsets, "__part int, __before long")
+    w = Window.partitionBy("__part").orderBy(key, value).rowsBetween(Window.unboundedPreceding, 0)
+    run = ranged.join(F.broadcast(table), "__part").withColumn("__run", F.col("__before") + F.sum("__n").over(w))
+    per = run.groupBy(key).agg(F.min(F.col("__run") - F.col("__n")).alias("__start"), F.sum("__n").alias("__all"))
+    joined = run.join(per.withColumnRenamed(key, "__key"), F.col(key).eqNullSafe(F.col("__key")))
+    return joined.select(key, value, "__n", (F.col("__run") - F.col("__start")).alias("__run"), "__all")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import scalars as S
+from tessella.functions.storage import ranked_counts
 
 AXES = list(S.AXES)
 
@@ -258,12 +259,8 @@ def custody_scan(**keys: DataFrame) -> DataFrame:
 
 def floor_percentiles(df: DataFrame, key: str, value: str, shares: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
     """Per key the values at place ``floor(share * (n - 1))`` of the ascending ones, as ``p50,
-    p95...``, with ``top`` and ``samples``. Equal values are counted together first, so a key
-    with many rows brings its distinct values only to one window."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(key)
-    run = F.sum("n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    placed = counts.select(key, value, "n", run.alias("run"), F.sum("n").over(w).alias("samples"))
-    at = lambda q: F.floor(F.lit(q) * (F.col("samples") - 1))
-    picked = [F.min(F.when(F.col("run") > at(q), F.col(value))).alias(f"p{round(100 * q)}") for q in shares]
-    return placed.groupBy(key).agg(*picked, F.max(value).alias("top"), F.max("samples").alias("samples"))
+    p95...``, with ``top`` and ``samples``."""
+    placed = ranked_counts(df, key, value)
+    at = lambda q: F.floor(F.lit(q) * (F.col("__all") - 1))
+    picked = [F.min(F.when(F.col("__run") > at(q), F.col(value))).alias(f"p{round(100 * q)}") for q in shares]
+    return placed.groupBy(key).agg(*picked, F.max(value).alias("top"), F.max("__all").alias("samples"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.storage import ranked_counts
+
 
 def coverage(nodes: DataFrame, weights: DataFrame) -> DataFrame:
     """``branch, nodes, grounded, weight, share``: of ``nodes`` (``code, grounded``) with the
@@ -73,12 +75,10 @@ def catalogue_rollup(regions: DataFrame, nations: DataFrame, customers: DataFram
 def percentile_row(df: DataFrame, key: str, value: str, shares: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
     """Exact interpolated quantiles of ``value`` per key, as ``p50, p95...``, and ``top``.
 
-    Equal values are counted first; ranks come from running counts of the distinct values.
+    Equal values are counted first; ranks come from running counts of the distinct values, which
+    spread over tasks however many a key has.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("__n"))
-    w = Window.partitionBy(key)
-    run = F.sum("__n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    placed = counts.select(key, value, run.alias("__run"), F.sum("__n").over(w).alias("__all"))
+    placed = ranked_counts(df, key, value)
     at = lambda q, f: f(F.lit(q) * (F.col("__all") - 1))
     pick = lambda q, f: F.min(F.when(F.col("__run") > at(q, f), F.col(value)))
     out: list[Column] = []
