@@ -362,5 +362,22 @@ def test_transient_tables_go(spark):
     assert kept.count() == 3 and not Path(path.removeprefix("file://")).exists()
 
 
+def test_bounded_sample_has_the_least_hashes(spark):
+    rows = spark.range(20_000).withColumnRenamed("id", "doc_id")
+    found = {r.doc_id for r in common.bounded_sample(rows, 500, "doc_id").collect()}
+    assert found == {r.doc_id for r in rows.orderBy(F.xxhash64("doc_id")).limit(500).collect()}
+    assert common.bounded_sample(rows.limit(0), 500, "doc_id").count() == 0 and common.bounded_sample(rows.limit(7), 500, "doc_id").count() == 7
+
+
+def test_running_totals_over_ranges(spark):
+    rows = spark.createDataFrame([(i % 50, i) for i in range(400)], "a int, b int")
+    found = common.running_totals(rows, [F.col("a"), F.col("b")], {"n": F.lit(1), "s": F.col("b")}, "totals").orderBy("a", "b").collect()
+    n = total = 0
+    for r in found:
+        n, total = n + 1, total + r.b
+        assert (r.n, r.s) == (n, total)
+    assert common.running_totals(rows.limit(0), [F.col("a")], {"n": F.lit(1)}, "totals").count() == 0
+
+
 def test_scratch_is_shared(spark):
     assert common.scratch_dir(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
