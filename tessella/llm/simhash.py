@@ -536,13 +536,17 @@ def crowd_candidates(docs: DataFrame, shingle: int, similarity: float) -> DataFr
     dense = most.where("dense").select("d", "c", "size", "h").distinct()
     least = materialise(dense.groupBy("h").agg(F.min(F.struct("size", "d", "c")).alias("x")).select("h", F.col("x.d").alias("d2"), F.col("x.c").alias("c2")), "least")
     named = dense.join(least, "h").where("c != c2").select(F.least("d", "d2").alias("u"), F.greatest("d", "d2").alias("v"))
-    most = materialise(most.join(least.select(F.col("d2").alias("d"), F.lit(True).alias("stands")).distinct(), "d", "left").where("not dense or stands").select("g", "d", "c", "size", "hot", "dense"), "most")
+    most = materialise(most.join(least.select(F.col("d2").alias("d"), F.lit(True).alias("stands")).distinct(), "d", "left").where("not dense or stands").select("g", "d", "c", "size", "hot", "dense", "h"), "most")
+    # A pair that shares several of these shingles comes out of the join once, at the least one.
+    whole = most.groupBy("d", "h", "size", "hot").agg(F.collect_set("g").alias("gs"))
+    most = materialise(most.join(whole, ["d", "h", "size", "hot"]).drop("h"), "sets")
     groups = most.groupBy("g", "c").agg(F.count("*").alias("n")).groupBy("g").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count("*").alias("n"))
     outside = materialise(most.join(groups.where("n > 1").select("g", "main"), "g").where("c != main").drop("main"), "outside")
-    outside = outside.select("g", *[F.col(x).alias(f"{x}2") for x in ("d", "c", "size", "hot", "dense")])
+    outside = outside.select("g", *[F.col(x).alias(f"{x}2") for x in ("d", "c", "size", "hot", "dense", "gs")])
     small = F.when(F.col("size") < F.col("size2"), F.col("dense")).when(F.col("size") > F.col("size2"), F.col("dense2")).otherwise(F.col("dense") | F.col("dense2"))
     enough = F.least("hot", "hot2") >= s / (1 + s) * (F.col("size") + F.col("size2")) - slack
-    rest = most.join(outside, "g").where("c != c2").where(small & enough)
+    first_shared = F.array_min(F.array_intersect("gs", "gs2")) == F.col("g")
+    rest = most.join(outside, "g").where("c != c2").where(small & enough & first_shared)
     rest = rest.select(F.least("d", "d2").alias("u"), F.greatest("d", "d2").alias("v")).distinct()
     return links.unionByName(named).unionByName(rest).distinct()
 
