@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import decontaminate, fingerprint, line_dedup, mixing, secrets, simhash, substring_dedup, toxicity, url_filter, warc
+from tessella.llm import decontaminate, fingerprint, line_dedup, mixing, periodic_runs, secrets, simhash, substring_dedup, toxicity, url_filter, warc
 from tessella.llm.common import table
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_benchmark_decontamination": lambda spark, d: decontaminate.decontamination_digest(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op9_line_dedup": lambda spark, d: line_dedup.line_dedup_digest(table(spark, d, "documents")),
     "op10_mixing": lambda spark, d: mixing.mixing_digest(table(spark, d, "documents")),
+    "op11_periodic_runs": lambda spark, d: periodic_runs.runs_digest(table(spark, d, "documents")),
 }
 
 ORACLE_SQL = {
