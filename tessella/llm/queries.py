@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import decontaminate, fingerprint, line_dedup, mixing, periodic_runs, secrets, simhash, substring_dedup, toxicity, url_filter, warc, whitening
+from tessella.llm import chat_windows, decontaminate, fingerprint, line_dedup, mixing, periodic_runs, secrets, simhash, substring_dedup, toxicity, url_filter, warc, whitening
 from tessella.llm.common import table
 
 QUERIES = {
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_mixing": lambda spark, d: mixing.mixing_digest(table(spark, d, "documents")),
     "op11_periodic_runs": lambda spark, d: periodic_runs.runs_digest(table(spark, d, "documents")),
     "op12_whitening": lambda spark, d: whitening.whitening_digest(table(spark, d, "embeddings")),
+    "op13_chat_formatting": lambda spark, d: chat_windows.chat_digest(table(spark, d, "conversations")),
 }
 
 ORACLE_SQL = {
