@@ -249,14 +249,17 @@ def with_planted_periods(docs: DataFrame) -> DataFrame:
     word i >= a becomes word a + (i - a) % p. A null id stays as it is."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     words = F.array_remove(F.split(F.trim("text", F.lit(SPACES)), r"[ \x09-\x0D]+"), "")
-    n, g = F.size(words), F.floor(h / 10)
+    g = F.floor(h / 10)
 
     def periodic(w: Column) -> Column:
         a = (g % F.size(w)).cast("int")
         p = (1 + F.floor((F.size(w) - a) / (3 + g % 8))).cast("int")
-        return F.array_join(F.transform(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.get(w, F.when(i < a, i).otherwise(a + (i - a) % p))), " ")
+        moved = F.transform(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.get(w, F.when(i < a, i).otherwise(a + (i - a) % p)))
+        return F.when(F.size(w) > 0, F.array_join(moved, " ")).otherwise("")
 
-    return docs.select("doc_id", F.when((h % 10 == 0) & (n > 0), periodic(words)).otherwise(F.col("text")).alias("text"))
+    # The words as a lambda's variable: split once, not once for each word.
+    changed = F.get(F.transform(F.array(words), periodic), F.lit(0))
+    return docs.select("doc_id", F.when(h % 10 == 0, changed).otherwise(F.col("text")).alias("text"))
 
 
 def runs_digest(docs: DataFrame) -> DataFrame:
