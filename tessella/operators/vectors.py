@@ -16,8 +16,9 @@ from tessella.functions.storage import shared_path
 
 #: Query vectors of a block, and vectors that a task compares with them at once.
 QUERY_BLOCK, TILE = 1024, 4096
-#: Vectors of which a task keeps one list of best ones for each query.
-CHUNK = 1 << 16
+#: Bytes of the vectors of which a task keeps one list of best ones for each query: those of a
+#: usual partition, so that it reads the queries once.
+CHUNK_BYTES = 128 << 20
 AXES = list(S.AXES)
 
 
@@ -28,7 +29,7 @@ def normalised(vector: str) -> F.Column:
     return F.transform(v, lambda x: F.when(length > 0, x / length).otherwise(0.0))
 
 
-def _fitting(df: DataFrame, vector: str, dim: int) -> DataFrame:
+def fitting(df: DataFrame, vector: str, dim: int) -> DataFrame:
     """Rows whose vector has ``dim`` numbers, none of them null."""
     return df.where((F.size(vector) == dim) & ~F.exists(vector, lambda x: x.isNull()))
 
@@ -38,8 +39,8 @@ def knn_cosine(base: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     each query, itself left out; ties by id.
 
     Queries are written to the shared folder once, in blocks of ``QUERY_BLOCK``, which every
-    task reads for itself: the base is read once, and for ``CHUNK`` of its rows ``k`` rows of
-    each query are shuffled. Vectors of zeros have similarity 0; null ones, those that hold a
+    task reads for itself: the base is read once, and for ``CHUNK_BYTES`` of its vectors ``k``
+    rows of each query are shuffled. Vectors of zeros have similarity 0; null ones, those that hold a
     null, and those of another length than most queries are left out.
     """
     spark = base.sparkSession
@@ -47,11 +48,11 @@ def knn_cosine(base: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     dim = queries.where(F.col(vector).isNotNull()).agg(F.mode(F.size(vector))).first()[0]
     if not dim:
         return empty
-    asked = _fitting(queries, vector, dim).select(F.col(id_col).cast("long").alias("i"), normalised(vector).alias("v"))
+    asked = fitting(queries, vector, dim).select(F.col(id_col).cast("long").alias("i"), normalised(vector).alias("v"))
     root = shared_path(spark, "queries")
     asked.write.option("maxRecordsPerFile", QUERY_BLOCK).parquet(root)
     files = [f for f in spark.read.parquet(root).inputFiles()]
-    unit = _fitting(base, vector, dim).select(F.col(id_col).cast("long").alias("i"), normalised(vector).alias("v"))
+    unit = fitting(base, vector, dim).select(F.col(id_col).cast("long").alias("i"), normalised(vector).alias("v"))
 
     def search(ids: np.ndarray, vectors: np.ndarray) -> Iterator[pa.RecordBatch]:
         for file in files:
@@ -79,7 +80,7 @@ def knn_cosine(base: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
             if batch.num_rows:
                 held.append((batch.column("i").to_numpy(), batch.column("v").flatten().to_numpy().reshape(batch.num_rows, -1)))
                 size += batch.num_rows
-            if size >= CHUNK:
+            if size * dim * 8 >= CHUNK_BYTES:
                 yield from search(*map(np.concatenate, zip(*held)))
                 held, size = [], 0
         if held:
@@ -101,7 +102,7 @@ def cosine_to(vector: str, target: list[float]) -> Column:
 def match_one(base: DataFrame, target: list[float], k: int, id_col: str = "vec_id", vector: str = "embedding", where: Column | None = None, exclude: object | None = None) -> DataFrame:
     """``id_col, similarity`` of the ``k`` rows nearest to one vector, of those that ``where`` lets
     pass (a prefix of a code, grounded ones); ties by id."""
-    rows = _fitting(base, vector, len(target))
+    rows = fitting(base, vector, len(target))
     rows = rows if where is None else rows.where(where)
     rows = rows if exclude is None else rows.where(F.col(id_col) != F.lit(exclude))
     return rows.select(id_col, F.round(cosine_to(vector, target), 6).alias("similarity")).orderBy(F.desc("similarity"), id_col).limit(k)
