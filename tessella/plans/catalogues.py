@@ -130,14 +130,20 @@ def sources(s: SparkSession, d: str) -> DataFrame:
     return catalogue.facets(p.select("p_partkey", kind.alias("source_type"), url.alias("file_url"), F.col("p_name").alias("name"), F.when(F.col("p_size") > 40, F.lit("Evening News")).alias("album_name")), PROVIDERS, ("ctv", "data"), ("stream",))
 
 
-def _beacons(s: SparkSession, d: str) -> DataFrame:
-    p, i = load(s, d, "pages"), F.col("page_id")
-    rows = p.select(
+def beacon_rows(pages: DataFrame) -> DataFrame:
+    i = F.col("page_id")
+    return pages.select(
         "page_id", F.when(i % 13 > 0, F.concat(F.lit("t"), (i % 4).cast("string"))).alias("tag_id"), F.when(i % 3 > 0, F.regexp_extract("url", "^([a-z]+://[^/]+)", 1)).alias("origin"), _nth("page_id", ("ctr", "reach", "odd")).alias("metric"),
         _nth("page_id", ("1.5", "", "x", "7")).alias("value"), F.col("url").alias("page_url"),
     )
-    tags = s.createDataFrame([("t0", True, []), ("t1", True, ["https://example.com/", "example.net"]), ("t2", False, []), ("t3", None, None)], "tag_id string, active boolean, allowed_origins array<string>")
-    return beacons.collected(rows, tags, ("ctr", "reach")).select("page_id", "problem", "number", "utm_source")
+
+
+def site_tags(s: SparkSession) -> DataFrame:
+    return s.createDataFrame([("t0", True, []), ("t1", True, ["https://example.com/", "example.net"]), ("t2", False, []), ("t3", None, None)], "tag_id string, active boolean, allowed_origins array<string>")
+
+
+def _beacons(s: SparkSession, d: str) -> DataFrame:
+    return beacons.collected(beacon_rows(load(s, d, "pages")), site_tags(s), ("ctr", "reach")).select("page_id", "problem", "number", "utm_source")
 
 
 def _imports(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

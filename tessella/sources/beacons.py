@@ -23,7 +23,7 @@ def collected(beacons: DataFrame, tags: DataFrame, metrics: tuple[str, ...]) ->
     empty list or no origin lets all pass.
     """
     known = tags.select("tag_id", F.coalesce("active", F.lit(False)).alias("__active"), F.coalesce("allowed_origins", F.array().cast("array<string>")).alias("__from"))
-    joined = beacons.join(F.broadcast(known), "tag_id", "left") if "tag_id" in tags.columns else beacons
+    joined = beacons.join(known, "tag_id", "left") if "tag_id" in tags.columns else beacons
     host = F.regexp_extract(F.coalesce("origin", F.lit("")), r"^[a-z]+://([^/?#]+)", 1)
     clean = F.transform("__from", lambda a: F.regexp_replace(F.regexp_replace(a, "^https?://", ""), "/$", ""))
     may = (F.size("__from") == 0) | (F.coalesce("origin", F.lit("")) == "") | F.exists(clean, lambda a: (host == a) | host.endswith(F.concat(F.lit("."), a)))

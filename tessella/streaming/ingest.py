@@ -12,23 +12,27 @@ from tessella.functions.storage import shared_path
 from tessella.operators.profiles import event_tags, rollup_tags
 
 
-def event_stream(spark: SparkSession, folder: str, name: str = "events.parquet") -> DataFrame:
-    """Events as a file stream; the schema is read from the files that are there.
-
-    Times without zone are taken in the session's, as watermarks need instants. A table
-    may be one file in the folder or a folder of files.
-    """
+def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table as a file stream; the schema is read from the files that are there. It may be
+    one file in the folder or a folder of files."""
     table = spark.read.parquet(f"{folder}/{name}")
     files = table.select("_metadata.file_name").limit(1).first()
     whole = files is None or files[0] == name
     stream = spark.readStream.schema(table.schema)
-    stream = stream.option("pathGlobFilter", name).parquet(folder) if whole else stream.parquet(f"{folder}/{name}")
-    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    return stream.option("pathGlobFilter", name).parquet(folder) if whole else stream.parquet(f"{folder}/{name}")
+
+
+def event_stream(spark: SparkSession, folder: str, name: str = "events.parquet") -> DataFrame:
+    """Events as a file stream. Times without zone are taken in the session's, as watermarks need
+    instants."""
+    return table_stream(spark, folder, name).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
-    """Process all that is there and stop. The checkpoint makes a rerun go on where it ended."""
-    query = stream.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", one_batch: bool = False) -> None:
+    """Process all that is there and stop. The checkpoint makes a rerun go on where it ended. Streams
+    that go by the machine's clock never run out of batches: they take ``one_batch``."""
+    trigger = {"once": True} if one_batch else {"availableNow": True}
+    query = stream.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", checkpoint).trigger(**trigger).start()
     query.awaitTermination()
 
 
