@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -52,3 +52,19 @@ def ranked_counts(df: DataFrame, key: str, value: str) -> DataFrame:
     per = run.groupBy(key).agg(F.min(F.col("__run") - F.col("__n")).alias("__start"), F.sum("__n").alias("__all"))
     joined = run.join(per.withColumnRenamed(key, "__key"), F.col(key).eqNullSafe(F.col("__key")))
     return joined.select(key, value, "__n", (F.col("__run") - F.col("__start")).alias("__run"), "__all")
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with its rows' numbers from 0 in ``order``. Rows are range-partitioned and numbered in
+    their range; one count for each range comes to the driver."""
+    spark = df.sparkSession
+    ranged = written(df, "rows").repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), *order)
+    ranged = written(ranged.withColumn("__part", F.spark_partition_id()), "ranges")
+    before, offsets = 0, []
+    for r in sorted(ranged.groupBy("__part").agg(F.count("*").alias("n")).collect(), key=lambda r: r["__part"]):
+        offsets.append((r["__part"], before))
+        before += r.n
+    table = spark.createDataFrame(offsets, "__part int, __before long")
+    w = Window.partitionBy("__part").orderBy(*order)
+    place = F.col("__before") + F.row_number().over(w) - 1
+    return ranged.join(F.broadcast(table), "__part").withColumn(name, place).drop("__part", "__before")

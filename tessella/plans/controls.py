@@ -103,7 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "signal_facets": faceted,
     "signal_clusters": lambda s, d: cohorts.cluster_signals(points(s, d), 6),
     "cohort_summary": lambda s, d: (lambda p: cohorts.cohort_summary(p, p.select("id", (F.col("id") % 4).alias("cohort"))).select("cohort", "members", F.round("share", 4).alias("share"), F.round("cohesion", 4).alias("cohesion"), "lead", *[F.round(a, 4).alias(a) for a in AXES], "avg_confidence"))(points(s, d)),
-    "cohort_members": lambda s, d: cohorts.cohort_members(load(s, d, "customer").select(F.when(F.col("c_custkey") % 10 > 0, F.col("c_custkey").cast("string")).otherwise("group:1").alias("id"), (F.col("c_custkey") % 3).cast("int").alias("cohort"))).groupBy("cohort", "slug").agg(F.count("*").alias("n"), F.count_if("holdout").alias("held")),
+    "cohort_members": lambda s, d: cohorts.cohort_members(load(s, d, "customer").select(F.when(F.col("c_custkey") % 10 > 0, F.col("c_custkey").cast("string")).otherwise("group:1").alias("id"), (F.col("c_custkey") % 30).cast("int").alias("cohort"))).groupBy("cohort", "slug").agg(F.count("*").alias("n"), F.count_if("holdout").alias("held")),
     "tag_impact": _impact,
     "content_hashes": lambda s, d: load(s, d, "nation").select("n_nationkey", S.content_hash("n_nationkey", "n_name").alias("hash"), S.leaf_label(F.concat(F.lit("a.b."), F.lower("n_name"))).alias("leaf")),
     "trend_buckets": lambda s, d: load(s, d, "orders").groupBy("o_custkey").agg(S.time_bucket(F.min("o_orderdate"), F.max("o_orderdate")).alias("bucket"), S.hours_between(F.max("o_orderdate"), F.min("o_orderdate")).alias("hours")),
@@ -136,7 +136,7 @@ ORACLE_SQL: dict[str, str] = {
     "last_or_default": "(SELECT o_orderkey AS run_id, o_custkey AS purged, o_orderdate AS at FROM orders ORDER BY 3 DESC, 1 DESC LIMIT 1) UNION ALL SELECT NULL, 0, NULL",
     "confidence_parts": f"SELECT user_id, round(m, 4) AS mean, round(sd, 4) AS sd, round(f, 4) AS factor, CASE least(round(abs(f - 1.0), 9), round(abs(f - 0.8), 9), round(abs(f - 0.6), 9), round(abs(f - 0.4), 9)) WHEN round(abs(f - 1.0), 9) THEN 'librosa' WHEN round(abs(f - 0.8), 9) THEN 'provider' WHEN round(abs(f - 0.6), 9) THEN 'neighbors' ELSE 'none' END AS tier FROM (SELECT *, user_id % 11 / 10 / greatest(0.1, least(1.0, sd / 30)) AS f FROM (SELECT user_id, list_avg(v) AS m, list_stddev_pop(v) AS sd FROM (SELECT user_id, [{', '.join(SQL_AXES)}] AS v FROM {P})))",
     "signal_points": f"""WITH l AS (SELECT user_id, count(DISTINCT event_type) FILTER (event_type IN ('view', 'click')) AS a, max((event_type = 'purchase')::INT) AS b, max((event_type = 'error')::INT) AS e FROM events GROUP BY 1), t AS (SELECT *, CASE WHEN user_id % 3 = 2 THEN NULL ELSE user_id END AS k, (user_id % 3 > 0)::INT AS z FROM l)
-      SELECT user_id, {each(lambda n, i: f"greatest(0.0, least(100.0, coalesce(k * {i + 2} % 80, 50) + z * ({dict(emotional='5 * a', social='-3 * a', cognitive='8 * b', artistic='-60 * e').get(n, '0')}))) AS {n}")}, round(CASE WHEN z = 0 THEN 0.8 ELSE greatest(0.05, least(0.9, CASE WHEN k IS NULL THEN 0.5 ELSE 0.8 END * CASE WHEN a + b + e > 0 THEN 0.75 ELSE 0.4 END)) END, 4) AS confidence, ['scored', 'inherited', 'facet-only'][user_id % 3 + 1] AS basis FROM t""",
+      SELECT user_id, {each(lambda n, i: f"greatest(0.0, least(100.0, coalesce(k * {i + 2} % 80, 50) + z * ({dict(emotional='5 * a', social='-3 * a', cognitive='8 * b', artistic='-60 * e').get(n, '0')}))) AS {n}")}, round(CASE WHEN z = 0 THEN 0.8 ELSE greatest(0.05, least(0.9, CASE WHEN k IS NULL THEN 0.15 ELSE 0.8 END * CASE WHEN a + b + e > 0 THEN 0.75 ELSE 0.4 END)) END, 4) AS confidence, ['scored', 'inherited', 'facet-only'][user_id % 3 + 1] AS basis FROM t""",
     "signal_facets": "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'activation=Activation ' || (o_orderkey % 4) || '|scope=home page|ctv=Drama ' || (o_orderkey % 3) || '|ctv=night|ctv=App' || CASE WHEN o_orderkey % 3 = 1 THEN '' ELSE '|ctv=drama 1' END || '|app=app' ELSE 'ctv=drama 1|app=app' END AS facets FROM orders",
     "cohort_summary": f"WITH p AS {_PT}, c AS (SELECT cohort, count(*) AS members, {each(lambda a, i: f'avg({a}) AS {a}')} FROM p GROUP BY 1), f AS (SELECT p.cohort, avg(sqrt({each(lambda a, i: f'(p.{a} - c.{a}) ** 2', ' + ')})) AS far FROM p JOIN c USING (cohort) GROUP BY 1) SELECT cohort, members, round(members / (SELECT count(*) FROM p), 4) AS share, round(greatest(0, 1 - far / sqrt(60000)), 4) AS cohesion, {LEAD(SQL_AXES)} AS lead, {each(lambda a, i: f'round({a}, 4) AS {a}')}, 0.5 AS avg_confidence FROM c JOIN f USING (cohort)",
     "content_hashes": """SELECT n_nationkey, sha256('{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}') AS hash, replace(replace(lower(n_name), '-', ' '), '_', ' ') AS leaf FROM nation""",

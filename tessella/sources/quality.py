@@ -79,3 +79,41 @@ def merged_report(old: DataFrame, new: DataFrame, key: str = "check") -> DataFra
     """The old report with the checks of the new one in place of its own."""
     return old.join(new.select(key), key, "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
 
+
+
+#: Names that columns of users and devices go by, the likeliest first.
+USER_KEYS = ("maid", "device_id", "deviceid", "idfa", "gaid", "user_id", "userid", "hem", "hashed_email", "ip")
+#: Size of a distinct-count sketch (its base-2 logarithm), whose error is under one percent, and how
+#: far below the number of rows an estimate may lie for the column to be looked at exactly.
+SKETCH_SIZE, KEY_SLACK = 14, 0.03
+
+
+def column_sketches(df: DataFrame) -> DataFrame:
+    """``file, column, rows, nulls, sketch`` of every file and column of a table that was read from
+    files, in one pass: mergeable sketches of the distinct values, as text."""
+    per = lambda c: F.struct(F.lit(c).alias("column"), F.count("*").alias("rows"), F.count_if(F.col(f"`{c}`").isNull()).alias("nulls"), F.hll_sketch_agg(F.col(f"`{c}`").cast("string"), SKETCH_SIZE).alias("sketch"))
+    return df.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.array(*[per(c) for c in df.columns]).alias("c")).select("file", F.inline("c"))
+
+
+def merged_sketches(parts: DataFrame) -> DataFrame:
+    """``column, files, rows, nulls, distinct`` of the sketches of files, whenever they were made."""
+    merged = parts.groupBy("column").agg(F.count("*").alias("files"), F.sum("rows").alias("rows"), F.sum("nulls").alias("nulls"), F.hll_union_agg("sketch").alias("s"))
+    return merged.select("column", "files", "rows", "nulls", F.hll_sketch_estimate("s").alias("distinct"))
+
+
+def key_columns(df: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+    """``column, rows, nulls, distinct, is_key, is_user``: the columns of a table, with those that
+    identify its rows and, by its name, the likeliest one of users or devices.
+
+    Columns without nulls whose estimate comes near the number of rows are looked at exactly; the
+    rest can't be keys. ``parts`` are sketches that were kept. An empty table has no keys.
+    """
+    spark, found = df.sparkSession, merged_sketches(column_sketches(df) if parts is None else parts).collect()  # one row a column
+    by_name = {r["column"].lower(): r["column"] for r in found}
+    user = next((by_name[n] for n in USER_KEYS if n in by_name), None)
+    rows = []
+    for r in found:
+        near = r.rows > 0 and r.nulls == 0 and r.distinct >= (1 - KEY_SLACK) * r.rows
+        single = near and df.groupBy(f"`{r['column']}`").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+        rows.append((r["column"], r.rows, r.nulls, r.distinct, bool(single), r["column"] == user))
+    return spark.createDataFrame(rows, "column string, rows long, nulls long, distinct long, is_key boolean, is_user boolean")
