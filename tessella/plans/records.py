@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import sealed
-from tessella.operators import encoder, records
+from tessella.operators import encoder, records, sync, vectors
 from tessella.plans.reports import AXES, load
 from tessella.sources import quality
 
@@ -41,14 +41,47 @@ def _keys(s: SparkSession, d: str) -> DataFrame:
     return per("orders").unionByName(per("events"))
 
 
+def _synced(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Nations as grants of their regions' workspaces; orders as sources, some of them analysed."""
+    grants = load(s, d, "nation").select(F.col("n_regionkey").alias("organization_id"), F.col("n_nationkey").alias("activation_id"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).otherwise(" ").alias("label"), (F.col("n_nationkey") != 3).alias("is_active"))
+    o, i = load(s, d, "orders"), F.col("o_orderkey")
+    mark = F.element_at(F.array(*[F.lit(m) for m in ("Activation_ID", "activationid", "ACTIVATION-id", "other")]), (i % 4 + 1).cast("int"))
+    key = F.concat(F.lit("r/Web_"), mark, (F.col("o_custkey") % 21).cast("string"), F.lit("_2024.parquet"))
+    sources = o.select(i.alias("source_id"), F.col("o_orderpriority").alias("name"), key.alias("object_key"), F.col("o_custkey").cast("string").alias("identifier"), F.lit("web").alias("report_type"))
+    scored = o.where(i % 3 > 0).select(i.alias("source_id"), F.col("o_orderdate").alias("created_at"), F.when(i % 5 > 0, F.lit(0.5)).alias("confidence"), *[((i * (n + 2)) % 90).cast("double").alias(a) for n, a in enumerate(AXES)])
+    older = scored.withColumns({"created_at": F.col("created_at") - F.expr("interval 1 day"), **{a: F.lit(1.0) for a in AXES}})
+    return sync.synced(grants, sources, scored.unionByName(older))
+
+
+def _regrounded(s: SparkSession, d: str) -> DataFrame:
+    """Every fiftieth vector as a source, vectors of labels below 5 as nodes; done twice."""
+    base = load(s, d, "embeddings")
+    own, i = base.where("vec_id % 50 = 0"), F.col("vec_id")
+    sources = own.select(i.alias("source_id"), F.concat(F.lit("s"), (i % 400).cast("string")).alias("name"), F.when(i % 150 > 0, F.lit("http://a/b")).alias("url"))
+    near = vectors.knn_cosine(base.where("label < 5"), own, 5)
+    tags = own.select(i.alias("source_id"), F.lit(-1).cast("long").alias("node_id"), F.lit(0.5).alias("weight"))
+    queue = s.createDataFrame([("s100", 100, "asked")], "symbol string, source_id long, reason string")
+    for _ in range(2):
+        tags, queue = sync.regrounded(sources, near, tags, queue, 0.35)
+    return tags.select("source_id", "node_id", "weight", F.lit("tag").alias("what")).unionByName(queue.select("source_id", F.lit(None).cast("long").alias("node_id"), F.lit(None).cast("double").alias("weight"), F.concat_ws(":", "symbol", "reason").alias("what")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "record_signals": lambda s, d: records.signals(_event_payloads(s, d), "user_id"),
     "record_insights": lambda s, d: records.insights(_payloads(s, d), "o_orderkey"),
     "sealed_records": _sealed,
     "key_columns": _keys,
+    "workspace_records": lambda s, d: _synced(s, d)[0],
+    "workspace_datasets": lambda s, d: _synced(s, d)[1].withColumns({a: F.round(a, 4) for a in AXES}),
+    "regrounded": _regrounded,
     "sound_features": lambda s, d: encoder.encoded(load(s, d, "embeddings"), "embedding", RATE, FRAME, HOP).select("vec_id", *SOUNDS),
 }
 
+#: The nested loop that the join of patterns stands for.
+_SYNCED = f"""g AS (SELECT n_regionkey AS organization_id, n_nationkey::VARCHAR AS activation_id, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'Activation ' || n_nationkey END AS dataset FROM nation WHERE n_nationkey <> 3),
+  o AS (SELECT *, 'r/Web_' || (['Activation_ID', 'activationid', 'ACTIVATION-id', 'other'])[o_orderkey % 4 + 1] || (o_custkey % 21) || '_2024.parquet' AS k, o_orderkey % 3 > 0 AS done FROM orders),
+  r AS (SELECT organization_id, activation_id, dataset, o_orderkey AS source_id, o_custkey::VARCHAR AS external_user_id, o_orderpriority AS source_name, CASE WHEN done THEN 'scored' ELSE 'pending' END AS status, CASE WHEN done THEN CASE WHEN o_orderkey % 5 > 0 THEN 0.5 ELSE 1.0 END END AS confidence,
+    {', '.join(f'CASE WHEN done THEN (o_orderkey * {n + 2} % 90)::DOUBLE END AS {a}' for n, a in enumerate(AXES))} FROM g JOIN o ON k ILIKE '%activation_id' || activation_id || '%' OR k ILIKE '%activationid' || activation_id || '%' OR k ILIKE '%activation-id' || activation_id || '%')"""
 _KEY = (hashlib.sha256(SECRET).digest() if len(SECRET) > 64 else SECRET).ljust(64, b"\0")
 _PAD = lambda x: f"unhex('{bytes(b ^ x for b in _KEY).hex()}')"
 _HALF = lambda x, digits: f"floor(({x}) * {10**digits} + 0.5) / {10**digits}"
@@ -75,4 +108,10 @@ ORACLE_SQL: dict[str, str] = {
       a AS (SELECT vec_id, f, greatest(0, max(v)) AS v FROM (SELECT a.vec_id, a.f, lag, sum(a.x * b.x) AS v FROM s a JOIN range(2, 17) l(lag) ON TRUE JOIN s b ON a.vec_id = b.vec_id AND a.f = b.f AND b.i = a.i + lag GROUP BY 1, 2, 3) GROUP BY 1, 2)
       SELECT vec_id, {_HALF('least(1.0, avg(rms))', 3)} AS rms, {_HALF('max(rms) - min(rms)', 3)} AS dynamic_range, {_HALF('avg(centroid)', 0)} AS centroid_hz, {_HALF('avg(flat)', 3)} AS flatness, {_HALF('avg(rolloff)', 0)} AS rolloff_hz, {_HALF('sum(zc) / 0.064', 0)} AS zero_cross_rate, {_HALF('avg(band)', 3)} AS speech_band_ratio, {_HALF('avg(least(1.0, v / energy))', 3)} AS voicing, 1.0 AS activity
       FROM e JOIN t USING (vec_id, f) JOIN a USING (vec_id, f) GROUP BY 1""",
+    "workspace_records": f"WITH {_SYNCED} SELECT * FROM r",
+    "workspace_datasets": f"WITH {_SYNCED} SELECT g.organization_id, g.activation_id, g.dataset, CASE WHEN count(source_id) > 0 THEN 'done' ELSE 'empty' END AS status, count(source_id) AS row_count, count(confidence) AS scored_count, coalesce(round(count(confidence) / nullif(count(source_id), 0) * 100, 2), 0) AS coverage_pct, {', '.join(f'round(avg({a}), 4) AS {a}' for a in AXES)} FROM g LEFT JOIN r USING (organization_id, activation_id) GROUP BY 1, 2, 3",
+    "regrounded": """WITH s AS (SELECT *, vec_id % 150 > 0 AS heard FROM embeddings WHERE vec_id % 50 = 0), c AS (SELECT s.vec_id AS source_id, b.vec_id AS node_id, heard, round(list_cosine_similarity(s.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS v FROM s JOIN embeddings b ON b.label < 5 AND b.vec_id <> s.vec_id),
+      n AS (SELECT source_id, node_id, floor(v * 1000 + 0.5) / 1000 AS weight FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY v DESC, node_id) AS r FROM c) WHERE r <= 5 AND v >= 0.35 AND heard)
+      SELECT source_id, node_id, weight, 'tag' AS what FROM n UNION ALL SELECT vec_id, -1, 0.5, 'tag' FROM s WHERE vec_id NOT IN (SELECT source_id FROM n)
+      UNION ALL SELECT min(vec_id), NULL, NULL, 's' || (vec_id % 400) || ':no match' FROM s WHERE heard AND vec_id % 400 <> 100 AND vec_id NOT IN (SELECT source_id FROM n) GROUP BY vec_id % 400 UNION ALL SELECT 100, NULL, NULL, 's100:asked'""",
 }
