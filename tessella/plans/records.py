@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import sealed
+from tessella.functions.storage import shared_path
 from tessella.operators import encoder, records, sync, vectors
-from tessella.plans.reports import AXES, load
-from tessella.sources import quality
+from tessella.plans.reports import AXES, app_rows, load, origin_rows, people_rows, visit_rows
+from tessella.plans.reports_sql import DAYPART
+from tessella.sources import delivery, normalise, quality
 
 SECRET = b"tessella"
 #: Embeddings as waves: samples a second, samples of a frame and between frames.
@@ -66,11 +68,60 @@ def _regrounded(s: SparkSession, d: str) -> DataFrame:
     return tags.select("source_id", "node_id", "weight", F.lit("tag").alias("what")).unionByName(queue.select("source_id", F.lit(None).cast("long").alias("node_id"), F.lit(None).cast("double").alias("weight"), F.concat_ws(":", "symbol", "reason").alias("what")))
 
 
+def _signals(s: SparkSession, d: str) -> DataFrame:
+    per = lambda kind, rows: normalise.normalise_rows(rows, kind).select(F.lit(kind).alias("kind"), "identifier", "signals")
+    rows = per("apps", app_rows(s, d)).unionByName(per("demographics", people_rows(s, d))).unionByName(per("origin", origin_rows(s, d)))
+    return rows.unionByName(per("visitation", visit_rows(s, d))).groupBy("kind", "identifier", "signals").agg(F.count("*").alias("n"))
+
+
+def _reread(s: SparkSession, d: str) -> DataFrame:
+    """App rows written in four formats, listed, and read back by their keys."""
+    root, rows = shared_path(s, "delivered"), app_rows(s, d).drop("key")
+    found = None
+    for kind in ("parquet", "csv", "json", "orc"):
+        at = f"{root}/apps/dt=2024-08-28/{kind}_activation_id7"
+        writer = rows.coalesce(1).write.option("header", "true")
+        (writer.option("compression", "gzip") if kind in ("csv", "json") else writer).format(kind).save(at)
+        read = delivery.read_delivery(s, at, kind, None if kind in ("parquet", "orc") else rows.schema)
+        key = F.concat(F.lit("apps/"), F.regexp_extract("object_key", "/apps/(.*)$", 1))
+        read = read.select(F.lit(kind).alias("kind"), key.alias("object_key"), F.col("hem"), F.col("CategoryName").alias("category"), F.col("uniques").try_cast("long").alias("uniques"))
+        found = read if found is None else found.unionByName(read)
+    listed = delivery.list_objects(s, root, ("apps",)).where("bytes > 0")
+    per = found.groupBy("kind", "object_key").agg(F.count("*").alias("rows"), F.count("hem").alias("named"), F.countDistinct("category").alias("categories"), F.sum("uniques").alias("uniques"))
+    return per.join(listed.select("object_key", "report_type"), "object_key").select("kind", delivery.partition_date("object_key").alias("day"), delivery.activation_id("object_key").alias("activation_id"), "report_type", "rows", "named", "categories", "uniques")
+
+
+def _row_checks(s: SparkSession, d: str) -> DataFrame:
+    rows = load(s, d, "part").select(F.when(F.col("p_partkey") % 5 > 0, F.col("p_partkey").cast("string")).alias("hem"), *[F.when(F.col("p_partkey") % 7 > 0, F.col(c)).alias(n) for c, n in (("p_type", "CategoryName"), ("p_brand", "TaxonomyName"))], F.when(F.col("p_partkey") % 3 > 0, F.format_string("2024-08-%02dT10", F.col("p_partkey") % 28 + 1)).otherwise("soon").alias("day"))
+    return rows.groupBy(normalise.is_summary_row(rows).alias("summary"), normalise.is_roster_row(rows).alias("roster"), normalise.row_day(rows).alias("day")).agg(F.count("*").alias("n"))
+
+
+def _clean(s: SparkSession, d: str) -> DataFrame:
+    i = F.col("p_partkey")
+    identifier = F.when(i % 4 == 0, F.concat(F.lit(" "), i.cast("string"))).when(i % 4 == 1, "").when(i % 4 == 2, F.repeat(F.lit("x"), 513)).otherwise(i.cast("string"))
+    tag = lambda code, label, weight: F.struct(code.alias("code"), label.alias("label"), F.lit(None).cast("string").alias("parent_code"), weight.alias("weight"))
+    tags = F.array(tag(F.concat(F.lit(" a"), (i % 3).cast("string"), F.lit(" ")), F.repeat(F.col("p_brand"), 40), F.lit(0)), tag(F.when(i % 6 > 0, F.col("p_type")).otherwise(" "), F.col("p_type"), F.lit(3)))
+    rows = load(s, d, "part").select(identifier.alias("identifier"), F.col("p_name").alias("label"), tags.cast(f"array<{normalise._TAG}>").alias("tags"), F.array(F.lit("{}")).alias("signals"), (i % 3).cast("double").alias("confidence"))
+    first, size = F.get("tags", F.lit(0)), F.size("tags")
+    return normalise.clean_rows(rows).select("identifier", "label", size.alias("n_tags"), first["code"].alias("code"), F.length(first["label"]).alias("label_length"), first["weight"].alias("weight"), "confidence")
+
+
+def _probed(s: SparkSession, d: str) -> DataFrame:
+    """The report on app rows, with what a later one says of people's rows for the same checks."""
+    apps = quality.probe(app_rows(s, d), "apps")
+    return quality.merged_report(apps, quality.probe(people_rows(s, d), "demographics").where("check <> 'yield'"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "record_signals": lambda s, d: records.signals(_event_payloads(s, d), "user_id"),
     "record_insights": lambda s, d: records.insights(_payloads(s, d), "o_orderkey"),
     "sealed_records": _sealed,
     "key_columns": _keys,
+    "delivery_signals": _signals,
+    "reread_deliveries": _reread,
+    "row_checks": _row_checks,
+    "clean_tasks": _clean,
+    "delivery_probe": _probed,
     "workspace_records": lambda s, d: _synced(s, d)[0],
     "workspace_datasets": lambda s, d: _synced(s, d)[1].withColumns({a: F.round(a, 4) for a in AXES}),
     "regrounded": _regrounded,
@@ -114,4 +165,14 @@ ORACLE_SQL: dict[str, str] = {
       n AS (SELECT source_id, node_id, floor(v * 1000 + 0.5) / 1000 AS weight FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY v DESC, node_id) AS r FROM c) WHERE r <= 5 AND v >= 0.35 AND heard)
       SELECT source_id, node_id, weight, 'tag' AS what FROM n UNION ALL SELECT vec_id, -1, 0.5, 'tag' FROM s WHERE vec_id NOT IN (SELECT source_id FROM n)
       UNION ALL SELECT min(vec_id), NULL, NULL, 's' || (vec_id % 400) || ':no match' FROM s WHERE heard AND vec_id % 400 <> 100 AND vec_id NOT IN (SELECT source_id FROM n) GROUP BY vec_id % 400 UNION ALL SELECT 100, NULL, NULL, 's100:asked'""",
+    "delivery_signals": f"""WITH r AS (
+      SELECT 'apps' AS kind, p_partkey::VARCHAR AS identifier, '{{"CategoryName":"' || p_type || '","TaxonomyName":"' || p_brand || '","Signals":' || CASE WHEN p_size > 5 THEN (p_size - 5) || '.0' ELSE 'null' END || ',"meta":{{"bundle_id":"","platform":""}}}}' AS signals FROM part WHERE p_partkey % 5 > 0
+      UNION ALL SELECT 'demographics', c_custkey::VARCHAR, '{{"age_band":"' || (c_nationkey * 3) || '-99","income_band":"' || CASE WHEN c_acctbal > 0 THEN round(c_acctbal / 1000)::INT::VARCHAR ELSE '' END || '","household":"' || lower(c_mktsegment) || '","meta":{{"segment_codes":[]}}}}' FROM customer
+      UNION ALL SELECT 'origin', s_suppkey::VARCHAR, '{{"origin_class":"Urban Core","region":"' || upper(substr(n_name, 1, 1)) || lower(substr(n_name, 2)) || '","travel":"' || CASE WHEN s_acctbal > 5000 THEN 'long-haul' ELSE '' END || '","meta":{{"country":"","provider":""}}}}' FROM supplier JOIN nation ON s_nationkey = n_nationkey
+      UNION ALL SELECT 'visitation', user_id::VARCHAR, '{{"brandName":"' || CASE WHEN event_type <> 'error' THEN 'Brand ' || event_type ELSE '' END || '","visited_at":"' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '","daypart":"' || {DAYPART} || '","distance":' || CASE WHEN event_id % 4 > 0 THEN value::VARCHAR ELSE 'null' END || ',"meta":{{"poi_id":""}}}}' FROM events)
+      SELECT kind, identifier, signals, count(*) AS n FROM r GROUP BY ALL""",
+    "reread_deliveries": "SELECT unnest(['parquet', 'csv', 'json', 'orc']) AS kind, DATE '2024-08-28' AS day, '7' AS activation_id, 'apps' AS report_type, count(*) AS rows, count(*) FILTER (p_partkey % 5 > 0) AS named, count(DISTINCT p_type) AS categories, sum(p_size)::BIGINT AS uniques FROM part",
+    "row_checks": "SELECT p_partkey % 5 = 0 AND p_partkey % 7 > 0 AS summary, p_partkey % 5 > 0 AND p_partkey % 7 = 0 AS roster, CASE WHEN p_partkey % 3 > 0 THEN '2024-08-' || lpad((p_partkey % 28 + 1)::VARCHAR, 2, '0') END AS day, count(*) AS n FROM part GROUP BY ALL",
+    "clean_tasks": "SELECT p_partkey::VARCHAR AS identifier, p_name AS label, CASE WHEN p_partkey % 6 > 0 THEN 2 ELSE 1 END AS n_tags, 'a' || (p_partkey % 3) AS code, least(300, 40 * length(p_brand)) AS label_length, 1 AS weight, CASE p_partkey % 3 WHEN 0 THEN 0.5 ELSE 1.0 END AS confidence FROM part WHERE p_partkey % 4 IN (0, 3)",
+    "delivery_probe": "SELECT 'yield' AS \"check\", CASE WHEN s >= 0.8 THEN 'pass' WHEN s > 0 THEN 'warn' ELSE 'fail' END AS status, s::VARCHAR AS said FROM (SELECT round(count(*) FILTER (p_partkey % 5 > 0) / count(*), 4) AS s FROM part) UNION ALL SELECT 'groups', 'pass', '' UNION ALL SELECT 'unknown columns', 'pass', '' UNION ALL SELECT 'identifiers', 'pass', round(count(c_custkey) / count(*), 4)::VARCHAR FROM customer",
 }

@@ -79,15 +79,25 @@ def _joined(*parts: Column, default: str) -> Column:
 
 
 def _boosted(raw: Column) -> Column:
+    return F.coalesce(S.intensity_confidence(_count(raw), 0.7), F.lit(0.7))
+
+
+def _count(raw: Column) -> Column:
+    """The number that boosts a row's confidence; null for any other."""
     n = raw.try_cast("double")
-    usable = (n > 0) & ~F.isnan(n) & (n < float("inf"))
-    return F.when(usable, S.intensity_confidence(n, 0.7)).otherwise(0.7)
+    return F.when((n > 0) & ~F.isnan(n) & (n < float("inf")), n)
 
 
 def normalise_rows(df: DataFrame, kind: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """``identifier, label, tags, signals, confidence`` of the rows of a report of one kind, and
-    the columns to ``keep``, such as their order."""
+    the columns to ``keep``, such as their order.
+
+    ``signals`` is a JSON object with the fields of the kind, all of them in every row: missing
+    texts are empty, missing lists too, and missing numbers null; ``meta`` holds what makes no tag.
+    """
     p = lambda *names: pick(df, *names)
+    text = lambda c, name: F.coalesce(c, F.lit("")).alias(name)
+    none = F.array().cast("array<string>")
     confidence = F.lit(0.7)
     if kind in ("ctv", "web"):
         groups = ALIASES["ctv"]
@@ -99,14 +109,17 @@ def normalise_rows(df: DataFrame, kind: str, keep: tuple[str, ...] = ()) -> Data
         confidence = _boosted(intensity)
         one = F.array(_tag("ctv.genre", genre, "CTV genre"), _tag("ctv.type", content, "CTV content type"), _tag("ctv.channel", channel, "CTV channel"))
         tags = F.concat(F.array_compact(one), _tags("iab", iab, None), _tags("web.topic", topics, "Web topic"), F.array_compact(F.array(_tag("web.referrer", host, "Referrer"))))
-        signals = [genre.alias("contentgenre"), content.alias("contenttype"), channel.alias("channelname"), iab.alias("iab_cats"), topics.alias("web_topics"), F.nullif(host, F.lit("")).alias("referrer_host"), page.alias("page")]
+        meta = F.struct(text(p("ctv_taxonomy", "device_id", "deviceid"), "device_id"), text(p("useragent", "user_agent"), "useragent"), text(page, "page"))
+        signals = [text(genre, "contentgenre"), text(content, "contenttype"), text(channel, "channelname"), F.coalesce(iab, none).alias("iab_cats"), topics.alias("web_topics"), F.nullif(host, F.lit("")).alias("referrer_host"), _count(intensity).alias("signals"), meta.alias("meta")]
         label = _joined(channel, genre, content, F.get(topics, F.lit(0)), default="CTV impression")
     elif kind == "apps":
         groups = ALIASES[kind]
         category, taxonomy = p(*groups["category"]), p(*groups["taxonomy"])
-        confidence = _boosted(p("signals", "signal_count"))
+        intensity = p("signals", "signal_count")
+        confidence = _boosted(intensity)
         tags = F.array_compact(F.array(_tag("app.category", category, "App category"), _tag("app.taxonomy", taxonomy, "App taxonomy")))
-        signals = [category.alias("category"), taxonomy.alias("taxonomy"), p("bundle_id", "bundleid", "app_id").alias("bundle_id"), p("platform", "os").alias("platform")]
+        meta = F.struct(text(p("bundle_id", "bundleid", "app_id"), "bundle_id"), text(p("platform", "os"), "platform"))
+        signals = [text(category, "CategoryName"), text(taxonomy, "TaxonomyName"), _count(intensity).alias("Signals"), meta.alias("meta")]
         label = _joined(category, taxonomy, default="App affinity")
     elif kind == "visitation":
         groups = ALIASES[kind]
@@ -117,23 +130,26 @@ def normalise_rows(df: DataFrame, kind: str, keep: tuple[str, ...] = ()) -> Data
         band = F.when(far <= 25, 0.9).when(far <= 100, 0.7).when(far <= 250, 0.5).otherwise(0.35)
         confidence = F.when(usable, band).otherwise(0.7)
         tags = F.array_compact(F.array(_tag("visit.brand", brand, "Visited brand"), _tag("visit.daypart", part, "Visit daypart", part)))
-        signals = [brand.alias("brand"), at.alias("visited_at"), part.alias("daypart"), far.alias("distance"), p("poi_id", "poiid", "location_id").alias("poi_id")]
+        meta = F.struct(text(p("poi_id", "poiid", "location_id"), "poi_id"))
+        signals = [text(brand, "brandName"), text(at, "visited_at"), part.alias("daypart"), F.when(usable, far).alias("distance"), meta.alias("meta")]
         label = _joined(brand, part, default="Visitation")
     elif kind == "demographics":
         groups = ALIASES[kind]
         age, income, household = (p(*groups[g]) for g in ("age band", "income band", "household"))
         tags = F.array_compact(F.array(_tag("demo.age", age, "Age band"), _tag("demo.income", income, "Income band"), _tag("demo.household", household, "Household")))
-        signals = [age.alias("age_band"), income.alias("income_band"), household.alias("household"), S.multi_values(p("segment_codes", "segments")).alias("segment_codes")]
+        meta = F.struct(F.coalesce(S.multi_values(p("segment_codes", "segments")), none).alias("segment_codes"))
+        signals = [text(age, "age_band"), text(income, "income_band"), text(household, "household"), meta.alias("meta")]
         label = _joined(age, income, default="Demographics")
     elif kind == "origin":
         groups = ALIASES[kind]
         place, region, travel = (p(*groups[g]) for g in ("origin class", "region", "travel context"))
         tags = F.array_compact(F.array(_tag("origin.class", place, "Origin class"), _tag("origin.region", region, "Origin region"), _tag("origin.travel", travel, "Travel context")))
-        signals = [place.alias("origin_class"), region.alias("region"), travel.alias("travel"), p("country").alias("country"), p("provider").alias("provider")]
+        meta = F.struct(text(p("country"), "country"), text(p("provider"), "provider"))
+        signals = [text(place, "origin_class"), text(region, "region"), text(travel, "travel"), meta.alias("meta")]
         label = _joined(region, place, default="Origin")
     else:
         raise ValueError(f"unknown kind of report: {kind}")
-    out = df.select(identifier_of(df).alias("identifier"), label.alias("label"), tags.cast(f"array<{_TAG}>").alias("tags"), F.to_json(F.struct(*signals)).alias("signals"), F.bround(confidence, 3).alias("confidence"), *keep)
+    out = df.select(identifier_of(df).alias("identifier"), label.alias("label"), tags.cast(f"array<{_TAG}>").alias("tags"), F.to_json(F.struct(*signals), {"ignoreNullFields": "false"}).alias("signals"), F.bround(confidence, 3).alias("confidence"), *keep)
     return out.where(F.col("identifier").isNotNull() & (F.size("tags") > 0))
 
 

@@ -64,6 +64,22 @@ def test_report_type(spark, key, kind):
     assert spark.range(1).select(delivery.report_type(F.lit(key)).alias("x")).first().x == kind
 
 
+def test_signals_have_all_fields_of_their_kind(spark):
+    """Names and order of the fields, texts of missing values, and numbers, as literals."""
+    import json
+
+    web = json.loads(normalise.normalise_rows(frame(spark, WEB), "web").first().signals)
+    assert list(web.items()) == [
+        ("contentgenre", ""), ("contenttype", ""), ("channelname", "example.com"), ("iab_cats", ["IAB17"]), ("web_topics", ["sports", "football-news"]), ("referrer_host", "search.org"), ("signals", 12.0),
+        ("meta", {"device_id": "", "useragent": "ua", "page": "https://example.com/sports/football-news"}),
+    ]
+    one = lambda kind, **row: json.loads(normalise.normalise_rows(frame(spark, dict(eid="e", **row)), kind).first().signals)
+    assert one("apps", CategoryName="Games", Signals="0") == {"CategoryName": "Games", "TaxonomyName": "", "Signals": None, "meta": {"bundle_id": "", "platform": ""}}
+    assert one("visitation", brandName="B", distance="30.5", poi_id="p") == {"brandName": "B", "visited_at": "", "daypart": "", "distance": 30.5, "meta": {"poi_id": "p"}}
+    assert one("demographics", age="18-24", segments="a|b") == {"age_band": "18-24", "income_band": "", "household": "", "meta": {"segment_codes": ["a", "b"]}}
+    assert one("origin", state="X", country="US") == {"origin_class": "", "region": "X", "travel": "", "meta": {"country": "US", "provider": ""}}
+
+
 def test_identifiers_merge(spark):
     rows = [dict(WEB, signals="1", n="1"), dict(WEB, page="https://example.com/music", signals="900", n="2"), dict(WEB, primary_identifier=" ", n="3"), dict(WEB, primary_identifier="NaN", n="4")]
     found = normalise.merge_by_identifier(normalise.normalise_rows(frame(spark, *rows), "web", keep=("n",)), "n").collect()
