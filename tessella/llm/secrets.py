@@ -31,7 +31,8 @@ CONTEXT = re.compile(
     r"""(?:(?:password|passwd|secret|token|api_?key)["']?(?:\x20*[:=]+>?\x20*|\x20+is\x20+)|(?<![^\W_])(?:pwd|passphrase|passcode|credentials?|auth|bearer|private_?key|access_?key|login)["']?(?:\x20*[:=]+>?\x20*|\x20+is\x20+|(\x20+)))(?:["']?(?:basic|digest|token)\x20+(?!is\x20|[:=]))?""",
     re.I | re.A,
 )
-VALUE = re.compile(r"""["']?([^\s"'<>,;]{6,})""")
+#: Values are runs of these characters, of ``SHORTEST`` or more, maybe behind a quote.
+VALUE, SHORTEST = re.compile(r"""[^\s"'<>,;]*"""), 6
 #: One of these is in every match of ``ASSIGN`` or ``CONTEXT``, in lower case.
 _HINTS = ("passw", "secret", "token", "apikey", "api_key", "pwd", "passphrase", "passcode", "credential", "auth", "bearer", "privatekey", "private_key", "accesskey", "access_key", "login")
 KINDS = ("assign", "access", "hex", "guess")
@@ -84,14 +85,18 @@ def corpus_words(docs: DataFrame, most: int = DICTIONARY) -> list[str]:
     found = docs.select(F.explode(F.array_distinct(F.split(F.lower(shown), "[^a-z]+"))).alias("w")).where(F.length("w").between(low, high))
     counts = materialise(found.groupBy("w").agg(F.count("*").alias("n")), "words")
     # A histogram of the counts, some thousand steps at most, tells how common a word must be;
-    # so no task sends words that do not count.
+    # so no task sends words that do not count. Of the last step, which may hold more words than
+    # are left, the most common ones are taken by an ordered limit.
     step = F.floor(F.log2("n") * 64)
     left, least = most, None
     for row in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect(), reverse=True):
-        if row.words > left:
+        least = row.step
+        if row.words >= left:
             break
-        left, least = left - row.words, row.step
-    common = counts.where(F.lit(False) if least is None else step >= least)
+        left -= row.words
+    if least is None or most < 1:
+        return []
+    common = counts.where(step > least).unionByName(counts.where(step == least).orderBy(F.desc("n"), "w").limit(left))
     return [r.w for r in sorted(common.collect(), key=lambda r: (-r.n, r.w))]
 
 
@@ -115,8 +120,9 @@ def pool_cost(value: str) -> float:
     return math.log10(size + 33 * (not value.isalnum()) or 1)
 
 
-def guess_cost(value: str, ranks: dict[str, int] | None = None) -> float:
-    """Decimal logarithm of the guesses for ``value`` at its cheapest segmentation.
+def guess_cost(value: str, ranks: dict[str, int] | None = None, enough: float = math.inf) -> float:
+    """Decimal logarithm of the guesses for ``value`` at its cheapest segmentation; of a value that
+    costs ``enough`` or more, maybe just that it does, found without reading all of it.
 
     The least over all segmentations: states for a running brute-force span, walk, and
     repeat of each distance make the work grow with the length alone. A repeat is a span
@@ -143,6 +149,9 @@ def guess_cost(value: str, ranks: dict[str, int] | None = None) -> float:
         for p in range(1, min(PERIODS, i) + 1):
             repeat[p] = min(repeat[p], here + math.log10(PERIODS)) + AGAIN if low[i] == low[i - p] else math.inf
         best[i + 1] = min(best[i + 1], brute, walk, *repeat)
+        # Costs only grow: what all that is under way costs by now, the whole does.
+        if i % 64 == 63 and (least := min(brute, one, two, walk, *repeat, *best[i + 1 : i + 2 + WORD_LETTERS[1]])) >= enough:
+            return least
     return best[n]
 
 
@@ -161,19 +170,34 @@ def find_secrets(text: str | None, min_cost: float = MIN_COST, ranks: dict[str,
         spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     if hinted:
-        base = sorted((s, e) for s, _, e in spans)
+        base: list[list[int]] = []
+        for start, _, end in sorted(spans):
+            if base and start <= base[-1][1]:
+                base[-1][1] = max(end, base[-1][1])
+            else:
+                base.append([start, end])
         contexts = list(CONTEXT.finditer(text))
-        starts, last = {m.start() for m in contexts}, 0
+        # Contexts come in order, and so do their values: the base spans are passed once, and a run of
+        # characters that holds the values of several contexts is read once.
+        starts, last, run, near = {m.start() for m in contexts}, 0, 0, 0
         for context in contexts:
-            m = VALUE.match(text, context.end())
+            start = context.end() + (text[context.end() : context.end() + 1] in ('"', "'"))
             # In "auth: bearer x" the value starts a context of its own.
-            if not m or m.start(1) in starts or m.start(1) < last:
+            if start in starts or start < last:
                 continue
-            start, end = m.span(1)
-            least = max(min_cost, BARE_COST) if context[1] and m[1].isalpha() else min_cost
-            if not any(s < end and start < e for s, e in base) and guess_cost(m[1], ranks) >= least:
-                spans.append((start, 3, end))
-                last = end
+            if start >= run:
+                run = VALUE.match(text, start).end()
+            if run - start < SHORTEST:
+                continue
+            while near < len(base) and base[near][1] <= start:
+                near += 1
+            if near < len(base) and base[near][0] < run:
+                continue
+            value = text[start:run]
+            least = max(min_cost, BARE_COST) if context[1] and value.isalpha() else min_cost
+            if guess_cost(value, ranks, least) >= least:
+                spans.append((start, 3, run))
+                last = run
     return sorted(spans)
 
 
@@ -223,16 +247,20 @@ def secrets_digest(docs: DataFrame) -> DataFrame:
     return scan_secrets(docs.select("doc_id", "text"), words=corpus_words(docs)).drop("text")
 
 
-def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
-    """``docs`` with every finding in ``text`` replaced by ``mask``; null stays null."""
+def redact(docs: DataFrame, mask: str = "[secret]", words: list[str] | None = None) -> DataFrame:
+    """``docs`` with every finding in ``text`` replaced by ``mask``; null stays null. With the
+    ``words`` that ``scan_secrets`` got, these are the spans that it lists."""
+    ranks = docs.sparkSession.sparkContext.broadcast(word_ranks(words)) if words else None
 
     @F.pandas_udf("string")
     def cut(texts):
+        known = None if ranks is None else ranks.value
+
         def one(text):
             if text is None:
                 return None
             out, at = [], 0
-            for start, _, end in find_secrets(text):
+            for start, _, end in find_secrets(text, ranks=known):
                 if start >= at:
                     out += [text[at:start], mask]
                 at = max(at, end)

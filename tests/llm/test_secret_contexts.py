@@ -80,7 +80,43 @@ def test_words_of_the_corpus_join_the_dictionary(spark):
     rows = [(i, f"correct horses like staples number {i}") for i in range(9)] + [(i, "password: xkqjzvwpmbtrhg") for i in range(20)] + [(0, None), (0, "")]
     words = secrets.corpus_words(spark.createDataFrame(rows, "doc_id long, text string"))
     assert set(words) >= {"correct", "horses", "like", "staples", "number"} and "xkqjzvwpmbtrhg" not in words
-    assert secrets.corpus_words(spark.createDataFrame(rows, "doc_id long, text string"), 3) == []
+    # Six words are in nine documents each: ties go by the words, up to the bound.
+    assert secrets.corpus_words(spark.createDataFrame(rows, "doc_id long, text string"), 3) == ["correct", "horses", "like"]
+    assert secrets.corpus_words(spark.createDataFrame(rows, "doc_id long, text string"), 0) == []
     assert secrets.corpus_words(spark.createDataFrame(rows, "doc_id long, text string").limit(0)) == []
     ranks = secrets.word_ranks(words)
     assert secrets.guess_cost("correcthorsesstaples", ranks) < 10 < secrets.guess_cost("correcthorsesstaples")
+
+
+def test_costs_are_found_without_reading_all():
+    import random
+
+    rng = random.Random(6)
+    for _ in range(300):
+        value = "".join(rng.choice(["a", "cat", "D0g", "qwe", "12", "2019", "x!", "ab" * 9, "zzzz", "password"]) for _ in range(rng.randint(1, 90)))
+        whole = secrets.guess_cost(value)
+        for least in (8.0, 25.0, 60.0):
+            assert (secrets.guess_cost(value, enough=least) >= least) == (whole >= least)
+
+
+def test_work_grows_with_the_text():
+    """Half a million contexts in ten million characters: apart, in one run, and in one run that
+    base spans overlap."""
+    import time
+
+    for piece, kinds in (("password=abcdefgh1 ", {0}), ("login=$a#login=$", {3}), ("pwd=aaaaa ", set()), ("secret=abcdefgh1$login=$x?", {0})):
+        text, began = piece * (10_000_000 // len(piece)), time.time()
+        found = secrets.find_secrets(text)
+        assert {k for _, k, _ in found} == kinds and time.time() - began < 60, piece
+
+
+def test_redaction_cuts_what_the_scan_lists(spark):
+    text = "pwd: correcthorsesstaples and passphrase = X9#kL2$vQ!mT"
+    df = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    for words in (None, ["correct", "horses", "staples"]):
+        spans = secrets.scan_secrets(df, words=words).where("doc_id = 1").first().spans.split(",")
+        left, at = [], 0
+        for _, start, end in (s.split(":") for s in spans):
+            left += [text[at : int(start)], "[secret]"]
+            at = int(end)
+        assert [r.text for r in secrets.redact(df, words=words).orderBy("doc_id").collect()] == ["".join([*left, text[at:]]), None]
