@@ -135,7 +135,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rekey_merge": _rekeyed,
     "keyset_page": lambda s, d: lifecycle.page_after(load(s, d, "events"), "user_id", 20, 15),
     "outcome_moments": lambda s, d: learning.cross_moments(_filled(s, d).withColumn("kpi", F.col("n").cast("double")), AXES[:2], "kpi").select("n", *[F.round(c, 2).alias(c) for c in ("s_one_emotional", "s_emotional_cognitive", "s_cognitive_kpi")]),
-    "outcome_drivers": lambda s, d: learning.ridge(_filled(s, d).withColumn("kpi", F.col("n").cast("double")), AXES, "kpi", 0.1),
+    "outcome_drivers": lambda s, d: _rounded(learning.ridge(_filled(s, d).withColumn("kpi", F.col("n").cast("double")), AXES, "kpi", 0.1), "coefficient"),
     "kmeans_cohorts": lambda s, d: learning.kmeans_cohorts(load(s, d, "embeddings"), 8),
     "stream_rollup": ingest.stream_rollup,
     "stream_windows": lambda s, d: _rounded(ingest.stream_windows(s, d), "score"),
@@ -212,3 +212,9 @@ ORACLE_SQL |= reports_sql.ORACLE_SQL | catalogues.ORACLE_SQL | controls.ORACLE_S
 ORACLE_SQL |= {"indexed_neighbours": ORACLE_SQL["knn_cosine"], "streamed_beacons": ORACLE_SQL["beacons"]}
 _SLUG = "'cohort-' || CASE WHEN cohort < 26 THEN chr(97 + cohort::INT) ELSE (cohort + 1)::VARCHAR END"
 ORACLE_SQL["cohort_members"] = f"SELECT cohort, slug, count(*) AS n, count(*) FILTER ({_FNV('slug || chr(58) || c_custkey')} % 1000 < 100) AS held FROM (SELECT c_custkey, c_custkey % 30 AS cohort, {_SLUG} AS slug FROM customer WHERE c_custkey % 10 > 0) GROUP BY 1, 2"
+_TERMS = ["1", *AXES]
+_NORMAL = ", ".join("[" + ", ".join([f"sum({a} * {b})::DOUBLE" + (" + 0.1 * count(*)" if a == b != "1" else "") for b in _TERMS] + [f"sum({a} * n)::DOUBLE"]) + "]" for a in _TERMS)
+#: The normal equations, solved by elimination column after column.
+ORACLE_SQL["outcome_drivers"] = f"""WITH RECURSIVE s AS (SELECT [{_NORMAL}] AS m FROM {_FILLED}),
+  r AS (SELECT 1 AS k, m FROM s UNION ALL SELECT k + 1, list_transform(m, lambda v, i: CASE WHEN i = k THEN list_transform(v, lambda x: x / v[k]) ELSE list_transform(v, lambda x, j: x - m[k][j] * v[k] / m[k][k]) END) FROM r WHERE k <= {len(_TERMS)})
+  SELECT unnest(['intercept', '{"', '".join(AXES)}']) AS term, round(unnest(list_transform(m, lambda v: v[{len(_TERMS) + 1}])), 4) AS coefficient FROM r WHERE k = {len(_TERMS) + 1}"""
