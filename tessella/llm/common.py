@@ -145,6 +145,19 @@ def running_totals(df: DataFrame, order: list[Column], sums: dict[str, Column],
     return dealt.join(F.broadcast(offsets), part).select(*df.columns, *totals)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
+    """Batches of ``most`` rows for what runs inside the block: Spark fills a batch outside of its
+    heap, in buffers that double, so rows with long lists or texts take their room many times."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(most, int(before)) if int(before) > 0 else most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a path or URI, and the path inside it."""
     return pafs.FileSystem.from_uri(uri) if ":/" in uri else (pafs.LocalFileSystem(), uri)

@@ -22,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import NULL_ID, bounded_sample, id_key, key_id, materialise, partitions, replacing, slices, unused
+from tessella.llm.common import NULL_ID, arrow_rows, bounded_sample, id_key, key_id, materialise, partitions, replacing, slices, unused
 from tessella.llm.components import connected_components
 
 #: Fingerprints, at most, on which vantage points and radii are chosen.
@@ -33,6 +33,8 @@ SHARD, MAX_DEPTH = 2048, 14
 MAX_BLOCKS = 1 << 20
 #: Texts, at most, that hold a shingle all whose pairs are compared in a crowd.
 RARE = 32
+#: Rows, at most, that near dedup hands to Python at a time: two texts or all shingles of one each.
+ARROW_ROWS = 512
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -427,6 +429,11 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float =
     that are of several groups after that are compared by ``crowd_candidates``. Equal word
     sequences are one class and compared once. Texts without words are one class.
     """
+    with arrow_rows(docs.sparkSession, ARROW_ROWS):
+        return _groups(docs, shingle, similarity, bands, rows)
+
+
+def _groups(docs: DataFrame, shingle: int, similarity: float, bands: int, rows: int) -> DataFrame:
     spark = docs.sparkSession
     base = docs.select(id_key("doc_id").alias("d"), "text")
     signed = materialise(base.mapInArrow(_signer(shingle, bands, rows), "d long, h1 long, h2 long, size long, fp long, bands array<long>"), "signatures")
