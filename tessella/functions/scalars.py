@@ -180,3 +180,12 @@ def time_bucket(first: Column | str, last: Column | str) -> Column:
     """``day``, ``week`` or ``month`` for a trend over a range: up to 45 days, 180, or more."""
     days = F.date_diff(col(last), col(first))
     return F.when(days <= 45, "day").when(days <= 180, "week").otherwise("month")
+
+
+def pretty_tag(code: Column | str) -> Column:
+    """A code for readers: an open age band as ``75+``, without the families of people and viewing,
+    ``IAB`` before categories, dashes and underscores as blanks."""
+    told = F.regexp_replace(F.regexp_replace(F.regexp_replace(col(code), r"^demo\.age\.", ""), r"^demo\.", ""), r"^ctv\.(genre|channel)\.", "")
+    told = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(told, r"^iab\.", "IAB "), "[-_]", " "), r"\s+", " "))
+    age = F.regexp_extract(col(code), r"^demo\.age\.([0-9]+)$", 1)
+    return F.when(age != "", F.concat(age, F.lit("+"))).otherwise(told)

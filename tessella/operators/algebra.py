@@ -258,3 +258,21 @@ def feature_hints(df: DataFrame, seed: Column, weight: Column) -> DataFrame:
     centroid = 900 + speech * 2200 + art * 1400 + F.shiftright(h, 8) % 400
     energy = S.clamp(0.28 + mean / 260 + F.least(F.lit(0.35), weight * 0.12), 0.0, 1.0)
     return df.withColumns({"tempo": tempo, "centroid_hz": centroid, "energy": energy})
+
+
+def divergence(a: DataFrame, b: DataFrame, key: str, least: float = 8.0, most: int = 3) -> DataFrame:
+    """``key, axis, delta, divergent, similarity`` of rows in both: how far each axis lies apart, whether
+    it is one of the ``most`` that carry the difference, by at least ``least``, and how near the
+    rows are in all, from 0 to 100. Ties go to the first axis; missing values count as 0."""
+    other = b.select(key, *[F.col(x).alias(f"__{x}") for x in AXES])
+    delta = {x: F.round(F.abs(F.coalesce(x, F.lit(0.0)) - F.coalesce(f"__{x}", F.lit(0.0))), 9) for x in AXES}
+    ranked = F.array_sort(F.array(*[F.struct((-d).alias("d"), F.lit(i).alias("i")) for i, d in enumerate(delta.values())]))
+    mean = _sum(delta.values()) / len(AXES)
+    near = S.half_up(S.clamp(1 - mean / 100, 0.0, 1.0) * 100)
+    rows = a.join(other, key).select(key, F.slice(F.transform(ranked, lambda r: r["i"]), 1, most).alias("__top"), near.alias("similarity"), F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(x).alias("axis"), d.alias("delta")) for i, (x, d) in enumerate(delta.items())])).alias("s"))
+    return rows.select(key, "s.axis", "s.delta", (F.array_contains("__top", F.col("s.i")) & (F.col("s.delta") >= least)).alias("divergent"), "similarity")
+
+
+def trail_means(trail: DataFrame, key: str) -> DataFrame:
+    """``key`` and the mean axes of all its windows; missing values count as 0."""
+    return trail.groupBy(key).agg(*[F.avg(F.coalesce(a, F.lit(0.0))).alias(a) for a in AXES])

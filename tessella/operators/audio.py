@@ -172,3 +172,17 @@ def described(df: DataFrame) -> Column:
     key = F.when(F.size("chroma") == 12, F.concat(F.lit(" with "), F.element_at(pitches, F.array_position("chroma", F.array_max("chroma")).cast("int")), F.lit(" as the dominant pitch class"))).otherwise("")
     kind = F.when(F.col("communication") >= 55, "speech-forward").otherwise("music-forward")
     return F.concat(F.lit("A "), energy, F.lit(", "), bright, F.lit(" "), kind, F.lit(" audio segment"), key, F.lit(", strongest on "), top, F.lit(" semantics."))
+
+
+#: Words of tags that tell of music and of speech.
+MUSIC_WORDS = "music|instrument|guitar|piano|drum|violin|synth|bass|singing|song|melody|orchestr|choir|percussion"
+SPEECH_WORDS = "speech|speak|narrat|conversation|talk|voice|monologue|podcast|dialog|announc"
+
+
+def music_share(tags: DataFrame, key: str) -> DataFrame:
+    """``key, musical``: of ``code, label, similarity`` tags the similarity of those of music as a share of
+    that of music and speech, null without either: what ``musical_scores`` takes."""
+    said, weight = F.concat_ws(" ", F.coalesce("code", F.lit("")), F.coalesce("label", F.lit(""))), F.greatest(F.lit(0.0), F.coalesce("similarity", F.lit(0.0)))
+    of = lambda words: F.sum(F.when(said.rlike(f"(?i){words}"), weight).otherwise(0.0))
+    per = tags.groupBy(key).agg(of(MUSIC_WORDS).alias("m"), of(SPEECH_WORDS).alias("s"))
+    return per.select(key, F.when(F.col("m") + F.col("s") > 0, F.col("m") / (F.col("m") + F.col("s"))).alias("musical"))

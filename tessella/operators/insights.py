@@ -103,3 +103,44 @@ def nearest_in_time(points: DataFrame, trail: DataFrame, key: str, tolerance_s:
     near = left.join(right, (F.col(key) == F.col("__k")) & (F.col("__c") == F.col("__d"))).where(gap <= tolerance_s * 1_000_000)
     best = near.groupBy("point_id").agg(F.min(F.struct(gap.alias("gap"), F.col("__t").alias("t")))["t"].alias("at"))
     return points.join(best, "point_id", "left")
+
+
+def grounding_gaps(nodes: DataFrame, tags: DataFrame, queue: DataFrame, assets: DataFrame, most: int = 40, branch: str | None = None) -> DataFrame:
+    """``code, label, branch, observed_sources, observed_weight, queued``: the nodes with most weight in
+    ``tags`` (``source_id, code, weight``) that nothing grounds, of one branch or all; ties by code.
+
+    ``nodes`` have ``code, label, suppressed, grounding_count``; ``assets`` ``code, status``, of which active ones
+    ground a node; ``queue`` ``code, status``, in which pending and proposed codes wait already.
+    From 1 to 200 rows.
+    """
+    root = F.split_part("code", F.lit("."), F.lit(1))
+    own = nodes.where(~F.coalesce("suppressed", F.lit(False)) & (F.coalesce("grounding_count", F.lit(0)) == 0))
+    own = own if branch is None else own.where(root == branch)
+    own = own.join(assets.where("status = 'active'").select("code").distinct(), "code", "left_anti")
+    # Per source first, so that a node with very many tags counts its sources over many tasks.
+    per = tags.groupBy("code", "source_id").agg(F.sum("weight").alias("w")).groupBy("code").agg(F.count("source_id").alias("observed_sources"), F.round(F.sum("w"), 3).alias("observed_weight"))
+    waits = queue.where("status IN ('pending', 'proposed')").select("code").distinct().withColumn("queued", F.lit(True))
+    out = own.join(per, "code").join(waits, "code", "left")
+    out = out.select("code", "label", root.alias("branch"), "observed_sources", "observed_weight", F.coalesce("queued", F.lit(False)).alias("queued"))
+    return out.orderBy(F.desc("observed_weight"), "code").limit(min(max(most, 1), 200))
+
+
+#: Families of tags, the first whose beginning fits, and the rest.
+FAMILIES = (("demo.age.", "age"), ("demo.", "other demographics"), ("ctv.genre.", "viewing genre"), ("ctv.channel.", "channel"), ("iab", "interest category"))
+OTHER_FAMILY = "other signals"
+
+
+def tag_insights(profiles: DataFrame, axes: list[str], most: int = 12) -> DataFrame:
+    """``family, family_tags, family_mentions, code, n, share, confidence, rank`` and the mean axes: the
+    ``most`` (3 to 30) commonest tags of each family, their share of all profiles that have tags
+    in percent, and what profiles with the tag score. ``profiles`` have ``codes``, axes and
+    ``confidence``; missing scores count as 0. All profiles count, not a sample of them."""
+    tagged = profiles.where(F.size("codes") > 0)
+    family = F.coalesce(*[F.when(F.startswith("code", F.lit(p)), f) for p, f in FAMILIES], F.lit(OTHER_FAMILY))
+    rows = tagged.select(F.explode("codes").alias("code"), *axes, "confidence").withColumn("family", family)
+    per = rows.groupBy("family", "code").agg(F.count("*").alias("n"), *[F.round(F.avg(F.coalesce(a, F.lit(0.0))), 1).alias(a) for a in axes], F.round(F.coalesce(F.avg("confidence"), F.lit(0.0)), 3).alias("confidence"))
+    w = Window.partitionBy("family")
+    ranked = per.withColumns({"family_tags": F.count("*").over(w), "family_mentions": F.sum("n").over(w), "rank": F.row_number().over(w.orderBy(F.desc("n"), "code"))})
+    total = tagged.agg(F.count("*").alias("total"))  # one row
+    out = ranked.where(F.col("rank") <= min(max(most, 3), 30)).crossJoin(F.broadcast(total))
+    return out.withColumn("share", F.round(F.col("n") / F.col("total") * 100, 1)).drop("total")

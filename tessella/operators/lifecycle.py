@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.sources.delivery import activation_id
+
 
 def claim(queue: DataFrame, as_of: str, most: int, stale_minutes: int = 5) -> DataFrame:
     """``job_id, attempts``: jobs to work on next: first those claimed too long ago, by that time,
@@ -146,3 +148,63 @@ def sweep_candidates(sources: DataFrame, as_of: str, after: object | None = None
     rows = sources.where(F.col("has_vector") & old)
     rows = rows if after is None else rows.where(F.col("source_id") > F.lit(after))
     return rows.orderBy("source_id").limit(min(max(most, 1), 500))
+
+
+#: Sweeps that are under way.
+ACTIVE = ("running", "paused")
+
+
+def rescore_pending(analyses: DataFrame, sources: DataFrame, as_of: str, hours: int = 24) -> DataFrame:
+    """One row, ``sources_with_vector, text_only_with_vector, pending``: analyses grounded by text only
+    whose source has a vector, and those of them not checked in the last ``hours``."""
+    known = sources.where("has_vector").select("source_id", "checked_at")
+    rows = analyses.where(F.coalesce("grounding_level", F.lit("text-only")) == "text-only").join(known, "source_id")
+    old = F.coalesce(F.col("checked_at") < F.to_timestamp(F.lit(as_of)) - F.expr(f"interval {max(int(hours), 1)} hours"), F.lit(True))
+    counts = rows.agg(F.count("*").alias("text_only_with_vector"), F.count_if(old).alias("pending"))
+    return known.agg(F.count("*").alias("sources_with_vector")).crossJoin(F.broadcast(counts))
+
+
+def _fresh_sweep(sweeps: DataFrame, at: str, batch: int, note: str | None) -> DataFrame:
+    last = sweeps.agg(F.coalesce(F.max("sweep_id"), F.lit(0)).alias("m"))  # one row
+    return last.select((F.col("m") + 1).cast("long").alias("sweep_id"), F.lit("running").alias("status"), F.lit(batch).alias("batch_size"), F.lit(note).cast("string").alias("note"), F.to_timestamp(F.lit(at)).alias("updated_at"))
+
+
+def controlled_sweeps(sweeps: DataFrame, action: str, at: str, batch: int = 100) -> DataFrame:
+    """The sweeps (``sweep_id, status, batch_size, note, updated_at``) after ``start`` (go on with what
+    is under way, else begin one), ``restart`` (end that and begin one) or ``pause``."""
+    size, now, active = min(max(batch, 1), 500), F.to_timestamp(F.lit(at)), F.col("status").isin(*ACTIVE)
+    fresh = _fresh_sweep(sweeps, at, size, None)
+    if action == "start":
+        changed = sweeps.withColumns({"status": F.when(active, "running").otherwise(F.col("status")), "batch_size": F.when(active, size).otherwise(F.col("batch_size")), "note": F.when(~active, F.col("note")), "updated_at": F.when(active, now).otherwise(F.col("updated_at"))})
+        none = sweeps.agg(F.coalesce(F.bool_or(active), F.lit(False)).alias("any")).where("NOT any")
+        return changed.unionByName(fresh.crossJoin(F.broadcast(none)).drop("any"))
+    if action == "restart":
+        ended = sweeps.withColumns({"updated_at": F.when(active, now).otherwise(F.col("updated_at")), "status": F.when(active, "done").otherwise(F.col("status"))})
+        return ended.unionByName(fresh)
+    if action == "pause":
+        runs = F.col("status") == "running"
+        return sweeps.withColumns({"updated_at": F.when(runs, now).otherwise(F.col("updated_at")), "status": F.when(runs, "paused").otherwise(F.col("status"))})
+    raise ValueError(f"unknown action: {action}")
+
+
+def autostarted_sweeps(sweeps: DataFrame, pending: DataFrame, at: str) -> DataFrame:
+    """The sweeps, and a new one of batches of 200 where none is under way and ``pending`` (its one
+    row) says that there is work."""
+    idle = sweeps.agg((~F.coalesce(F.bool_or(F.col("status").isin(*ACTIVE)), F.lit(False))).alias("idle")).crossJoin(F.broadcast(pending.select("pending"))).where("idle AND pending > 0")
+    fresh = _fresh_sweep(sweeps, at, 200, "auto-started for newly grounded audiences")
+    return sweeps.unionByName(fresh.crossJoin(F.broadcast(idle)).drop("idle", "pending"))
+
+
+def sweep_status(sweeps: DataFrame, pending: DataFrame) -> DataFrame:
+    """The sweep under way, else the one that changed last, with the counts of ``rescore_pending``;
+    one row, with nulls for the sweep where there is none."""
+    first = sweeps.orderBy(F.col("status").isin(*ACTIVE).desc(), F.desc("updated_at"), F.desc("sweep_id")).limit(1)
+    return pending.join(F.broadcast(first), F.lit(True), "left")
+
+
+def backfilled_activations(queue: DataFrame, most: int = 200_000, order: str = "id") -> DataFrame:
+    """The queue with the activation that the object key tells in the first ``most`` (1 to 500 000)
+    rows by ``order`` that have none and whose key tells one."""
+    told = activation_id("object_key")
+    todo = queue.where(F.col("activation_id").isNull() & told.isNotNull()).select(F.col(order).alias("__id"), told.alias("__told")).orderBy("__id").limit(min(max(most, 1), 500_000))
+    return queue.join(todo, F.col(order) == F.col("__id"), "left").withColumn("activation_id", F.coalesce("activation_id", "__told")).select(*queue.columns)

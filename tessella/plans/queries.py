@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import scalars as S
 from tessella.operators import audience, insights, learning, lifecycle, profiles, vectors
-from tessella.plans import catalogues, controls, live, records, reports, reports_sql
+from tessella.plans import catalogues, controls, details, live, records, reports, reports_sql
 from tessella.streaming import ingest
 
 AXES = list(S.AXES)
@@ -206,8 +206,8 @@ ORACLE_SQL: dict[str, str] = {
     "holdout_split": f"SELECT c_custkey, h::BIGINT AS hash, {_FNV(chr(39) + 'spring:' + chr(39) + ' || c_custkey')} % 1000 < 100 AS holdout, 'SIG-' || " + " || ".join(f"substr('{S.BASE32}', (h // {32**i} % 32)::INT + 1, 1)" for i in range(5, -1, -1)) + f" AS alias FROM (SELECT c_custkey, {_FNV('c_name')} AS h FROM customer)",
 }
 
-QUERIES |= reports.QUERIES | catalogues.QUERIES | controls.QUERIES | live.QUERIES | records.QUERIES
-ORACLE_SQL |= reports_sql.ORACLE_SQL | catalogues.ORACLE_SQL | controls.ORACLE_SQL | live.ORACLE_SQL | records.ORACLE_SQL
+QUERIES |= reports.QUERIES | catalogues.QUERIES | controls.QUERIES | live.QUERIES | records.QUERIES | details.QUERIES
+ORACLE_SQL |= reports_sql.ORACLE_SQL | catalogues.ORACLE_SQL | controls.ORACLE_SQL | live.ORACLE_SQL | records.ORACLE_SQL | details.ORACLE_SQL
 #: Other ways to the same rows.
 ORACLE_SQL |= {"indexed_neighbours": ORACLE_SQL["knn_cosine"], "streamed_beacons": ORACLE_SQL["beacons"]}
 _SLUG = "'cohort-' || CASE WHEN cohort < 26 THEN chr(97 + cohort::INT) ELSE (cohort + 1)::VARCHAR END"
