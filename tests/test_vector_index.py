@@ -85,3 +85,19 @@ def test_odd_vectors(spark):
     assert index_of.search_index(index, base.limit(0)).count() == 0
     zeros = index_of.build_index(frame(spark, [[0, 0], [0, 0]]))
     assert zeros.n == 2 and index_of.search_index(zeros, base.where("vec_id = 1"), exact=True).count() == 1
+
+
+def test_tables_of_a_block_go(spark, table):
+    from pathlib import Path
+
+    from tessella.functions.storage import numbered, scratch
+
+    base, asked, index = table
+    root = Path(index.path).parent
+    before = set(root.iterdir())
+    with scratch(spark):
+        found = index_of.search_index(index, asked, probes=2, exact=True).count()
+        assert set(root.iterdir()) > before and found == 400
+        places = [r.place for r in numbered(base.select("vec_id"), [F.desc("vec_id")], "place").orderBy(F.desc("vec_id")).collect()]
+        assert places == list(range(2000))
+    assert set(root.iterdir()) == before
