@@ -49,34 +49,40 @@ def _list(v: Column, path: str = "$") -> Column:
     return F.try_variant_get(v, path, "array<variant>")
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _text(v: Column) -> Column:
     """A scalar as trimmed text, an array's elements joined; empty for nulls and objects."""
     of = lambda x: F.coalesce(F.try_variant_get(x, "$", "string"), F.lit("null"))
-    joined = F.array_join(F.transform(_list(v), of), " | ")
     plain = F.when(_object(v).isNull(), F.try_variant_get(v, "$", "string"))
-    return F.trim(F.coalesce(F.when(_list(v).isNotNull(), joined), plain, F.lit("")))
+    return F.trim(_let(_list(v), lambda many: F.coalesce(F.when(many.isNotNull(), F.array_join(F.transform(many, of), " | ")).otherwise(plain), F.lit(""))))
 
 
-def records_of(payload: Column) -> Column:
-    """The records of a JSON text, as variants: the objects of the array that it or its ``data`` is
-    or has under one of ``COLLECTIONS``, else that object itself; none for other texts."""
-    v = F.try_parse_json(payload)
-    inner = F.try_variant_get(v, "$.data", "variant")
-    data = F.when(inner.isNotNull() & ~F.is_variant_null(inner), inner).otherwise(v)
-    found = F.coalesce(_list(data), *[_list(data, f"$.{c}") for c in COLLECTIONS], F.array(data))
-    return F.filter(found, lambda x: _object(x).isNotNull())
+def with_records(df: DataFrame, payload: str, name: str) -> DataFrame:
+    """``df`` with the records of a JSON text, as an array of variants: the objects of the array that
+    it or its ``data`` is or has under one of ``COLLECTIONS``, else that object itself; none for
+    other texts. Texts are parsed once."""
+    inner = lambda v: F.try_variant_get(v, "$.data", "variant")
+    parsed = df.withColumn("__v", F.try_parse_json(payload))
+    parsed = parsed.withColumn("__v", _let(inner(F.col("__v")), lambda x: F.when(x.isNotNull() & ~F.is_variant_null(x), x).otherwise(F.col("__v"))))
+    found = F.coalesce(_list(F.col("__v")), *[_list(F.col("__v"), f"$.{c}") for c in COLLECTIONS], F.array("__v"))
+    return parsed.withColumn(name, F.filter(found, lambda x: _object(x).isNotNull())).drop("__v")
 
 
 def _deeper(fields: Column) -> Column:
     """Fields (``name, value``) with each object replaced by its fields, under dotted names."""
-    inside = lambda f: F.transform(F.map_entries(_object(f["value"])), lambda e: F.struct(F.concat(f["name"], F.lit("."), e["key"]).alias("name"), e["value"].alias("value")))
-    return F.flatten(F.transform(fields, lambda f: F.when(_object(f["value"]).isNotNull(), inside(f)).otherwise(F.array(F.struct(f["name"].alias("name"), f["value"].alias("value"))))))
+    own = lambda f: F.array(F.struct(f["name"].alias("name"), f["value"].alias("value")))
+    inside = lambda f, m: F.transform(F.map_entries(m), lambda e: F.struct(F.concat(f["name"], F.lit("."), e["key"]).alias("name"), e["value"].alias("value")))
+    return F.flatten(F.transform(fields, lambda f: _let(_object(f["value"]), lambda m: F.when(m.isNotNull(), inside(f, m)).otherwise(own(f)))))
 
 
 def flattened(df: DataFrame, key: str, payload: str = "payload") -> DataFrame:
     """``key, record, name, text``: every field of every record, those of objects down to the third
     level under dotted names, as text; empty ones and deeper objects are left out."""
-    rows = df.select(key, F.posexplode(records_of(F.col(payload))).alias("record", "row"))
+    rows = with_records(df.select(key, payload), payload, "__rows").select(key, F.posexplode("__rows").alias("record", "row"))
     top = F.transform(F.map_entries(_object(F.col("row"))), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("value")))
     rows = rows.select(key, "record", F.explode(_deeper(_deeper(top))).alias("f"))
     return rows.select(key, "record", F.col("f")["name"].alias("name"), _text(F.col("f")["value"]).alias("text")).where("text <> ''")
@@ -102,7 +108,7 @@ def insights(df: DataFrame, key: str, payload: str = "payload", fields: Sequence
     ``<axis>_tilt``: each signal moves them by the rules that fit its label, by its weight, over
     half the number of signals that any rule fits. ``unmapped`` counts those that none does,
     audiences aside. A key whose text is no JSON or has no record has zeros and 50s."""
-    per = df.groupBy(key).agg(F.sum(F.size(records_of(F.col(payload)))).alias("records"))
+    per = with_records(df.select(key, payload), payload, "__rows").groupBy(key).agg(F.sum(F.size("__rows")).alias("records"))
     own = signals(df, key, payload, fields)
     fits = [F.col("label").rlike(f"(?i){p}") for p, _ in tilts]
     hit = F.greatest(*[f.cast("int") for f in fits]) if len(fits) > 1 else fits[0].cast("int")

@@ -66,7 +66,7 @@ def _pretty(s: SparkSession, d: str) -> DataFrame:
 
 
 def _divergence(s: SparkSession, d: str) -> DataFrame:
-    own = profiles(s, d).select("user_id", *[F.round(a, 2).alias(a) for a in AXES])
+    own = profiles(s, d).select("user_id", *AXES)
     return algebra.divergence(own, own.select("user_id", *[(F.col("user_id") * (i + 2) % 80).cast("double").alias(a) for i, a in enumerate(AXES)]), "user_id")
 
 
@@ -79,10 +79,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "music_shares": _music,
     "pretty_tags": _pretty,
     "axis_divergence": _divergence,
-    "trail_means": lambda s, d: algebra.trail_means(analyses(s, d), "user_id").select("user_id", *[F.round(a, 4).alias(a) for a in AXES]),
+    "trail_means": lambda s, d: algebra.trail_means(analyses(s, d), "user_id").select("user_id", *[F.round(a, 9).alias(a) for a in AXES]),
 }
 
-_PAIRS = f"(SELECT user_id, unnest({AXES}) AS axis, unnest(range(6)) AS i, unnest([{', '.join(f'round(abs(round({a}, 2) - user_id * {i + 2} % 80), 9)' for i, a in enumerate(AXES))}]) AS delta FROM {P})"
+_PAIRS = f"(SELECT user_id, unnest({AXES}) AS axis, unnest(range(6)) AS i, unnest([{', '.join(f'round(abs({a} - user_id * {i + 2} % 80), 9)' for i, a in enumerate(AXES))}]) AS delta FROM {P})"
 _GAPS = """p AS (SELECT *, lower(p_type || '.' || p_brand) AS code FROM part), n AS (SELECT code, min(p_name) AS label FROM p GROUP BY 1 HAVING max(p_size) <= 49 AND min(p_size) >= 3 AND NOT starts_with(code, 'promo')),
   g AS (SELECT code, any_value(n.label) AS label, split_part(code, '.', 1) AS branch, count(DISTINCT l_suppkey) AS observed_sources, round(sum(l_quantity), 3) AS observed_weight, contains(code, '#1') AS queued FROM lineitem JOIN p ON l_partkey = p_partkey JOIN n USING (code) GROUP BY code)"""
 _OLD = "(SELECT o_orderkey AS source_id, o_orderkey % 4 = 0 OR o_orderdate < TIMESTAMP '1997-06-01' AS old FROM orders WHERE o_orderkey % 5 > 0 AND o_orderkey % 3 <> 1)"
@@ -101,5 +101,5 @@ ORACLE_SQL: dict[str, str] = {
     "music_shares": "WITH t AS (SELECT p_size, p_partkey % 4 AS k, greatest(0, p_partkey % 10 / 10 - 0.2) AS w FROM part), s AS (SELECT p_size, sum(CASE WHEN k IN (0, 2) THEN w ELSE 0 END) AS m, sum(CASE WHEN k IN (1, 2) THEN w ELSE 0 END) AS v FROM t GROUP BY 1) SELECT p_size, CASE WHEN m + v > 0 THEN round(m / (m + v), 4) END AS musical FROM s",
     "pretty_tags": "SELECT c_custkey, (['' || c_custkey || '+', c_custkey || ' 99', 'income.low ' || c_custkey, 'sci fi ' || c_custkey, 'IAB iab1 ' || c_custkey, 'x.y ' || c_custkey])[c_custkey % 6 + 1] AS pretty, (['' || c_custkey, c_custkey || ' 99', 'low ' || c_custkey, 'sci fi  ' || c_custkey, 'iab1 ' || c_custkey, 'y ' || c_custkey])[c_custkey % 6 + 1] AS leaf FROM customer",
     "axis_divergence": f"SELECT user_id, axis, delta, r <= 3 AND delta >= 8 AS divergent, floor(greatest(0, least(1, 1 - total / 6 / 100)) * 100 + 0.5) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY delta DESC, i) AS r, sum(delta) OVER (PARTITION BY user_id) AS total FROM {_PAIRS})",
-    "trail_means": f"SELECT user_id, {', '.join(f'round(avg({a}), 4) AS {a}' for a in AXES)} FROM {A} GROUP BY 1",
+    "trail_means": f"SELECT user_id, {', '.join(f'round(avg({a}), 9) AS {a}' for a in AXES)} FROM {A} GROUP BY 1",
 }
