@@ -255,3 +255,18 @@ def search_index(index: VectorIndex | None, queries: DataFrame, k: int = 10, pro
     left = asked.join(worst, F.col("i") == F.col("q"), "left").select("i", "v", "kth")
     more = _compare(index, left.select("i", "v", _further_lists(index, probes).alias("lists")).where(F.size("lists") > 0), k)
     return _ranked(found.drop("rank").unionByName(more), k)
+
+
+def probes_for(index: VectorIndex, queries: DataFrame, target: float = 0.9, k: int = 10, sample: int = 256, id_col: str = "vec_id", vector: str = "embedding") -> int:
+    """The least number of probes at which searches like ``queries`` find ``target`` of the true ``k``
+    neighbours: measured by exact searches of ``sample`` queries at most, drawn by hash, whose
+    neighbours' lists come to the driver."""
+    some = fitting(queries, vector, index.dim).orderBy(F.xxhash64(id_col), id_col).limit(sample)
+    asked = {r.i: np.array(r.v) for r in _rows(some, id_col, vector, index.dim).collect()}
+    true = search_index(index, some, k, exact=True, id_col=id_col, vector=vector).select("query_id", "neighbour_id")
+    homes = some.sparkSession.read.parquet(f"{index.path}/vectors").select(F.col("i").alias("neighbour_id"), "list")
+    has = index.members > 0
+    lists, centres = index.lists[has], index.centres[has]
+    place = {q: {int(n): at for at, n in enumerate(lists[np.argsort(-(centres @ v), kind="stable")])} for q, v in asked.items()}
+    needed = sorted(place[r.query_id][r.list] + 1 for r in true.join(homes, "neighbour_id").collect())
+    return needed[max(0, int(np.ceil(target * len(needed))) - 1)] if needed else 1

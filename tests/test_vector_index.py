@@ -42,6 +42,16 @@ def test_recall_grows_with_probes_up_to_exact(spark, table):
     assert pairs(index_of.search_index(index, asked, probes=2, exact=True)) == true
 
 
+def test_probes_reach_the_recall_that_is_asked_for(spark, table):
+    base, asked, index = table
+    other = base.where("vec_id % 50 = 7")
+    probes = index_of.probes_for(index, other, 0.95)
+    assert 16 < probes < len(index.lists)
+    true = {(r.query_id, r.neighbour_id) for r in knn_cosine(base, asked).collect()}
+    found = {(r.query_id, r.neighbour_id) for r in index_of.search_index(index, asked, probes=probes).collect()}
+    assert len(true & found) / len(true) >= 0.9
+
+
 def test_recall_of_clustered_vectors_at_few_probes(spark):
     rng = np.random.default_rng(3)
     centres = rng.standard_normal((60, 24))
