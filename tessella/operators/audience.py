@@ -27,18 +27,23 @@ ARCHETYPES = {
 
 def fit_histogram(profiles: DataFrame, target: dict[str, float], weights: dict[str, float] | None = None, boosted: DataFrame | None = None, boost: float = 0.15) -> DataFrame:
     """``bucket, users``: users by fit, in a hundred buckets from 1; a fit of 1 is in bucket 101."""
+    # A fit that is rounded before may pass into the next bucket.
     bucket = F.least(F.floor(F.round(F.col("fit") * 100, 6)), F.lit(100)).cast("int") + 1
-    return fitted(profiles, target, weights, boosted, boost).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("users"))
+    return _unrounded(profiles, target, weights, boosted, boost).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("users"))
 
 
 def fitted(profiles: DataFrame, target: dict[str, float], weights: dict[str, float] | None = None, boosted: DataFrame | None = None, boost: float = 0.15) -> DataFrame:
     """``profiles`` with ``fit`` to the target under ``weights`` (1 where missing); users of
     ``boosted`` (``user_id``), as those whose sound is near, get ``boost`` (up to 0.5) on top."""
+    return _unrounded(profiles, target, weights, boosted, boost).withColumn("fit", F.round("fit", 6))
+
+
+def _unrounded(profiles: DataFrame, target: dict[str, float], weights: dict[str, float] | None, boosted: DataFrame | None, boost: float) -> DataFrame:
     if boosted is None:
-        return profiles.withColumn("fit", F.round(fit_to(target, weights), 6))
+        return profiles.withColumn("fit", fit_to(target, weights))
     near = boosted.select("user_id").distinct().withColumn("__near", F.lit(True))
     raised = clamp(fit_to(target, weights) + F.when(F.col("__near"), min(max(boost, 0.0), 0.5)).otherwise(0.0), 0.0, 1.0)
-    return profiles.join(near, "user_id", "left").withColumn("fit", F.round(raised, 6)).drop("__near")
+    return profiles.join(near, "user_id", "left").withColumn("fit", raised).drop("__near")
 
 
 def best_fits(profiles: DataFrame, target: dict[str, float], most: int, weights: dict[str, float] | None = None, boosted: DataFrame | None = None, boost: float = 0.15) -> DataFrame:
