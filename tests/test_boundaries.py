@@ -17,3 +17,8 @@ def test_a_fit_just_below_a_bucket_stays_below(spark):
     # 98.99999 and 99 of a hundred.
     found = audience.fit_histogram(_off_by(spark, 6.00006, 6.0), TARGET)
     assert {r.bucket: r.users for r in found.collect()} == {99: 1, 100: 1}
+
+
+def test_reach_curve_counts_no_fit_just_below_a_threshold(spark):
+    found = audience.reach_curve(audience.fit_histogram(_off_by(spark, 12.0, 6.00006, 6.0), TARGET))
+    assert {r.threshold: r.reach for r in found.collect()} == {99: 3, 100: 1}
