@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.scalars import AXES, clamp, logistic_percentile
+from tessella.functions.scalars import AXES, clamp, exact_mean, logistic_percentile
 
 #: Event types behind the first five axes; the sixth takes all events.
 AXIS_EVENTS = ("error", "click", "purchase", "view", "signup")
@@ -33,9 +33,9 @@ def top_tags(rollup: DataFrame, most: int = 64) -> DataFrame:
 def axis_profiles(events: DataFrame) -> DataFrame:
     """``user_id``, the six axes (0 to 100, null without events of the kind), ``confidence``, ``n``."""
     cap = lambda c: F.least(F.lit(100.0), c)
-    axes = [cap(F.avg(F.when(F.col("event_type") == e, F.col("value")))).alias(a) for a, e in zip(AXES, AXIS_EVENTS)]
+    axes = [cap(exact_mean(F.when(F.col("event_type") == e, F.col("value")))).alias(a) for a, e in zip(AXES, AXIS_EVENTS)]
     n = F.count("*")
-    return events.groupBy("user_id").agg(*axes, cap(F.avg("value")).alias(AXES[-1]), F.least(F.lit(1.0), n / 100).alias("confidence"), n.alias("n"))
+    return events.groupBy("user_id").agg(*axes, cap(exact_mean("value")).alias(AXES[-1]), F.least(F.lit(1.0), n / 100).alias("confidence"), n.alias("n"))
 
 
 def filled(profiles: DataFrame, default: float = 50.0) -> DataFrame:

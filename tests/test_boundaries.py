@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from tessella.functions.scalars import AXES
-from tessella.operators import audience
+from itertools import permutations
+
+from tessella.functions.scalars import AXES, exact_mean
+from tessella.operators import audience, profiles
 
 TARGET = dict.fromkeys(AXES, 50.0)
+#: Their means are 50 and 48.2; sums of doubles in most of their orders are less.
+FIFTY = (40.69, 54.98, 53.91, 40.16, 60.26)
+TIED = (93.96, 43.75, 46.68, 20.38, 36.23)
 
 
 def _off_by(spark, *distances):
@@ -22,3 +27,20 @@ def test_a_fit_just_below_a_bucket_stays_below(spark):
 def test_reach_curve_counts_no_fit_just_below_a_threshold(spark):
     found = audience.reach_curve(audience.fit_histogram(_off_by(spark, 12.0, 6.00006, 6.0), TARGET))
     assert {r.threshold: r.reach for r in found.collect()} == {99: 3, 100: 1}
+
+
+def _in_all_orders(spark, values, kind):
+    """Events of users that have the same values in all orders."""
+    rows = [(u, kind, v) for u, p in enumerate(permutations(values)) for v in p]
+    return spark.createDataFrame(rows, "user_id long, event_type string, value double").coalesce(1)
+
+
+def test_bins_do_not_depend_on_the_order_of_sums(spark):
+    found = profiles.axis_histogram(profiles.axis_profiles(_in_all_orders(spark, FIFTY, "error")))
+    assert [(r.axis, r.bin, r.n) for r in found.where("axis in ('artistic', 'emotional')").orderBy("axis").collect()] == [("artistic", 5, 120), ("emotional", 5, 120)]
+
+
+def test_means_of_other_numbers_are_those_of_doubles(spark):
+    rows = [("a", 1 / 3), ("a", 2 / 3), ("b", 1e300), ("b", None), ("c", float("inf")), ("c", 1.0), ("d", None), ("e", 0.25), ("e", None)]
+    found = spark.createDataFrame(rows, "k string, v double").groupBy("k").agg(exact_mean("v").alias("m"))
+    assert {r.k: r.m for r in found.collect()} == {"a": 0.5, "b": 1e300, "c": float("inf"), "d": None, "e": 0.25}
