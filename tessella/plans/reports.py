@@ -33,8 +33,8 @@ def _rounded(df: DataFrame, *names: str, digits: int = 4) -> DataFrame:
 
 def _profile_of(events: DataFrame, *keys) -> DataFrame:
     cap = lambda c: F.coalesce(F.least(F.lit(100.0), c), F.lit(50.0))
-    axes = [cap(F.avg(F.when(F.col("event_type") == e, F.col("value")))).alias(a) for a, e in zip(AXES, AXIS_EVENTS)]
-    return events.groupBy(*keys).agg(*axes, cap(F.avg("value")).alias(AXES[-1]), F.count("*").alias("n"))
+    axes = [cap(S.exact_mean(F.when(F.col("event_type") == e, F.col("value")))).alias(a) for a, e in zip(AXES, AXIS_EVENTS)]
+    return events.groupBy(*keys).agg(*axes, cap(S.exact_mean("value")).alias(AXES[-1]), F.count("*").alias("n"))
 
 
 def profiles(s: SparkSession, d: str) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from itertools import permutations
 
 from tessella.functions.scalars import AXES, exact_mean
-from tessella.operators import audience, profiles
+from tessella.operators import audience, dashboards, profiles
+from tessella.plans import reports
 
 TARGET = dict.fromkeys(AXES, 50.0)
 #: Their means are 50 and 48.2; sums of doubles in most of their orders are less.
@@ -44,3 +45,8 @@ def test_means_of_other_numbers_are_those_of_doubles(spark):
     rows = [("a", 1 / 3), ("a", 2 / 3), ("b", 1e300), ("b", None), ("c", float("inf")), ("c", 1.0), ("d", None), ("e", 0.25), ("e", None)]
     found = spark.createDataFrame(rows, "k string, v double").groupBy("k").agg(exact_mean("v").alias("m"))
     assert {r.k: r.m for r in found.collect()} == {"a": 0.5, "b": 1e300, "c": float("inf"), "d": None, "e": 0.25}
+
+
+def test_bins_of_a_population_do_not_depend_on_the_order_of_sums(spark):
+    found = dashboards.population(reports._profile_of(_in_all_orders(spark, FIFTY, "error"), "user_id"))
+    assert {r.axis: (r.mean, r.bins) for r in found.collect()}["emotional"] == (50.0, "0,0,0,0,0,120,0,0,0,0")
