@@ -145,14 +145,14 @@ def _feedback(s: SparkSession, d: str) -> DataFrame:
 
 def _market(s: SparkSession, d: str) -> DataFrame:
     e = load(s, d, "events")
-    live = e.groupBy(F.col("event_type").alias("metric")).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.count("*").alias("sample"))
+    live = e.groupBy(F.col("event_type").alias("metric")).agg(S.exact_mean("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.count("*").alias("sample"))
     live = live.where("metric <> 'view'").select("metric", F.lit("live").alias("basis"), "mean", "sd", "sample")
     fixed = e.select(F.col("event_type").alias("metric")).distinct().select("metric", F.lit("published").alias("basis"), F.lit(40.0).alias("mean"), F.lit(20.0).alias("sd"), F.lit(10).cast("long").alias("sample"))
     return live.unionByName(fixed)
 
 
 def _tracks(s: SparkSession, d: str) -> DataFrame:
-    return load(s, d, "events").groupBy(F.col("user_id").alias("track"), F.col("event_type").alias("metric")).agg(F.avg("value").alias("value"))
+    return load(s, d, "events").groupBy(F.col("user_id").alias("track"), F.col("event_type").alias("metric")).agg(S.exact_mean("value").alias("value"))
 
 
 METRIC_WEIGHTS = dict(zip(("error", "click", "purchase", "view", "signup"), (0.3, 0.25, 0.2, 0.15, 0.1)))

@@ -50,3 +50,9 @@ def test_means_of_other_numbers_are_those_of_doubles(spark):
 def test_bins_of_a_population_do_not_depend_on_the_order_of_sums(spark):
     found = dashboards.population(reports._profile_of(_in_all_orders(spark, FIFTY, "error"), "user_id"))
     assert {r.axis: (r.mean, r.bins) for r in found.collect()}["emotional"] == (50.0, "0,0,0,0,0,120,0,0,0,0")
+
+
+def test_tied_tracks_stand_alike_in_a_market(spark, tmp_path):
+    _in_all_orders(spark, TIED, "view").write.parquet(f"{tmp_path}/events.parquet")
+    found = reports.QUERIES["market_metrics"](spark, str(tmp_path)).groupBy("z", "percentile", "distinctiveness", "basis").count().collect()
+    assert [tuple(r) for r in found] == [(0.41, 66, 21, "published", 120)]
