@@ -82,10 +82,22 @@ def _deeper(fields: Column) -> Column:
 def flattened(df: DataFrame, key: str, payload: str = "payload") -> DataFrame:
     """``key, record, name, text``: every field of every record, those of objects down to the third
     level under dotted names, as text; empty ones and deeper objects are left out."""
-    rows = with_records(df.select(key, payload), payload, "__rows").select(key, F.posexplode("__rows").alias("record", "row"))
+    return _told(_fields(df, key, payload))
+
+
+def _fields(df: DataFrame, key: str, payload: str) -> DataFrame:
+    """``key, record, name, value`` of every field. Outer generators, as Spark puts the generated
+    array of others into a filter before them and works it out again for that."""
+    rows = with_records(df.select(key, payload), payload, "__rows").select(key, F.posexplode_outer("__rows").alias("record", "row"))
     top = F.transform(F.map_entries(_object(F.col("row"))), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("value")))
-    rows = rows.select(key, "record", F.explode(_deeper(_deeper(top))).alias("f"))
-    return rows.select(key, "record", F.col("f")["name"].alias("name"), _text(F.col("f")["value"]).alias("text")).where("text <> ''")
+    rows = rows.select(key, "record", F.explode_outer(_deeper(_deeper(top))).alias("f"))
+    return rows.where("f is not null").select(key, "record", F.col("f")["name"].alias("name"), F.col("f")["value"].alias("value"))
+
+
+def _told(fields: DataFrame) -> DataFrame:
+    """``fields`` with ``text`` for ``value``, without empty ones. Each text is worked out once."""
+    told = fields.withColumn("text", F.explode_outer(F.array(_text(F.col("value")))))
+    return told.where("text <> ''").drop("value")
 
 
 def _kind(name: Column, fields: Sequence[tuple[str, str]]) -> Column:
