@@ -33,6 +33,8 @@ CELL, BLOCK = 1 << 14, 1 << 12
 ZEROS = -1
 #: Vectors compared with a block of queries at once.
 TILE = 2048
+#: Entries, about, of a matrix that a task holds: a few of 8 MB each.
+ENTRIES = 1 << 20
 #: What rounding to six digits and doubles may take from a bound.
 SLACK = 2e-6
 
@@ -155,6 +157,16 @@ def add_to_index(index: VectorIndex, rows: DataFrame, id_col: str = "vec_id", ve
     return open_index(spark, index.path)
 
 
+def _rows_at_once(width: int) -> int:
+    return max(1, ENTRIES // max(1, width))
+
+
+def _list_array(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
+    """An array of lists from the sizes and joined entries of its parts."""
+    sizes, entries = (np.concatenate(a) for a in zip(*found))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(entries.astype(np.int32)))
+
+
 def _nearest_lists(index: VectorIndex, probes: int) -> Column:
     """Of a query's vector ``v`` the ``probes`` nearest lists that have members."""
     lists, centres = index.lists[index.members > 0], index.centres[index.members > 0]
@@ -164,8 +176,11 @@ def _nearest_lists(index: VectorIndex, probes: int) -> Column:
         if not len(v):
             return pa.array([], pa.list_(pa.int32()))
         x = v.flatten().to_numpy().reshape(len(v), index.dim)
-        order = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :probes]
-        return pa.array(lists[order].astype(np.int32).tolist(), pa.list_(pa.int32()))
+        found, step = [], _rows_at_once(len(lists))
+        for at in range(0, len(x), step):
+            order = np.argsort(-(x[at : at + step] @ centres.T), axis=1, kind="stable")[:, :probes]
+            found.append((np.full(len(order), order.shape[1]), lists[order].ravel()))
+        return _list_array(found)
 
     return nearest("v")
 
@@ -181,18 +196,36 @@ def _further_lists(index: VectorIndex, probes: int) -> Column:
         if not len(v):
             return pa.array([], pa.list_(pa.int32()))
         x = v.flatten().to_numpy().reshape(len(v), index.dim)
-        s = x @ centres.T
-        bound = np.cos(np.maximum(0.0, np.arccos(np.clip(s, -1, 1)) - radius - 1e-7))
-        bound[:, lists == ZEROS] = 0.0
-        bound[~x.any(axis=1)] = 0.0
         least = np.array([-2.0 if t is None else t for t in kth.to_pylist()])
-        may = bound + SLACK >= least[:, None]
-        np.put_along_axis(may, np.argsort(-s, axis=1, kind="stable")[:, :probes], False, axis=1)
-        return pa.array([lists[m].astype(np.int32).tolist() for m in may], pa.list_(pa.int32()))
+        found, step = [], _rows_at_once(len(lists))
+        for at in range(0, len(x), step):
+            part = x[at : at + step]
+            s = part @ centres.T
+            bound = np.cos(np.maximum(0.0, np.arccos(np.clip(s, -1, 1)) - radius - 1e-7))
+            bound[:, lists == ZEROS] = 0.0
+            bound[~part.any(axis=1)] = 0.0
+            may = bound + SLACK >= least[at : at + step, None]
+            np.put_along_axis(may, np.argsort(-s, axis=1, kind="stable")[:, :probes], False, axis=1)
+            found.append((may.sum(axis=1), lists[np.nonzero(may)[1]]))
+        return _list_array(found)
 
     return further("v", "kth")
 
 
+def _best(own: np.ndarray, matrix: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, neighbour and similarity of the best ``k`` of ``x`` for each row of ``matrix``."""
+    top_s, top_i = np.empty((len(own), 0)), np.empty((len(own), 0), np.int64)
+    for at in range(0, len(ids), TILE):
+        i = ids[at : at + TILE]
+        s = np.round(matrix @ x[at : at + TILE].T, 6)
+        s[own[:, None] == i[None, :]] = -np.inf
+        s, j = np.hstack([top_s, s]), np.hstack([top_i, np.broadcast_to(i, s.shape)])
+        keep = np.lexsort((j, -s), axis=1)[:, :k]
+        top_s, top_i = np.take_along_axis(s, keep, 1), np.take_along_axis(j, keep, 1)
+    found = np.isfinite(top_s.ravel())
+    return np.repeat(own, top_s.shape[1])[found], top_i.ravel()[found], top_s.ravel()[found]
+
+
 def _compare(index: VectorIndex, asked: DataFrame, k: int) -> DataFrame:
     """``query_id, neighbour_id, similarity``: of each query (``i, v, lists``) the best ``k`` of each
     cell of its lists. Cells and blocks of queries meet by list; both are bounded."""
@@ -210,16 +243,10 @@ def _compare(index: VectorIndex, asked: DataFrame, k: int) -> DataFrame:
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
         own, ids = left.column("query_id").to_numpy(), right.column("i").to_numpy()
         matrix, x = (t.column("v").combine_chunks().flatten().to_numpy().reshape(t.num_rows, index.dim) for t in (left, right))
-        top_s, top_i = np.empty((len(own), 0)), np.empty((len(own), 0), np.int64)
-        for at in range(0, len(ids), TILE):
-            i = ids[at : at + TILE]
-            s = np.round(matrix @ x[at : at + TILE].T, 6)
-            s[own[:, None] == i[None, :]] = -np.inf
-            s, j = np.hstack([top_s, s]), np.hstack([top_i, np.broadcast_to(i, s.shape)])
-            keep = np.lexsort((j, -s), axis=1)[:, :k]
-            top_s, top_i = np.take_along_axis(s, keep, 1), np.take_along_axis(j, keep, 1)
-        found = np.isfinite(top_s.ravel())
-        return pa.table({"query_id": np.repeat(own, top_s.shape[1])[found], "neighbour_id": top_i.ravel()[found], "similarity": top_s.ravel()[found]})
+        rows = _rows_at_once(min(TILE, max(1, len(ids))))
+        found = [_best(own[at : at + rows], matrix[at : at + rows], ids, x, k) for at in range(0, len(own), rows)]
+        columns = [np.concatenate(a) for a in zip(*found)] if found else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        return pa.table(dict(zip(("query_id", "neighbour_id", "similarity"), columns)))
 
     keys = ["list", "cell", "block"]
     return dealt.groupBy(*keys).cogroup(base.groupBy(*keys)).applyInArrow(best, "query_id long, neighbour_id long, similarity double")
