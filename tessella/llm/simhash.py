@@ -397,7 +397,7 @@ def _verifier(shingle: int, similarity: float):
 
 
 def band_centres(keyed: DataFrame, stars: DataFrame) -> DataFrame:
-    """``key, c``: the member ``(d, size)`` of each band of over three members whose SimHash is
+    """``key, c``: the member ``(d, size, c)`` of each band of over three members whose SimHash is
     nearest to the majority of the band's bits. Texts that gather around one text, near it
     but not near each other, meet there; smaller bands need none, as two members meet all.
     """
@@ -406,9 +406,9 @@ def band_centres(keyed: DataFrame, stars: DataFrame) -> DataFrame:
     counts = large.groupBy("key").agg(F.first("n").alias("n"), *[b.alias(f"b{i}") for i, b in enumerate(bits)])
     majority = sum_of_bits([F.when(F.col(f"b{i}") * 2 > F.col("n"), F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0)) for i in range(64)])
     middles = materialise(counts.select("key", majority.alias("middle")), "middles")
-    centre = F.min(F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("middle"))).alias("off"), "d", "size")).alias("c")
+    centre = F.min(F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("middle"))).alias("off"), "d", "size", "c")).alias("c")
     found = large.join(middles, "key").groupBy("key").agg(centre)
-    return materialise(found.select("key", F.struct("c.d", "c.size").alias("c")), "centres")
+    return materialise(found.select("key", F.struct("c.d", "c.size", "c.c").alias("c")), "centres")
 
 
 def sum_of_bits(parts: list[Column]) -> Column:
@@ -417,49 +417,71 @@ def sum_of_bits(parts: list[Column]) -> Column:
     return parts[0]
 
 
-def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 20, rows: int = 4) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 20, rows: int = 4, radius: int = 2) -> DataFrame:
     """``node, component`` of the documents (id keys) that others of a smaller id repeat or
     nearly repeat: a Jaccard similarity of word shingles of ``similarity`` or more.
 
-    At such a similarity 64-bit SimHashes differ in ten bits and more, where the bounds of a
-    vantage-point tree prune nothing. So texts that share a band of shingle minima are
-    candidates, as links to three members of the band (the first, one by hash and the most
-    central one), never as all pairs; those whose numbers of distinct shingles alone exclude
-    the similarity go, and the exact similarity decides. Texts of bands of over three members
-    that are of several groups after that are compared by ``crowd_candidates``. Equal word
-    sequences are one class and compared once. Texts without words are one class.
+    Equal word sequences are one class and compared once. Texts without words are one class.
+    Then the vantage-point tree links SimHashes within ``radius`` bits, and the exact
+    similarity decides. At a similarity of 0.8 SimHashes differ in ten bits and more, where
+    the bounds of a tree prune nothing. So texts of different groups that share a band of
+    shingle minima are candidates too, as links to three members of the band (the first, one
+    by hash and the most central one), never as all pairs; those whose numbers of distinct
+    shingles alone exclude the similarity go. Texts of bands of over three members that are
+    of several groups after that are compared by ``crowd_candidates``.
     """
     with arrow_rows(docs.sparkSession, ARROW_ROWS):
-        return _groups(docs, shingle, similarity, bands, rows)
+        return _groups(docs, shingle, similarity, bands, rows, radius)
 
 
-def _groups(docs: DataFrame, shingle: int, similarity: float, bands: int, rows: int) -> DataFrame:
-    spark = docs.sparkSession
+def _groups(docs: DataFrame, shingle: int, similarity: float, bands: int, rows: int, radius: int) -> DataFrame:
     base = docs.select(id_key("doc_id").alias("d"), "text")
     signed = materialise(base.mapInArrow(_signer(shingle, bands, rows), "d long, h1 long, h2 long, size long, fp long, bands array<long>"), "signatures")
     unique = signed.groupBy("d").agg(F.count("*").alias("c")).where("c > 1").isEmpty()
     classes = materialise(signed.groupBy("h1", "h2").agg(F.min("d").alias("head"), F.count("*").alias("n")), "classes")
     copies = signed.join(classes.where("n > 1"), ["h1", "h2"]).where("d != head").select(F.col("d").alias("u"), F.col("head").alias("v"))
     heads = signed.select("d", "size", "fp", "bands").join(classes.select(F.col("head").alias("d")), "d")
-    keyed = materialise(heads.select("d", "size", "fp", F.explode("bands").alias("key")).distinct(), "bands")
-    first = F.min(F.struct("d", "size")).alias("a")
-    other = F.min(F.struct(F.xxhash64("d", "key").alias("h"), "d", "size")).alias("b")
-    pairs = materialise(keyed.groupBy("key").agg(first, other, F.count("*").alias("n")).where("n > 1").select("key", "n", "a", F.struct("b.d", "b.size").alias("b")), "stars")
+    links = materialise(tree_candidates(heads, similarity, radius), "candidates")
+    near = materialise(verified(base, links, shingle, similarity, unique).unionByName(copies), "near")
+    groups = materialise(connected_components(near), "groups")
+    # Texts that are one group by now need no further comparison.
+    heads = heads.select("d", "size", "fp", "bands").join(groups.withColumnsRenamed({"node": "d", "component": "c"}), "d", "left")
+    keyed = materialise(heads.select("d", F.coalesce("c", "d").alias("c"), "size", "fp", F.explode("bands").alias("key")).distinct(), "bands")
+    first = F.min(F.struct("d", "size", "c")).alias("a")
+    other = F.min(F.struct(F.xxhash64("d", "key").alias("h"), "d", "size", "c")).alias("b")
+    pairs = materialise(keyed.groupBy("key").agg(first, other, F.count("*").alias("n")).where("n > 1").select("key", "n", "a", F.struct("b.d", "b.size", "b.c").alias("b")), "stars")
     stars = materialise(pairs.join(band_centres(keyed, pairs), "key", "left").select("key", F.array_compact(F.array("a", "b", "c")).alias("s")), "centred")
-    links = keyed.join(stars, "key").select("d", "size", F.explode("s").alias("s")).where("d != s.d")
+    links = keyed.join(stars, "key").select("d", "size", "c", F.explode("s").alias("s")).where("c != s.c")
     links = links.where(F.least("size", "s.size") >= F.lit(similarity) * F.greatest("size", "s.size"))
     links = materialise(links.select(F.least("d", "s.d").alias("u"), F.greatest("d", "s.d").alias("v")).distinct(), "candidates")
-    near = materialise(verified(base, links, shingle, similarity, unique).unionByName(copies), "near")
-    groups = connected_components(near)
+    groups = _merged(groups, materialise(verified(base, links, shingle, similarity, unique), "near"))
     # Bands whose members are one group by now hold no more links between groups.
-    large = keyed.join(pairs.where("n > 3").select("key"), "key").join(groups.withColumnsRenamed({"node": "d", "component": "c"}), "d", "left")
+    large = keyed.drop("c").join(pairs.where("n > 3").select("key"), "key").join(groups.withColumnsRenamed({"node": "d", "component": "c"}), "d", "left")
     large = materialise(large.select("key", "d", F.coalesce("c", "d").alias("c")), "large")
     apart = large.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
     crowd = materialise(large.join(apart, "key").select("d", "c").distinct(), "crowd")
     if crowd.isEmpty():
         return groups
     links = materialise(crowd_candidates(packed_texts(base, crowd).join(crowd, "d"), shingle, similarity), "candidates")
-    more = materialise(verified(base, links, shingle, similarity, unique), "more")
+    return _merged(groups, materialise(verified(base, links, shingle, similarity, unique), "more"))
+
+
+def tree_candidates(heads: DataFrame, similarity: float, radius: int) -> DataFrame:
+    """``u, v`` (u < v): texts (``d, size, fp``) that connect all whose fingerprints lie within
+    ``radius`` bits, without those whose sizes alone exclude the similarity. Texts of one
+    fingerprint are linked to the first of them."""
+    anchors = materialise(heads.groupBy("fp").agg(F.min(F.struct("d", "size")).alias("a")), "anchors")
+    links = materialise(fingerprint_links(anchors.select("fp"), radius), "links")
+    for end in ("u", "v"):
+        links = links.join(anchors.select(F.col("fp").alias(end), F.col("a").alias(f"{end}_a")), end)
+    equal = heads.select("fp", F.struct("d", "size").alias("u_a")).join(anchors.withColumnRenamed("a", "v_a"), "fp").where("u_a.d != v_a.d")
+    both = links.select("u_a", "v_a").unionByName(equal.select("u_a", "v_a"))
+    both = both.where(F.least("u_a.size", "v_a.size") >= F.lit(similarity) * F.greatest("u_a.size", "v_a.size"))
+    return both.where("u_a.d != v_a.d").select(F.least("u_a.d", "v_a.d").alias("u"), F.greatest("u_a.d", "v_a.d").alias("v")).distinct()
+
+
+def _merged(groups: DataFrame, more: DataFrame) -> DataFrame:
+    """``groups`` (``node, component``) joined further by the links ``more`` (``u, v``)."""
     if more.isEmpty():
         return groups
     # The groups so far are the nodes of what is left to connect.
@@ -469,7 +491,7 @@ def _groups(docs: DataFrame, shingle: int, similarity: float, bands: int, rows:
     merged = materialise(connected_components(materialise(more, "more")).toDF("component", "lowest"), "merged")
     named = groups.join(merged, "component", "left").select("node", F.coalesce("lowest", "component").alias("component"))
     alone = merged.select(F.col("component").alias("node"), F.col("lowest").alias("component"))
-    return named.unionByName(alone).distinct()
+    return materialise(named.unionByName(alone).distinct(), "groups")
 
 
 def verified(base: DataFrame, links: DataFrame, shingle: int, similarity: float, unique: bool) -> DataFrame:

@@ -46,3 +46,30 @@ def test_pairs_in_a_crowd(spark):
     alike = [(a, b) for a in range(20) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     assert alike == [(a, a - 1) for a in range(1, 20, 2)]
     assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).select("doc_id").collect()) == list(range(0, 800, 2))
+
+
+def _pairs(rng, n):
+    """Texts of 400 words, each with a copy that has one word more."""
+    texts = [" ".join(f"w{rng.getrandbits(40)}" for _ in range(400)) for _ in range(n)]
+    return [row for i, t in enumerate(texts) for row in ((2 * i, t), (2 * i + 1, f"{t} more"))]
+
+
+def test_the_tree_links_what_no_band_brings_together(spark):
+    rows, keys = _pairs(random.Random(6), 30), []
+    for out in simhash._signer(5, 1, 1000)(iter([pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], ["d", "text"])])):
+        keys += zip((x & (2**64 - 1) for x in out.column("fp").to_pylist()), out.column("bands").to_pylist())
+    near = [i for i in range(0, len(keys), 2) if (keys[i][0] ^ keys[i + 1][0]).bit_count() <= 2]
+    assert sum(keys[i][1] != keys[i + 1][1] for i in near) > 10
+    found = simhash.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string"), bands=1, rows=1000)
+    assert {(i + 1, i) for i in near} <= {(r.node, r.component) for r in found.collect()}
+
+
+def test_similarity_decides_whatever_the_radius(spark):
+    """Links of the tree between unlike texts fall, and the bands find what is left."""
+    rng = random.Random(7)
+    rows = _pairs(rng, 20)
+    rows += [(100 + i, " ".join(f"w{rng.getrandbits(40)}" for _ in range(400))) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for radius in (0, 2, 64):
+        found = {(r.node, r.component) for r in simhash.near_duplicate_groups(docs, radius=radius).where("node != component").collect()}
+        assert found == {(2 * i + 1, 2 * i) for i in range(20)}
