@@ -123,16 +123,32 @@ def originality(df: DataFrame, similarities: str = "similarities") -> DataFrame:
     return df.withColumns({"originality": score, "evidence": S.half_up(F.round(evidence, 9), 3)})
 
 
-def window_features(frames: DataFrame, key: str, at: str, width: str = "5 seconds") -> DataFrame:
+def window_features(frames: DataFrame, key: str, at: str, width: str = "5 seconds", order: str | None = None, places: int = 12) -> DataFrame:
     """``key, start, n, rms, centroid_hz, brightness, chroma`` of tumbling windows of frames: means,
-    the chroma's by place."""
+    the chroma's by place. With ``order`` numbers are added in that order, whatever tasks hold the
+    frames, so equal tables give equal means to the last bit; a chroma has ``places`` then at most."""
     w = F.window(at, width).start.alias("start")
-    base = frames.select(key, w, "rms", "centroid_hz", "chroma")
+    base = frames.select(key, w, "rms", "centroid_hz", "chroma", *([F.col(order).alias("__o")] if order else []))
+    summed = _summed_in_order(base, key, places) if order else _summed(base, key)
+    return summed.select(key, "start", "n", "rms", "centroid_hz", S.clamp(F.col("centroid_hz") / 4000, 0.0, 1.0).alias("brightness"), F.transform(F.coalesce("sums", F.array().cast("array<double>")), lambda x: x / F.col("n")).alias("chroma"))
+
+
+def _summed(base: DataFrame, key: str) -> DataFrame:
     plain = base.groupBy(key, "start").agg(F.count("*").alias("n"), F.avg("rms").alias("rms"), F.avg("centroid_hz").alias("centroid_hz"))
     bins = base.select(key, "start", F.posexplode("chroma").alias("p", "x")).groupBy(key, "start", "p").agg(F.sum("x").alias("x"))
     chroma = bins.groupBy(key, "start").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda s: s["x"]).alias("sums"))
-    joined = plain.join(chroma, [key, "start"], "left")
-    return joined.select(key, "start", "n", "rms", "centroid_hz", S.clamp(F.col("centroid_hz") / 4000, 0.0, 1.0).alias("brightness"), F.transform(F.coalesce("sums", F.array().cast("array<double>")), lambda x: x / F.col("n")).alias("chroma"))
+    return plain.join(chroma, [key, "start"], "left")
+
+
+def _summed_in_order(base: DataFrame, key: str, places: int) -> DataFrame:
+    """Running sums, of which the last row of each window has them all."""
+    window = Window.partitionBy(key, "start").orderBy("__o")
+    run, whole = window.rowsBetween(Window.unboundedPreceding, 0), window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sums = {f"__s{i}": F.sum(F.get("chroma", F.lit(i))).over(run) for i in range(places)}
+    longest = F.max(F.size("chroma")).over(run)
+    rows = base.withColumns({"rms": F.avg("rms").over(run), "centroid_hz": F.avg("centroid_hz").over(run), **sums, "__longest": longest, "n": F.count("*").over(run), "__all": F.count("*").over(whole)}).where("n = __all")
+    fits = F.when(F.col("__longest") > places, F.raise_error(F.lit(f"a chroma has over {places} places"))).otherwise(F.greatest("__longest", F.lit(0)))
+    return rows.withColumn("sums", F.slice(F.array(*sums), F.lit(1), fits))
 
 
 def onsets(flux: DataFrame, key: str, order: str, value: str) -> DataFrame:

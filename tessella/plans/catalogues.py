@@ -86,7 +86,7 @@ def spectra(s: SparkSession, d: str) -> DataFrame:
 
 
 def described(s: SparkSession, d: str) -> DataFrame:
-    rows = audio.window_features(frames(s, d), "user_id", "ts", "1 day").withColumns({a: ((F.col("user_id") * (i + 3)) % 90).cast("double") for i, a in enumerate(AXES)})
+    rows = audio.window_features(frames(s, d), "user_id", "ts", "1 day", order="event_id").withColumns({a: ((F.col("user_id") * (i + 3)) % 90).cast("double") for i, a in enumerate(AXES)})
     return rows.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), audio.described(rows).alias("said"))
 
 
@@ -175,7 +175,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "spectrum_axes": spectra,
     "musical_scores": lambda s, d: audio.musical_scores(measured(s, d), F.when(F.col("vec_id") % 3 == 0, (F.col("vec_id") % 5) / 5)).select("vec_id", "pitch", "rhythm", "timbre", "musicality"),
     "originality": lambda s, d: audio.originality(audio.musical_scores(measured(s, d))).select("vec_id", "originality", "evidence"),
-    "feature_windows": lambda s, d: audio.window_features(frames(s, d), "user_id", "ts", "1 day").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("rms", 6).alias("rms"), F.round("brightness", 6).alias("brightness"), F.round(F.get("chroma", F.lit(3)), 6).alias("chroma3")),
+    "feature_windows": lambda s, d: audio.window_features(frames(s, d), "user_id", "ts", "1 day", order="event_id").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("rms", 6).alias("rms"), F.round("brightness", 6).alias("brightness"), F.round(F.get("chroma", F.lit(3)), 6).alias("chroma3")),
     "flux_onsets": lambda s, d: audio.onsets(frames(s, d), "user_id", "event_id", "value"),
     "recent_trail": lambda s, d: audio.recent_trail(load(s, d, "events").select("user_id", (F.col("event_id") % 700 / 100).alias("t"), F.col("event_id").alias("nth")), "user_id", most=10),
     "profile_versions": lambda s, d: audio.versions(load(s, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.max("event_id").alias("top")), "user_id", "day", ["n", "top"]),

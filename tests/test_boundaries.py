@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import permutations
 
+from pyspark.sql import functions as F
+
 from tessella.functions.scalars import AXES, exact_mean
-from tessella.operators import audience, dashboards, profiles
+from tessella.operators import audience, audio, dashboards, profiles
 from tessella.plans import reports
 
 TARGET = dict.fromkeys(AXES, 50.0)
@@ -56,3 +59,24 @@ def test_tied_tracks_stand_alike_in_a_market(spark, tmp_path):
     _in_all_orders(spark, TIED, "view").write.parquet(f"{tmp_path}/events.parquet")
     found = reports.QUERIES["market_metrics"](spark, str(tmp_path)).groupBy("z", "percentile", "distinctiveness", "basis").count().collect()
     assert [tuple(r) for r in found] == [(0.41, 66, 21, "published", 120)]
+
+
+def test_window_means_follow_the_order_of_frames_in_any_partitions(spark):
+    values, rows = (0.1, 0.2, 0.3, 0.7, 1 / 3), []
+    for k in range(40):
+        rows += [(k, 5 * k + i, f"2024-01-01 00:00:0{i % 4}", v, v * 7, [v, v / 3]) for i, v in enumerate(values[k % 5 :] + values[: k % 5])]
+    df = spark.createDataFrame(rows, "k long, i long, at string, rms double, centroid_hz double, chroma array<double>").withColumn("at", F.col("at").cast("timestamp"))
+    expected = {}
+    for k in range(40):
+        own, total = [r for r in rows if r[0] == k], lambda xs: reduce(float.__add__, xs, 0.0)
+        expected[k] = (5, total([r[3] for r in own]) / 5, total([r[4] for r in own]) / 5, [total([r[5][p] for r in own]) / 5 for p in (0, 1)])
+    for spread in (df.coalesce(1), df.repartition(7, "i"), df.orderBy(F.desc("i"))):
+        found = {r.k: (r.n, r.rms, r.centroid_hz, r.chroma) for r in audio.window_features(spread, "k", "at", order="i").collect()}
+        assert found == expected
+
+
+def test_ordered_windows_equal_the_others(spark):
+    rows = [(1, 1, 0.5, [1.0, 2.0]), (1, 2, 0.25, [1.0]), (2, 3, 0.5, []), (3, 4, None, None), (4, 5, 1.0, [None, 1.0])]
+    df = spark.createDataFrame(rows, "k long, i long, rms double, chroma array<double>").select("*", F.lit(8.0).alias("centroid_hz"), F.timestamp_seconds(F.lit(0)).alias("at"))
+    plain, ordered = (sorted(tuple(r) for r in audio.window_features(df, "k", "at", order=o).collect()) for o in (None, "i"))
+    assert plain == ordered and [r[-1] for r in plain] == [[1.0, 1.0], [], [], [None, 1.0]]
