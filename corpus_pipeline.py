@@ -1,6 +1,9 @@
 """A corpus pipeline: each stage applies one operator to all that its predecessor kept.
 
 ``run`` writes the result of each stage as Parquet in the shared folder and reads it back.
+Whole texts go to Python in three of the stages, ``ARROW_ROWS`` rows at a time: batches of 10 000
+take tens of MB outside of the heap, many times over, and the workers keep that room. A stage that
+is called by itself leaves the session so, as its result is computed when it is written.
 """
 
 from __future__ import annotations
@@ -9,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import decontaminate, line_dedup, mixing, simhash, toxicity
-from tessella.llm.common import materialise, table, transient
+from tessella.llm.common import arrow_rows, hold_arrow_rows, materialise, table, transient
+from tessella.llm.simhash import ARROW_ROWS
 
 
 def _as_documents(df: DataFrame, docs: DataFrame) -> DataFrame:
@@ -21,6 +25,7 @@ def _as_documents(df: DataFrame, docs: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labels of these documents, lets pass."""
+    hold_arrow_rows(spark, ARROW_ROWS)
     model = toxicity.fit_on_open_labels(docs, table(spark, sf_dir, "labels"))
     return toxicity.score_documents(docs, model).where("predicted = 0").select(*docs.columns)
 
@@ -37,6 +42,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
+    hold_arrow_rows(spark, ARROW_ROWS)
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -59,7 +65,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     one's tables, and the documents that it reads, stay for whoever reads the result."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        with transient(spark):
+        with transient(spark), arrow_rows(spark, ARROW_ROWS):
             docs = materialise(stage(spark, docs, sf_dir), name, keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)
 

@@ -140,22 +140,34 @@ def running_totals(df: DataFrame, order: list[Column], sums: dict[str, Column],
     for row in per:
         out.append((row[part], *before.values()))
         before = {k: before[k] + (row[k] or 0) for k in names}
-    offsets = spark.createDataFrame(out, ", ".join([f"{part} int", *[f"{n} double" for n in names]]))
+    # From Arrow: rows of plain values would start Python workers of another kind on every executor.
+    kinds = pa.schema([(part, pa.int32()), *[(n, pa.float64()) for n in names]])
+    offsets = spark.createDataFrame(pa.Table.from_pylist([dict(zip(kinds.names, row)) for row in out], kinds))
     totals = [(F.col(n) + F.coalesce(F.sum(v).over(w), F.lit(0))).alias(k) for n, (k, v) in zip(names, sums.items())]
     return dealt.join(F.broadcast(offsets), part).select(*df.columns, *totals)
 
 
+#: The session's setting of the rows that Python gets at a time.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def hold_arrow_rows(spark: SparkSession, most: int) -> None:
+    """Batches of ``most`` rows from here on, in all of the session: for results that are
+    computed only when somebody writes them."""
+    before = int(spark.conf.get(BATCH))
+    spark.conf.set(BATCH, str(min(most, before) if before > 0 else most))
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
     """Batches of ``most`` rows for what runs inside the block: Spark fills a batch outside of its
     heap, in buffers that double, so rows with long lists or texts take their room many times."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(most, int(before)) if int(before) > 0 else most))
+    before = spark.conf.get(BATCH)
+    hold_arrow_rows(spark, most)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        spark.conf.set(BATCH, before)
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:

@@ -186,10 +186,10 @@ def link_within(fps: np.ndarray, guest: np.ndarray, radius: int, least: int = 64
                 continue
         for i in range(0, len(own), 1 << 10):
             block = own[i : i + (1 << 10)]
-            # Residents that follow, then the queries, in pieces of bounded size.
+            # Residents that follow, then the queries, in pieces of bounded size: 8 MB of differences.
             others = np.concatenate([own[i:], asked])
-            for j in range(0, len(others), 1 << 12):
-                piece = others[j : j + (1 << 12)]
+            for j in range(0, len(others), 1 << 10):
+                piece = others[j : j + (1 << 10)]
                 a, b = np.nonzero(np.bitwise_count(fps[block][:, None] ^ fps[piece][None, :]) <= radius)
                 sets.join(block[a], piece[b])
     return sets.parent
